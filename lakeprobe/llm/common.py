@@ -43,3 +43,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions, which follows the input on a cluster."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A group that holds at least one in so many rows is hot; there are at most so many hot groups.
+HOT_SHARE = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with their group's row, without gathering the rows of a large group in one task.
+
+    The groups that hold at least 1/HOT_SHARE of the rows (so at most HOT_SHARE of
+    them) are broadcast; the others meet their rows in a sort-merge join. groups has
+    one row per key, with the number of rows of the key in the column `size`.
+    """
+    least = max(2, -(-total // HOT_SHARE))
+    hot = F.broadcast(groups.filter(F.col(size) >= least))
+    cold = groups.filter(F.col(size) < least)
+    return rows.join(hot, key).unionByName(rows.join(hot, key, "left_anti").join(cold, key))
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """Written rows (node, root): the smallest node of the connected component of each node of edges (u, v).
+
+    Alternating large-star and small-star rounds: each node's neighbours are tied to
+    the smallest of them, until nothing changes. Only (node, smallest) pairs move.
+    """
+    edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = large.filter("u <> v").distinct()
+        # small star: every node's smaller neighbours, and the node itself, to the smallest of them
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        after = written(small.filter("u <> v").distinct(), name)
+        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
+            break
+        edges = after
+    roots = after.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -22,10 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprobe.llm.common import partitions, text_of, written
-
-#: A text that holds at least one in so many rows is hot; there are at most so many hot texts.
-HOT_SHARE = 10_000
+from lakeprobe.llm.common import join_groups, partitions, text_of, written
 
 
 def normalised(text: str = "text") -> Column:
@@ -74,11 +71,7 @@ def decide(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
     )
     index.add(groups)
     groups = groups.drop("keep_id").join(index.rows().hint("merge"), "digest")
-    least = max(2, -(-rows.count() // HOT_SHARE))
-    hot = groups.filter(F.col("group_size") >= least)
-    cold = groups.filter(F.col("group_size") < least)
-    hot = F.broadcast(hot)
-    found = rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(cold, "digest"))
+    found = join_groups(rows, groups, "digest", "group_size", rows.count())
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
