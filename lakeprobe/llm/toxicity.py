@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,18 +178,19 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("text", "y"), "toxic-sample")
 
 
-def count_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def count_entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of either label with each word or word beginning."""
     counts = (Counter(), Counter())
     for batch in batches:
-        for text, y in zip(batch["text"], batch["y"], strict=True):
+        for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist(), strict=True):
             words = set(WORD.findall(text.lower()))
             counts[y > 0].update(words)
             counts[y > 0].update({f"{w[:n]}*" for w in words for n in BEGINNINGS if len(w) >= n})
-    keys = [k for k, n in counts[1].items()]
-    yield pd.DataFrame({"entry": keys, "toxic": [counts[1][k] for k in keys], "clean": [counts[0][k] for k in keys]})
-    rest = [k for k in counts[0] if k not in counts[1]]
-    yield pd.DataFrame({"entry": rest, "toxic": 0, "clean": [counts[0][k] for k in rest]})
+    keys = list({**counts[0], **counts[1]})
+    for i in range(0, len(keys), 100_000):
+        part = keys[i : i + 100_000]
+        columns = [pa.array(part, pa.string()), pa.array([counts[1][k] for k in part], pa.int64()), pa.array([counts[0][k] for k in part], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["entry", "toxic", "clean"])
 
 
 def choose_entries(rows: list, toxic: int, clean: int) -> dict[str, float]:
@@ -213,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
         return Grammar({})
     odds = F.log((F.col("toxic") + 0.5) / (counts[True] + 1)) - F.log((F.col("clean") + 0.5) / (counts[False] + 1))
     found = (
-        rows.mapInPandas(count_entries, "entry string, toxic long, clean long")
+        rows.mapInArrow(count_entries, "entry string, toxic long, clean long")
         .groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .filter((F.col("toxic") >= LEAST_DOCUMENTS) & (odds >= LEAST_LOG_ODDS))
     )
