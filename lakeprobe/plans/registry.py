@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lakeprobe.plans import drift_queries, text_queries, web_queries
+from lakeprobe.plans import data_queries, drift_queries, text_queries, web_queries
 
-MODULES = (drift_queries, text_queries, web_queries)
+MODULES = (drift_queries, text_queries, web_queries, data_queries)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
