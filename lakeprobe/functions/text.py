@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The first engine's classes of characters, as regular-expression ranges; the first that fits wins.
 KINDS = {
@@ -75,12 +76,15 @@ def mixed_words(c: Column) -> Column:
     return F.filter(words, lambda w: w.rlike(r"\p{IsLatin}") & w.rlike(r"\p{IsCyrillic}"))
 
 
-@F.pandas_udf("string")
-def nfc(texts: pd.Series) -> pd.Series:
-    """Canonical composition; Spark has no function for it."""
+def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t))
 
 
+def nfc(c: Column) -> Column:
+    """Canonical composition; Spark has no function for it."""
+    return F.pandas_udf(_composed, StringType())(c)
+
+
 def spaced(c: Column) -> Column:
     """Invisible characters out, exotic spaces to spaces, trimmed; not yet composed."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(c, f"[{INVISIBLE}]", ""), f"[{KINDS['exotic_space']}]", " "), r"(?U)^\s+|\s+$", "")

@@ -13,7 +13,9 @@ from lakeprobe.functions import page, urls
 from lakeprobe.operators import crawl, security
 from lakeprobe.session import table
 
-U = F.col("url")
+def U():
+    """The address column; columns can't be made before there is a session."""
+    return F.col("url")
 
 
 def pages(spark: SparkSession, d: str) -> DataFrame:
@@ -30,13 +32,13 @@ def links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def link_counts(spark: SparkSession, d: str) -> DataFrame:
-    external = F.col("href").rlike("(?i)^https?://") & (F.lower(urls.part(F.col("href"), urls.HOST)) != F.lower(urls.part(U, urls.HOST)))
+    external = F.col("href").rlike("(?i)^https?://") & (F.lower(urls.part(F.col("href"), urls.HOST)) != F.lower(urls.part(U(), urls.HOST)))
     return links(spark, d).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(external).alias("external"), F.count_distinct("href").alias("targets"))
 
 
 def secret_urls(spark: SparkSession, d: str) -> DataFrame:
-    tail = F.concat(F.when(U.contains("?"), "&").otherwise("?"), F.lit("token=t"), F.col("page_id").cast("string"), F.lit("&x=1"))
-    return pages(spark, d).select("page_id", F.concat(F.regexp_replace(U, "#.*$", ""), tail).alias("url"))
+    tail = F.concat(F.when(U().contains("?"), "&").otherwise("?"), F.lit("token=t"), F.col("page_id").cast("string"), F.lit("&x=1"))
+    return pages(spark, d).select("page_id", F.concat(F.regexp_replace(U(), "#.*$", ""), tail).alias("url"))
 
 
 def tree(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +59,7 @@ def secured(spark: SparkSession, d: str) -> DataFrame:
         pair("X-Powered-By", F.lit("PHP"), k % 10 == 0),
     )
     cookie = F.when(k % 4 == 0, "a=1; Secure; HttpOnly; SameSite=Lax").when(k % 4 == 1, "a=1; SameSite=None").when(k % 4 == 2, "a=1; HttpOnly")
-    return pages(spark, d).select("page_id", "url", "html", urls.bare_host(U).alias("site"), F.map_from_entries(F.filter(entries, lambda e: e.isNotNull())).alias("headers"), cookie.alias("cookie"))
+    return pages(spark, d).select("page_id", "url", "html", urls.bare_host(U()).alias("site"), F.map_from_entries(F.filter(entries, lambda e: e.isNotNull())).alias("headers"), cookie.alias("cookie"))
 
 
 FOUND = f"""
@@ -94,14 +96,14 @@ QUERIES = {
     "page_titles": lambda s, d: pages(s, d).select("page_id", F.substring(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), 1, 200).alias("title")),
     "page_links_regex": lambda s, d: links(s, d).select("page_id", "href"),
     "page_link_counts": link_counts,
-    "page_hosts": lambda s, d: pages(s, d).groupBy(urls.bare_host(U).alias("host")).agg(F.count(F.lit(1)).alias("pages")),
-    "url_normalize": lambda s, d: pages(s, d).select("page_id", urls.normalize(F.concat(F.upper(F.substring(U, 1, 4)), F.substring(U, 5, 10_000))).alias("url")),
-    "url_origin": lambda s, d: pages(s, d).select("page_id", urls.origin(U).alias("origin")),
-    "url_mask": lambda s, d: secret_urls(s, d).select("page_id", urls.mask(U).alias("url")),
-    "url_scope_filter": lambda s, d: pages(s, d).filter(urls.in_scope(U, F.lit("https://ththan.example.net/"))).select("page_id", "url"),
-    "url_safety": lambda s, d: secret_urls(s, d).select("page_id", urls.is_safe(F.when(F.col("page_id") % 5 == 0, F.replace(U, F.lit("://"), F.lit("://me@"))).when(F.col("page_id") % 5 == 1, F.lit("http://127.0.0.1/x")).otherwise(U)).alias("safe")),
-    "url_next_page": lambda s, d: pages(s, d).select("page_id", urls.next_page(U).alias("next_url")).filter("next_url IS NOT NULL"),
-    "well_known_candidates": lambda s, d: pages(s, d).select(urls.origin(U).alias("origin")).distinct().select("origin", F.explode(F.lit(list(urls.WELL_KNOWN))).alias("path")),
+    "page_hosts": lambda s, d: pages(s, d).groupBy(urls.bare_host(U()).alias("host")).agg(F.count(F.lit(1)).alias("pages")),
+    "url_normalize": lambda s, d: pages(s, d).select("page_id", urls.normalize(F.concat(F.upper(F.substring(U(), 1, 4)), F.substring(U(), 5, 10_000))).alias("url")),
+    "url_origin": lambda s, d: pages(s, d).select("page_id", urls.origin(U()).alias("origin")),
+    "url_mask": lambda s, d: secret_urls(s, d).select("page_id", urls.mask(U()).alias("url")),
+    "url_scope_filter": lambda s, d: pages(s, d).filter(urls.in_scope(U(), F.lit("https://ththan.example.net/"))).select("page_id", "url"),
+    "url_safety": lambda s, d: secret_urls(s, d).select("page_id", urls.is_safe(F.when(F.col("page_id") % 5 == 0, F.replace(U(), F.lit("://"), F.lit("://me@"))).when(F.col("page_id") % 5 == 1, F.lit("http://127.0.0.1/x")).otherwise(U())).alias("safe")),
+    "url_next_page": lambda s, d: pages(s, d).select("page_id", urls.next_page(U()).alias("next_url")).filter("next_url IS NOT NULL"),
+    "well_known_candidates": lambda s, d: pages(s, d).select(urls.origin(U()).alias("origin")).distinct().select("origin", F.explode(F.lit(list(urls.WELL_KNOWN))).alias("path")),
     "charset_detect": lambda s, d: pages(s, d).select("page_id", F.lower(F.coalesce(F.nullif(F.regexp_extract(F.substring("html", 1, 2048), r"(?i)<meta[^>]+charset=[\"']?([\w-]+)", 1), F.lit("")), F.lit("utf-8"))).alias("charset")),
     "source_type": lambda s, d: pages(s, d).select("page_id", F.when(F.col("html").rlike(r"(?is)^\s*(<!doctype html|<html)"), "html").when(F.col("html").rlike(r"(?s)^\s*[\[{]"), "json").when(F.col("html").rlike(r"(?s)^\s*<\?xml"), "xml").otherwise("text").alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("pages")),
     "crawl_bfs": lambda s, d: crawl.bfs(tree(s, d), 0, 5),
