@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
         for batch in batches:
             yield pd.DataFrame({"y": batch["y"], "x": [grammar.features(t) for t in batch["text"]]})
 
-    table = rows.mapInPandas(featured, "y int, x array<double>").toPandas()
+    table = rows.mapInPandas(featured, "y int, x array<double>").toArrow().to_pandas()
     grammar.coef = logistic(np.array(table["x"].tolist()), (table["y"].to_numpy() > 0).astype(float))
     return grammar
 

@@ -64,7 +64,7 @@ def fit(docs: DataFrame, labelled: DataFrame) -> Trigrams:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([label] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["label", "bucket", "n"])
 
-    counts = rows.mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(count, "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     labels = sorted(counts["label"].unique())
     table = np.full((len(labels), BUCKETS), 0.5)
     table[counts["label"].map({x: i for i, x in enumerate(labels)}).to_numpy(dtype=np.int64), counts["bucket"].to_numpy(dtype=np.int64)] += counts["n"].to_numpy(dtype=float)
