@@ -1,4 +1,4 @@
-"""Queries over the reference's own operators, and the SQL they are held against."""
+"""The queries of the library and the SQL they are held against."""
 
 from __future__ import annotations
 
