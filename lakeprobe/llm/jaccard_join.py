@@ -22,8 +22,8 @@ Defined results:
   space; a text of fewer than five words is one shingle; texts without words are copies
   of one another, linked to nothing else; texts of any length are read whole;
 * n_links counts the other rows with a similarity of at least the threshold, copies
-  and repeated rows included; class_id is the smallest id of the class (null ids are
-  larger than all others), rep_id that of the equal sets;
+  and repeated rows included; class_id is the smallest id of the class, rep_id that of
+  the equal sets (null only where all of them are null);
 * an empty table gives an empty result; other columns do not matter.
 """
 
@@ -114,7 +114,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             size.append(len(s))
             tokens.append(sampled(s).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sig, pa.binary()), pa.array(size, pa.int32()), pa.array(tokens, pa.binary())], ["doc_id", "sig", "size", "tokens"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sig, pa.binary()), pa.array(size, pa.int32()), pa.array(tokens, pa.binary())], ["doc_id", "key", "sig", "size", "tokens"])
 
 
 def paths(n_runs: int):
@@ -263,40 +263,62 @@ def clusters(reps: DataFrame, n_runs: int) -> DataFrame:
     return components(edges, "clusters")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """A row (doc_id, rep_id, class_id, n_links) for each row of docs."""
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), text_of(text_col).alias("text"))
-    rows = written(source.mapInArrow(describe, "doc_id long, sig binary, size int, tokens binary"), "sets")
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (doc_id, text, key): ids may be null or repeated, so rows are told apart by a hash of id and text."""
+    key = F.xxhash64(F.col(id_col).cast("long"), text_of(text_col))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), key.alias("key"))
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
+    """Written rows (doc_id, key, sig), and a row for each distinct set: sig, rep_id, root (of its class), n_links, copies."""
+    source = _keyed(docs, id_col, text_col)
+    rows = written(source.mapInArrow(describe, "doc_id long, key long, sig binary, size int, tokens binary"), "sets")
     reps = written(
-        rows.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("size").alias("size"), F.min("tokens").alias("tokens")), "reps"
+        rows.groupBy("sig").agg(
+            F.min("key").alias("rep"), F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.min("size").alias("size"), F.min("tokens").alias("tokens")
+        ),
+        "reps",
     )
-    # several sets may share the one null id: only the first of them can be told by its id
     compared = reps.filter("size > 0")
     cluster = clusters(compared.select("rep", "tokens"), runs(threshold, recall))
-    members = compared.select("rep", "copies", "sig").join(cluster, F.col("rep") == F.col("node")).select("rep", "copies", "sig", F.col("root").alias("cluster"))
+    members = compared.select("rep", "copies").join(cluster, F.col("rep") == F.col("node")).select("rep", "copies", F.col("root").alias("cluster"))
     counted = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     members = members.join(counted, "cluster").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     members = members.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    texts = source.join(members, source["doc_id"] == members["rep"]).drop("doc_id").dropDuplicates(["rep", "cluster"])
+    texts = source.join(members, source["key"] == members["rep"]).drop("doc_id", "key")
+    if not rows.groupBy("key").count().filter("count > 1").isEmpty():  # repeated rows: one of them is enough
+        texts = texts.dropDuplicates(["rep"])
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "rep", "block", "copies", "text")
     ordered = dealt.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b", "rep")
     found = written(ordered.mapInArrow(verify(threshold), "rep long, root long, links long"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    linked = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "classes")
+    roots = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")), "classes")
     groups = (
-        reps.select("sig", "rep", "copies").join(links, "rep", "left").join(linked, F.col("rep") == F.col("node"), "left")
-        .select("sig", F.col("rep").alias("rep_id"), F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies")
+        reps.select("sig", "rep", "rep_id", "copies").join(links, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
+        .select("sig", "rep_id", F.coalesce("root", "rep").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "copies")
     )
-    out = join_groups(rows.select("doc_id", "sig"), groups, "sig", "copies", rows.count())
-    known = lambda c: F.when(F.col(c) < (1 << 63) - 1, F.col(c)).alias(c)
-    return out.select(known("doc_id"), known("rep_id"), known("class_id"), "n_links")
+    return rows.select("doc_id", "key", "sig"), written(groups, "groups")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """A row (doc_id, rep_id, class_id, n_links) for each row of docs."""
+    rows, groups = linked(docs, id_col, text_col, threshold, recall)
+    smallest = groups.groupBy("root").agg(F.min("rep_id").alias("class_id"))
+    out = join_groups(rows, groups.join(smallest, "root"), "sig", "copies", rows.count())
+    return out.select("doc_id", "rep_id", "class_id", "n_links")
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its class, with the columns of docs."""
-    stay = join(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("__stay")), "left_semi")
+    """Of each class the row with the smallest id (of rows without any, one), with the columns of docs."""
+    rows, groups = linked(docs, id_col, text_col)
+    # each set's first row, then each class's: both sums of few bytes, made where the rows are
+    firsts = rows.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    stay = firsts.join(groups.select("sig", "root"), "sig").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__stay"))
+    kept = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), text_of(text_col))).join(stay, F.col("__key") == F.col("__stay"), "left_semi")
+    if not rows.groupBy("key").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["__key"])
+    return kept.drop("__key")
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
