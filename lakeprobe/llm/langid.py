@@ -102,10 +102,11 @@ def identify(rows: DataFrame, model: trigrams.Trigrams) -> DataFrame:
         if level == "domain":
             t = t.join(smoothed("suffix", wider), "suffix")
             wider = [F.col(f"suffix{i}") for i in k]
-        return t.select(level, *[((F.col(f"s{i}") + WEIGHT * wider[i]) / (F.col("n") + WEIGHT)).alias(f"{level}{i}") for i in k])
+        return t.select(*(["domain", "suffix"] if level == "domain" else ["suffix"]), *[((F.col(f"s{i}") + WEIGHT * wider[i]) / (F.col("n") + WEIGHT)).alias(f"{level}{i}") for i in k])
 
     domains = smoothed("domain", [F.lit(x) for x in everywhere])
-    priors = hosts.join(domains, "domain").select("host", F.col("n").alias("records"), *[F.col(f"s{i}").alias(f"h{i}") for i in k], *[f"domain{i}" for i in k])
+    # hosts without a dot have no domain: their suffix tells them apart
+    priors = hosts.join(domains, ["domain", "suffix"]).select("host", F.col("n").alias("records"), *[F.col(f"s{i}").alias(f"h{i}") for i in k], *[f"domain{i}" for i in k])
     # one small row for each declaration that is a known language, or "other"
     said = {r["declared"]: r for r in seen.filter("declared IS NOT NULL").groupBy("declared").agg(*sums).collect()}
     totals = [sum(r[f"s{i}"] for r in said.values()) for i in k]

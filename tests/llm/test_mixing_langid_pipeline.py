@@ -103,6 +103,13 @@ def test_langid_edges(spark):
     assert len(got) == len(ROWS)
 
 
+def test_hosts_without_a_dot_give_one_row_each(spark, sf):
+    urls = [None, None, "/relative", "http://localhost/a", "http://localhost/b", "http://intranet/", "http://[::1]/", "http://example.com./", "https://a.example.com/"]
+    pages = spark.createDataFrame([(i, u, "<p>the quick brown fox</p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = langid.query(spark, pages, documents(spark, sf)).filter("kind = 'page'").collect()
+    assert sorted(r["page_id"] for r in got) == list(range(len(urls)))
+
+
 def test_pipeline_against_its_parts_on_the_driver(spark, sf):
     docs, labels = documents(spark, sf), table(spark, sf, "labels")
     text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
