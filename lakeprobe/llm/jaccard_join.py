@@ -10,7 +10,10 @@ sets is split on the next token of its run, and so on for DEPTH tokens; a bucket
 is still large then is dense, and is not split further. Small buckets are compared by
 brute force on sketches (one byte of every sampled token); pairs that may be linked,
 and the members of dense buckets, are put into one cluster. Runs are repeated until
-a linked pair has met in a bucket with at least the target recall.
+a linked pair has met in a bucket with at least the target recall even where all of
+its buckets are split DEPTH times. Half of the pairs that the recall lets go may be
+lost so, half by the sketches: the runs, the number of sampled tokens (each run has
+its own) and the least agreement of sketches follow from the threshold and the recall.
 
 Clusters only say what is to be compared: inside each, the sets themselves are
 compared exactly, in blocks of BLOCK sets if the cluster is larger, and each set's
@@ -42,19 +45,34 @@ from pyspark.sql import functions as F
 from lakeprobe.llm.common import components, join_groups, text_of, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
-#: Sampled tokens of a set; tokens of a path at most; sets compared by brute force at most.
-TOKENS, DEPTH, LIMIT = 64, 4, 512
-#: Two sets whose sketches agree in a smaller share of their bytes are not linked: four deviations below the threshold.
-LEAST_AGREEMENT = 0.6
+#: Tokens of a path at most; sets compared by brute force at most.
+DEPTH, LIMIT = 4, 512
 #: Sets compared exactly in one task, and distinct words whose hashes a task remembers.
 BLOCK, REMEMBERED = 1024, 2_000_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MIX = np.uint64(0x94D049BB133111EB)
 
 
-def runs(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = 2) -> int:
+def runs(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> int:
     """Runs after which a pair at the threshold, split at so many tokens, has met with the probability `recall`."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth))
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**depth)) if threshold < 1 else 1
+
+
+def least_agreement(tokens: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The largest number of tokens in which a pair at the threshold agrees with the probability `recall`."""
+    missed = 0.0
+    for k in range(tokens + 1):
+        missed += math.comb(tokens, k) * threshold**k * (1 - threshold) ** (tokens - k)
+        if missed > 1 - recall:
+            return k
+    return tokens
+
+
+def effort(threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int, int]:
+    """Runs, sampled tokens of a set, and bytes in which two sketches must agree."""
+    half = 1 - (1 - recall) / 2
+    n_runs = runs(threshold, half)
+    return n_runs, n_runs * DEPTH, least_agreement(n_runs * DEPTH, threshold, half)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -92,32 +110,38 @@ class Shingler:
         return np.unique(s)
 
 
-MULTIPLIERS = _mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
+def multipliers(n_tokens: int) -> np.ndarray:
+    """The factors of the hash functions that sample tokens."""
+    return _mix(np.arange(1, n_tokens + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
 
 
-def sampled(shingles: np.ndarray) -> np.ndarray:
-    """The shingle with the smallest hash under each of TOKENS hash functions, as that hash's upper half."""
-    out = np.full(TOKENS, np.iinfo(np.uint64).max, np.uint64)
+def sampled(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """The shingle with the smallest hash under each hash function, as that hash's upper half."""
+    out = np.full(len(factors), np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 4096):
-        z = shingles[None, i : i + 4096] * MULTIPLIERS[:, None]
+        z = shingles[None, i : i + 4096] * factors[:, None]
         out = np.minimum(out, _mix(z).min(axis=1))
     return (out >> np.uint64(32)).astype("<u4")
 
 
-def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def describe(n_tokens: int):
     """Per document: a digest of its set, the set's size and the sampled tokens."""
-    shingler = Shingler()
-    for b in batches:
-        sig, size, tokens = [], [], []
-        for t in b.column("text"):
-            s = shingler(t.as_py())
-            sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            size.append(len(s))
-            tokens.append(sampled(s).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sig, pa.binary()), pa.array(size, pa.int32()), pa.array(tokens, pa.binary())], ["doc_id", "key", "sig", "size", "tokens"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, factors = Shingler(), multipliers(n_tokens)
+        for b in batches:
+            sig, size, tokens = [], [], []
+            for t in b.column("text"):
+                s = shingler(t.as_py())
+                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                size.append(len(s))
+                tokens.append(sampled(s, factors).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(sig, pa.binary()), pa.array(size, pa.int32()), pa.array(tokens, pa.binary())], ["doc_id", "key", "sig", "size", "tokens"])
+
+    return run
 
 
-def paths(n_runs: int):
+def paths(n_runs: int, n_tokens: int):
     """Per set and run: the keys of the buckets on its path, one per depth, and its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,13 +149,13 @@ def paths(n_runs: int):
             n = b.num_rows
             if not n:
                 continue
-            tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), "<u4").reshape(n, TOKENS)
+            tokens = np.frombuffer(b"".join(b.column("tokens").to_pylist()), "<u4").reshape(n, n_tokens)
             sketch = tokens.astype(np.uint8)
             blobs = [x.tobytes() for x in sketch]
             for r in range(n_runs):
                 key, keys = np.full(n, r + 1, np.uint64), []
                 for d in range(DEPTH):
-                    key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + tokens[:, (r * DEPTH + d) % TOKENS].astype(np.uint64))
+                    key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + tokens[:, r * DEPTH + d].astype(np.uint64))
                     keys.append(key.view(np.int64))
                 yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(blobs, pa.binary()), *map(pa.array, keys)], ["rep", "sketch", *(f"k{d}" for d in range(DEPTH))])
 
@@ -170,26 +194,30 @@ def _roots(n: int, pairs: np.ndarray) -> list[int]:
     return [find(i) for i in range(n)]
 
 
-def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges that tie together the sets of a small bucket whose sketches agree enough."""
-    u, v = [], []
-    for _, rows in _grouped(batches, ["key"]):
-        if len(rows) < 2:
-            continue
-        reps = [r["rep"] for r in rows]
-        s = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), TOKENS)
-        agree = np.zeros((len(rows), len(rows)), np.uint8)
-        for i in range(TOKENS):
-            agree += s[:, i, None] == s[None, :, i]
-        pairs = np.argwhere(np.triu(agree >= LEAST_AGREEMENT * TOKENS, 1))
-        for i, r in enumerate(_roots(len(rows), pairs)):
-            if i != r:
-                u.append(reps[i])
-                v.append(reps[r])
-        if len(u) > 100_000:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-            u, v = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+def near(n_tokens: int, least: int):
+    """Edges that tie together the sets of a small bucket whose sketches agree in `least` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = [], []
+        for _, rows in _grouped(batches, ["key"]):
+            if len(rows) < 2:
+                continue
+            reps = [r["rep"] for r in rows]
+            s = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), n_tokens)
+            agree = np.zeros((len(rows), len(rows)), np.uint8 if n_tokens < 256 else np.uint16)
+            for i in range(n_tokens):
+                agree += s[:, i, None] == s[None, :, i]
+            pairs = np.argwhere(np.triu(agree >= least, 1))
+            for i, r in enumerate(_roots(len(rows), pairs)):
+                if i != r:
+                    u.append(reps[i])
+                    v.append(reps[r])
+            if len(u) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                u, v = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return run
 
 
 def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
@@ -242,16 +270,16 @@ def verify(threshold: float):
     return run
 
 
-def clusters(reps: DataFrame, n_runs: int) -> DataFrame:
+def clusters(reps: DataFrame, n_runs: int, n_tokens: int, least: int) -> DataFrame:
     """Rows (node, root): sets that must be compared have the same root; sets without a possible partner are left out."""
-    left = reps.mapInArrow(paths(n_runs), "rep long, sketch binary, " + ", ".join(f"k{d} long" for d in range(DEPTH)))
+    left = reps.mapInArrow(paths(n_runs, n_tokens), "rep long, sketch binary, " + ", ".join(f"k{d} long" for d in range(DEPTH)))
     edges = None
     for d in range(DEPTH):
         at = written(left.withColumn("key", F.col(f"k{d}")), f"paths-{d}") if d else left.withColumn("key", F.col("k0"))
         sizes = at.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sized = written(at.join(sizes, "key"), f"buckets-{d}")
         small = sized.filter(F.col("n") <= LIMIT).select("key", "rep", "sketch").repartition("key").sortWithinPartitions("key")
-        found = small.mapInArrow(near, "u long, v long")
+        found = small.mapInArrow(near(n_tokens, least), "u long, v long")
         edges = found if edges is None else edges.unionByName(found)
         left = sized.filter(F.col("n") > LIMIT).drop("key", "n")
         if left.isEmpty():
@@ -271,8 +299,9 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Written rows (doc_id, key, sig), and a row for each distinct set: sig, rep_id, root (of its class), n_links, copies."""
+    n_runs, n_tokens, least = effort(threshold, recall)
     source = _keyed(docs, id_col, text_col)
-    rows = written(source.mapInArrow(describe, "doc_id long, key long, sig binary, size int, tokens binary"), "sets")
+    rows = written(source.mapInArrow(describe(n_tokens), "doc_id long, key long, sig binary, size int, tokens binary"), "sets")
     reps = written(
         rows.groupBy("sig").agg(
             F.min("key").alias("rep"), F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("copies"), F.min("size").alias("size"), F.min("tokens").alias("tokens")
@@ -280,7 +309,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
         "reps",
     )
     compared = reps.filter("size > 0")
-    cluster = clusters(compared.select("rep", "tokens"), runs(threshold, recall))
+    cluster = clusters(compared.select("rep", "tokens"), n_runs, n_tokens, least)
     members = compared.select("rep", "copies").join(cluster, F.col("rep") == F.col("node")).select("rep", "copies", F.col("root").alias("cluster"))
     counted = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"))
     members = members.join(counted, "cluster").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))

@@ -85,6 +85,14 @@ def test_rows_without_ids_are_told_apart(spark):
     assert Counter(r["text"] for r in jaccard_join.first_of_each(frame(spark, rows)).collect()) == Counter([base + " y", rows[2][1], rows[3][1]])
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.9])
+def test_runs_reach_the_recall_at_full_depth(threshold):
+    n_runs, n_tokens, least = jaccard_join.effort(threshold, 0.9999)
+    unmet = (1 - threshold**jaccard_join.DEPTH) ** n_runs
+    unlike = sum(math.comb(n_tokens, k) * threshold**k * (1 - threshold) ** (n_tokens - k) for k in range(least))
+    assert unmet + unlike <= 1e-4 and n_tokens >= n_runs * jaccard_join.DEPTH
+
+
 def plain_winnow(text):
     k, w = winnowing.K, winnowing.WINDOW
     points = winnowing.np.array([ord(c) for c in text] + [0x110000] * (k - len(text)), dtype="u4")
