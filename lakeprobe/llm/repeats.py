@@ -134,21 +134,36 @@ def _spans(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index block after block of strings sorted by key; the strings of a key share a block."""
+    """Index block after block of strings sorted by key; the strings of a key share a block.
+
+    A string that was divided has several keys. It must not meet itself, so a block ends
+    before a key that holds one of its strings.
+    """
     block: list[tuple] = []
     group: list[tuple] = []
+    held: set[tuple] = set()
     key, size = None, 0
     for b in batches:
         columns = (b.column(c).to_pylist() for c in ("key", "id", "t", "start", "single", "data"))
         for k, *row in zip(*columns, strict=True):
             if k != key:
+                if block and not held.isdisjoint(r[:3] for r in group):
+                    yield _spans(_covered(block))
+                    block, size = [], 0
+                    held.clear()
                 block += group
+                held.update(r[:3] for r in group)
                 size += sum(len(r[4]) for r in group)
                 if size > BLOCK:
                     yield _spans(_covered(block))
                     block, size = [], 0
+                    held.clear()
                 key, group = k, []
-            group.append(tuple(row))
+            if not group or group[-1][:3] != tuple(row[:3]):  # a string may have come to its key by several ways
+                group.append(tuple(row))
+    if block and not held.isdisjoint(r[:3] for r in group):
+        yield _spans(_covered(block))
+        block = []
     block += group
     if block:
         yield _spans(_covered(block))
@@ -197,10 +212,12 @@ def compare(strings: DataFrame) -> DataFrame:
     if sizes.isEmpty():
         return found
     large = strings.join(sizes.select("key").hint("merge"), "key").mapInArrow(around_anchor, DIVIDED)
+    # a string can come to one key by several ways: only other strings count
+    place = F.xxhash64("id", "t", "start")
     while True:
         large = written(large.mapInArrow(halves, DIVIDED), "divided")
-        sizes = large.groupBy("key").agg(F.sum(F.length("data")).alias("bytes"), F.count(F.lit(1)).alias("n"), F.max(F.col("l") + F.col("r")).alias("known"))
-        sizes = written(sizes.filter("n > 1"), "large")
+        sizes = large.groupBy("key").agg(F.sum(F.length("data")).alias("bytes"), F.min(place).alias("first"), F.max(place).alias("last"), F.max(F.col("l") + F.col("r")).alias("known"))
+        sizes = written(sizes.filter("first < last"), "large")
         # a key that names a whole string of LENGTH bytes: all of its rows hold it
         whole = F.col("known") >= LENGTH - ANCHOR
         same = large.join(sizes.filter(whole).select("key"), "key").filter("single")

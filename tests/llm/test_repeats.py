@@ -60,6 +60,35 @@ def test_large_anchors_are_divided(spark, monkeypatch):
     agree(spark, frame(spark, periodic(7)))
 
 
+def some(rng, k, letters="abcdefghijklmnopqrstuvwxyz"):
+    return "".join(rng.choices(letters, k=k))
+
+
+def low_anchor(rng):
+    """A string of ANCHOR bytes with a hash that is the smallest wherever it stands."""
+    return min((some(rng, repeats.ANCHOR) for _ in range(20_000)), key=lambda a: int(repeats.anchor_hashes(np.frombuffer(a.encode(), np.uint8))[0]))
+
+
+def test_a_divided_string_does_not_match_itself(spark):
+    rng, n, near = random.Random(3), 4000, 70
+    anchor, left, right = low_anchor(rng), [some(rng, near) for _ in range(n)], [some(rng, near) for _ in range(n)]
+    # each text shares its left part with one text and its right part with another; the last one repeats more of the first
+    rows = [(i, some(rng, near) + left[i // 2] + anchor + right[(i + 1) // 2] + some(rng, near), "en") for i in range(n)]
+    rows.append((n, some(rng, 50) + rows[0][1][20:300] + some(rng, 50), "en"))
+    assert sum(len(t) for _, t, _ in rows) > repeats.BLOCK
+    agree(spark, frame(spark, rows).coalesce(1))
+
+
+def test_a_string_that_comes_to_a_key_by_two_ways_counts_once(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK", 600)
+    rng, gap = random.Random(4), repeats.LENGTH - repeats.ANCHOR
+    anchor, left, right = low_anchor(rng), some(rng, gap), some(rng, gap)
+    # the first text shares one byte too few with each other text
+    rows = [(0, left + anchor + right, "en")]
+    rows += [(1 + x, some(rng, gap - x, "ABCDEFGH") + left[gap - x :] + anchor + right[: gap - 1 - x] + some(rng, x + 1, "ABCDEFGH"), "en") for x in range(gap)]
+    agree(spark, frame(spark, rows).coalesce(1))
+
+
 def test_edges(spark):
     assert repeats.query(spark, empty(spark)).collect() == []
     assert len(repeats.query(spark, frame(spark, [(None, None, None)])).collect()) == 1
