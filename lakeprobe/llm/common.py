@@ -28,21 +28,55 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """The rows of docs as one struct column `doc` with the fields c0, c1...: no name of docs can clash with another."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names).select(F.struct(*names).alias("doc"))
+
+
+def field(docs: DataFrame, column: str) -> str:
+    """The name of a column of docs in packed(docs)."""
+    return f"doc.c{docs.columns.index(column)}"
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of docs again, with its columns."""
+    return rows.select("doc.*").toDF(*docs.columns)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor shares: spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or "/tmp/checkpoints").rstrip("/")
+    """This application's folder among those that every executor shares: below spark.checkpoint.dir or, where it is unset, the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read back: its lineage ends there.
 
-    Executors may be lost afterwards without anything being computed again.
+    Executors may be lost afterwards without anything being computed again. The folder
+    stays until discard(), or clean() once the results are saved.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a written table that nothing reads any more."""
+    _delete(df.sparkSession, df.written_at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete every table that this application has written; call it when its results are saved elsewhere."""
+    _delete(spark, shared_dir(spark))
 
 
 #: Rows of an Arrow batch of whole texts: texts may be long, and workers hold a batch at a time.
@@ -80,7 +114,7 @@ def partitions(spark: SparkSession) -> int:
 HOT_SHARE = 10_000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """rows joined with their group's row, without gathering the rows of a large group in one task.
 
     The groups that hold at least 1/HOT_SHARE of the rows (so at most HOT_SHARE of
@@ -98,21 +132,27 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternating large-star and small-star rounds: each node's neighbours are tied to
     the smallest of them, until nothing changes. Only (node, smallest) pairs move.
+    A node's smallest neighbour is found by partial minima, and hubs meet their
+    neighbours by broadcast (join_groups): no task gathers the neighbours of a hub.
     """
     edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    # sums over hashes tell whether the set of edges is still the same: no join is needed
+    mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 24))).first()
+    before = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).filter("n > 0"), f"{name}-least")
+        large = join_groups(both.filter("v > u"), least, "u", "n", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = written(large.filter("u <> v").distinct(), f"{name}-large")
         # small star: every node's smaller neighbours, and the node itself, to the smallest of them
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
+        down = written(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-down")
+        small = join_groups(large, down, "u", "n", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
         after = written(small.filter("u <> v").distinct(), name)
-        # sums over hashes tell whether the set of edges is still the same: no join is needed
-        mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 24))).first()
-        if mark(after) == mark(edges):
+        now = mark(after)
+        for gone in (edges, least, large, down):
+            discard(gone)
+        if now == before:
             break
-        edges = after
+        edges, before = after, now
     roots = after.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprobe.llm.common import components, join_groups, text_of, written
+from lakeprobe.llm.common import components, field, join_groups, packed, text_of, unpacked, written
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Tokens of a path at most; sets compared by brute force at most.
@@ -343,11 +343,12 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows, groups = linked(docs, id_col, text_col)
     # each set's first row, then each class's: both sums of few bytes, made where the rows are
     firsts = rows.groupBy("sig").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
-    stay = firsts.join(groups.select("sig", "root"), "sig").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("__stay"))
-    kept = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), text_of(text_col))).join(stay, F.col("__key") == F.col("__stay"), "left_semi")
+    stay = firsts.join(groups.select("sig", "root"), "sig").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias("key"))
+    marked = packed(docs).withColumn("key", F.xxhash64(F.col(field(docs, id_col)).cast("long"), text_of(field(docs, text_col))))
+    kept = marked.join(stay, "key", "left_semi")
     if not rows.groupBy("key").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["__key"])
-    return kept.drop("__key")
+        kept = kept.dropDuplicates(["key"])
+    return unpacked(kept, docs)
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
