@@ -34,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprobe.llm.common import text_of, written
+from lakeprobe.llm.common import join_groups, text_of, written
 from lakeprobe.llm.run_index import RunIndex
 
 LENGTH, ANCHOR = 200, 64
@@ -251,18 +251,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """A row (doc_id, n_bytes, kept binary, spans) for each row of docs."""
     text = text_of(text_col)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("t"), text.cast("binary").alias("data"))
-    found = rows.mapInArrow(places, "m long, h long, id long, t long, start int, size int, twice boolean")
-    of_anchor, of_segment = Window.partitionBy("m"), Window.partitionBy("m", "h")
-    numbered = (
-        found.repartition("m")
-        .withColumn("several", F.col("twice") | (F.min("h").over(of_anchor) < F.max("h").over(of_anchor)))
-        .withColumn("times", F.count(F.lit(1)).over(of_segment))
-        .withColumn("nth", F.row_number().over(of_segment.orderBy("id", "t", "start")))
+    found = written(rows.mapInArrow(places, "m long, h long, id long, t long, start int, size int, twice boolean"), "places")
+    # a row for each distinct segment, and one for each anchor: partial sums, so no task gathers the segments of an anchor
+    kinds = written(
+        found.groupBy("m", "h").agg(F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice"), F.min(F.struct("id", "t", "start", "size")).alias("first")), "kinds"
     )
-    known = written(numbered.filter("times > 1 OR several"), "segments")
-    whole = known.filter("times > 1").select("id", "t", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
-    wanted = known.filter("several AND nth = 1").groupBy("id", "t").agg(
-        F.collect_list(F.struct("m", "h", "start", "size", (F.col("times") == 1).alias("single"))).alias("wanted")
+    anchors = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("any_twice")).filter("kinds > 1 OR any_twice")
+    repeated = kinds.filter("times > 1").select("m", "h", "times")
+    whole = join_groups(found, repeated, ["m", "h"], "times", found.count()).select("id", "t", F.col("start").alias("a"), (F.col("start") + F.col("size")).alias("b"))
+    several = join_groups(kinds, anchors.select("m", "kinds", F.lit(True).alias("several")), "m", "kinds", kinds.count())
+    # an anchor whose only segment holds it twice matters where the segment does
+    wanted = several.groupBy("first.id", "first.t").agg(
+        F.collect_list(F.struct("m", "h", "first.start", "first.size", (F.col("times") == 1).alias("single"))).alias("wanted")
     )
     once = rows.join(wanted, ["id", "t"])
     strings = once.mapInArrow(fetch, "m long, h long, id long, t long, start int, single boolean, data binary")
