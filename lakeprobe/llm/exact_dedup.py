@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprobe.llm.common import join_groups, partitions, text_of, written
+from lakeprobe.llm.common import discard, field, join_groups, packed, partitions, text_of, unpacked, written
 
 
 def normalised(text: str = "text") -> Column:
@@ -48,6 +48,10 @@ class DigestIndex:
     def _append(self, rows: DataFrame) -> None:
         rows.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(self.name)
 
+    def drop(self) -> None:
+        """Delete the index."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+
     def rows(self) -> DataFrame:
         """What the index holds."""
         return self.spark.table(self.name)
@@ -57,8 +61,11 @@ class DigestIndex:
         self._append(groups.select("digest", "keep_id").join(self.rows().hint("merge"), "digest", "left_anti").select("digest", "keep_id"))
 
 
-def decide(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, digest, keep_id, group_size, ties, kept. Adds new texts to the index.
+def decide(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", portions: int = 1) -> DataFrame:
+    """One row per row of docs: id, digest, keep_id, group_size, kept. Adds new texts to the index.
+
+    The rows are added in portions of about the same size, smallest ids first (null ids
+    last), each against the index that the portions before have filled.
 
     Groups are counted before anything is shuffled in full. The few texts that hold
     at least 1/HOT_SHARE of the rows are joined by broadcast (at most HOT_SHARE rows
@@ -66,38 +73,45 @@ def decide(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
     their group in a sort-merge join.
     """
     rows = written(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(text_col).alias("digest")), "digests")
-    groups = written(
-        rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups"
-    )
-    index.add(groups)
-    groups = groups.drop("keep_id").join(index.rows().hint("merge"), "digest")
+    cuts = rows.agg(F.percentile_approx("doc_id", F.lit([i / portions for i in range(1, portions)]), 1000)).first()[0] if portions > 1 else None
+    number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts or ()))).otherwise(sum(((F.col("doc_id") > c).cast("int") for c in cuts or ()), F.lit(0)))
+    for i in range(len(cuts or ()) + 1):
+        index.add(rows.filter(number == i).groupBy("digest").agg(F.min("doc_id").alias("keep_id")))
+    sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+    groups = written(sizes.join(index.rows().hint("merge"), "digest"), "groups")
     found = join_groups(rows, groups, "digest", "group_size", rows.count())
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
 def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each group of equal texts one, and none that the index held before."""
-    index = index or DigestIndex(docs.sparkSession)
-    known = written(index.rows().select("digest"), "known")
-    kept = decide(docs, index, id_col, text_col).filter("kept")
-    stay = written(
-        kept.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("ties")).join(known.hint("merge"), "digest", "left_anti"), "stay"
-    )
-    own = [F.col("d." + c if "`" in c else f"d.`{c}`") for c in docs.columns]
-    marked = docs.withColumn("__digest", digest(text_col)).alias("d").join(
-        stay.alias("s"), F.expr(f"d.`{id_col}` <=> s.doc_id AND d.__digest = s.digest")
-    )
-    single = marked.filter("s.ties = 1").select(*own)
+    """The rows of docs that stay: of each group of equal texts one, and none that the index held before. Without an index, one is made and dropped again."""
+    own = index or DigestIndex(docs.sparkSession)
+    known = written(own.rows().select("digest"), "known")
+    kept = decide(docs, own, id_col, text_col).filter("kept")
+    stay = kept.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("ties")).join(known.hint("merge"), "digest", "left_anti")
+    stay = written(stay.select("digest", F.col("doc_id").alias("id"), "ties"), "stay")
+    discard(known)
+    if index is None:
+        own.drop()
+    # by id and digest, so the copies of a hot text do not meet in one task
+    rows = packed(docs).withColumn("own", digest(field(docs, text_col))).withColumn("own_id", F.col(field(docs, id_col)).cast("long"))
+    marked = rows.join(stay, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")))
+    single = unpacked(marked.filter("ties = 1"), docs)
     if stay.filter("ties > 1").isEmpty():
         return single
-    return single.unionByName(marked.filter("s.ties > 1").select(*own, F.col("d.__digest")).dropDuplicates(["__digest"]).drop("__digest"))
+    return single.unionByName(unpacked(marked.filter("ties > 1").dropDuplicates(["digest"]), docs))
+
+
+#: Portions in which the query adds the documents to its index.
+PORTIONS = 2
 
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The decision for every document."""
-    return decide(docs, DigestIndex(spark)).select(
-        "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    """The decision for every document, added in portions to an index that is dropped afterwards."""
+    index = DigestIndex(spark)
+    out = decide(docs, index, portions=PORTIONS).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    index.drop()
+    return out
 
 
 SQL = r"""
