@@ -7,8 +7,8 @@ squares problem that the expected tokens of each domain, sum of rate * tokens *
 posterior, match the target, by projected gradient steps from rate 1.
 
 A gradient step needs only the residual of each domain, so a step is one aggregation
-of the written posteriors, and a rate is a fold over the residuals so far: no state is
-kept per document. Squares are weighted by one over the domain's tokens and gradients
+of the written posteriors, and a rate is a fold over the last residuals; it is written
+down every FOLDED steps. A bound on the rates (`most`) is projected onto as 0 is. Squares are weighted by one over the domain's tokens and gradients
 by one over the document's, so the step 1 is never too long and long documents move
 like short ones.
 
@@ -18,6 +18,8 @@ Defined results:
 * by default targets are in proportion to the square root of the domains' tokens, and
   their sum is the least for which no domain must shrink, so documents are repeated
   rather than dropped; given targets may let rates fall to 0;
+* where no rates meet the targets, the last step's are taken and a warning tells what
+  is missed;
 * copies rounds the rate up or down by a hash of the id and text, so that copies are
   right on average; repeated rows get equal rates;
 * without labelled rows there is one domain, `all`, and every rate is 1; an empty table
@@ -26,6 +28,7 @@ Defined results:
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 
@@ -35,9 +38,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeprobe.llm import trigrams
-from lakeprobe.llm.common import text_of, written
+from lakeprobe.llm.common import discard, field, packed, text_of, unpacked, written
 
-STEPS, TOLERANCE = 40, 1e-6
+#: Steps at most, those after which rates are written down, and the relative residuals at which to stop and to be content.
+STEPS, FOLDED, TOLERANCE, ENOUGH = 120, 10, 1e-6, 1e-3
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -51,7 +55,8 @@ def posteriors(docs: DataFrame, model: trigrams.Trigrams, id_col: str = "doc_id"
     """Written rows (doc_id, t, tokens, p): the posterior of each domain for each document."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     if not model.labels:
-        return written(rows.select("doc_id", F.xxhash64("text").alias("t"), F.size(F.split(F.trim("text"), r"\s+")).cast("long").alias("tokens"), F.array(F.lit(1.0)).alias("p")), "mix")
+        tokens = F.regexp_count("text", F.lit(WORD.pattern)).cast("long")
+        return written(rows.select("doc_id", F.xxhash64("text").alias("t"), tokens.alias("tokens"), F.array(F.lit(1.0)).alias("p")), "mix")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,12 +71,13 @@ def posteriors(docs: DataFrame, model: trigrams.Trigrams, id_col: str = "doc_id"
     return written(rows.withColumn("t", F.xxhash64("text")).mapInArrow(run, "doc_id long, t long, tokens long, p array<double>"), "mix")
 
 
-def rate_after(history: list[list[float]]) -> Column:
-    """The rate of a document after the steps whose gradients (one number per domain) are given."""
+def rate_after(history: list[list[float]], most: float | None = None) -> Column:
+    """The rate of a document after the steps whose gradients (one number per domain) are given, from the column `rate`."""
     if not history:
-        return F.lit(1.0)
+        return F.col("rate")
     step = lambda p, g: F.aggregate(F.zip_with(p, g, lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(F.lit(history), F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - step(F.col("p"), g)))
+    held = (lambda r: F.greatest(F.lit(0.0), r)) if most is None else (lambda r: F.least(F.lit(most), F.greatest(F.lit(0.0), r)))
+    return F.aggregate(F.lit(history), F.col("rate"), lambda r, g: held(r - step(F.col("p"), g)))
 
 
 def totals(rows: DataFrame, domains: int, rate: Column) -> np.ndarray:
@@ -87,41 +93,53 @@ def default_targets(have: np.ndarray) -> np.ndarray:
     return weight * (have[held] / weight[held]).max() if held.any() else have
 
 
-def solve(rows: DataFrame, domains: int, targets: np.ndarray | None = None) -> list[list[float]]:
-    """The gradients of the steps until the residuals are small."""
-    have = totals(rows.withColumn("rate", F.lit(1.0)), domains, F.col("rate"))
+def solve(rows: DataFrame, domains: int, targets: np.ndarray | None = None, most: float | None = None) -> tuple[DataFrame, float]:
+    """rows (tokens, p...) with their rates, and what is left of the largest relative residual.
+
+    Steps are folded over the gradients since the rates were last written down, every FOLDED steps.
+    """
+    rows = rows.withColumn("rate", F.lit(1.0))
+    have = totals(rows, domains, F.col("rate"))
     targets = default_targets(have) if targets is None else np.asarray(targets, dtype=float)
     scale = np.where(have > 0, 1 / np.maximum(have, 1e-9), 0.0)
-    history: list[list[float]] = []
-    now = have
-    for _ in range(STEPS):
+    now, history, kept = have, [], None
+    for step in range(STEPS):
         residual = now - targets
         if np.abs(residual * scale).max(initial=0) <= TOLERANCE:
             break
         history.append((residual * scale).tolist())
-        now = totals(rows.withColumn("rate", rate_after(history)), domains, F.col("rate"))
-    return history
-
-
-def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """Rows (doc_id, t, tokens, p, rate, copies), and the domains in the order of p. targets: tokens by domain."""
+        if len(history) == FOLDED:
+            last, kept = kept, written(rows.withColumn("rate", rate_after(history, most)), "rates")
+            rows, history = kept, []
+            if last is not None:
+                discard(last)
+        now = totals(rows, domains, rate_after(history, most))
+    left = float(np.abs((now - targets) * scale).max(initial=0))
+    if left > ENOUGH:
+        # documents whose posteriors are mixed, or a bound on the rates, may leave no better ones
+        logging.getLogger(__name__).warning("mixing: after %d steps the targets are missed by %.2g of what is there", step + 1, left)
+    return rows.withColumn("rate", rate_after(history, most)), left
+
+
+def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, most: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """Rows (doc_id, t, tokens, p, rate, copies), and the domains in the order of p. targets: tokens by domain; most: the highest rate, if any."""
     model = trigrams.fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labelled)
     domains = model.labels or ["all"]
     rows = posteriors(docs, model, id_col, text_col)
-    history = solve(rows, len(domains), None if targets is None else np.array([targets.get(d, 0.0) for d in domains]))
+    solved, _ = solve(rows, len(domains), None if targets is None else np.array([targets.get(d, 0.0) for d in domains]), most)
     # sums of doubles depend on their order: a millionth more or less must not decide on a copy
-    out = rows.withColumn("rate", F.round(rate_after(history), 4))
+    out = solved.withColumn("rate", F.round("rate", 4))
     chance = F.pmod(F.xxhash64("doc_id", "t", F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
     return out.withColumn("copies", F.floor(F.col("rate") + chance).cast("int")), domains
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, least: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, least: int = 0, most: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with each row as often as its rate says, at least `least` times, with the columns of docs."""
-    chosen, _ = rates(docs, labelled, targets, id_col, text_col)
-    times = chosen.groupBy(F.col("doc_id").alias("__id"), F.col("t").alias("__t")).agg(F.greatest(F.max("copies"), F.lit(least)).alias("__copies"))
-    marked = docs.withColumn("__text", F.xxhash64(text_of(text_col)))
-    joined = marked.join(times, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__t")))
-    return joined.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen, _ = rates(docs, labelled, targets, most, id_col, text_col)
+    times = chosen.groupBy(F.col("doc_id").alias("id"), "t").agg(F.greatest(F.max("copies"), F.lit(least)).alias("copies"))
+    marked = packed(docs).withColumn("own", F.xxhash64(text_of(field(docs, text_col))))
+    joined = marked.join(times, F.col(field(docs, id_col)).cast("long").eqNullSafe(F.col("id")) & (F.col("own") == F.col("t")))
+    return unpacked(joined.withColumn("nth", F.explode(F.array_repeat(F.lit(1), F.col("copies")))), docs)
 
 
 def query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
