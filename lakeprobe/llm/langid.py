@@ -36,7 +36,13 @@ from lakeprobe.llm.common import join_groups, text_of, written
 #: Records that a prior of the next wider group counts for; the same for declarations.
 WEIGHT = 5.0
 DROPPED = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;")
-DECLARED = r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,8})"
+#: Where markup declares a language, the first that does so counts.
+DECLARED = (
+    r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,8})", r"(?is)<html\b[^>]*?\sxml:lang\s*=\s*[\"']?([a-z]{2,8})",
+    r"(?is)<meta\b[^>]*?content-language[^>]*?\bcontent\s*=\s*[\"']?([a-z]{2,8})", r"(?is)<body\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,8})",
+)
+#: An address of numbers is its own domain; so is what stands before a second-level suffix.
+DOMAIN = r"(\d+(?:\.\d+){3}|[^.]+\.(?:(?:co|com|org|net|ac|gov|edu)\.)?[^.]+)$"
 
 
 def visible(html: str) -> str:
@@ -53,8 +59,8 @@ def records(pages: DataFrame | None, docs: DataFrame | None) -> DataFrame:
         parts.append(
             p.select(
                 F.lit("page").alias("kind"), F.col("page_id").cast("long").alias("id"), F.col("html").alias("text"),
-                F.nullif(F.lower(F.regexp_extract("html", DECLARED, 1)), F.lit("")).alias("declared"), "host",
-                F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain"), F.regexp_extract("host", r"([^.]+)$", 1).alias("suffix"),
+                F.coalesce(*[F.nullif(F.lower(F.regexp_extract("html", d, 1)), F.lit("")) for d in DECLARED]).alias("declared"), "host",
+                F.regexp_extract("host", DOMAIN, 1).alias("domain"), F.regexp_extract("host", r"([^.]+)$", 1).alias("suffix"),
             )
         )
     if docs is not None:
@@ -97,16 +103,18 @@ def identify(rows: DataFrame, model: trigrams.Trigrams) -> DataFrame:
     n = hosts.agg(F.sum("n").alias("n"), *sums).first()
     everywhere = [((n[f"s{i}"] or 0.0) + 1) / ((n["n"] or 0) + len(languages)) for i in k]
 
-    def smoothed(level: str, wider: list[Column]) -> DataFrame:
-        t = hosts.groupBy(*(["domain", "suffix"] if level == "domain" else ["suffix"])).agg(F.sum("n").alias("n"), *sums)
-        if level == "domain":
-            t = t.join(smoothed("suffix", wider), "suffix")
-            wider = [F.col(f"suffix{i}") for i in k]
-        return t.select(*(["domain", "suffix"] if level == "domain" else ["suffix"]), *[((F.col(f"s{i}") + WEIGHT * wider[i]) / (F.col("n") + WEIGHT)).alias(f"{level}{i}") for i in k])
+    def shares(t: DataFrame, level: str, wider: list[Column]) -> list[Column]:
+        return [((F.col(f"s{i}") + WEIGHT * wider[i]) / (F.col("n") + WEIGHT)).alias(f"{level}{i}") for i in k]
 
-    domains = smoothed("domain", [F.lit(x) for x in everywhere])
+    # suffixes and domains with many members meet them by broadcast (join_groups): com is no key of one task
+    by_domain = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"), *sums), "domains")
+    by_suffix = by_domain.groupBy("suffix").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("domains"), *sums)
+    suffixes = by_suffix.select("suffix", "domains", *shares(by_suffix, "suffix", [F.lit(x) for x in everywhere]))
+    with_suffix = join_groups(by_domain, suffixes, "suffix", "domains", by_domain.count())
+    domains = with_suffix.select("domain", "suffix", "hosts", *shares(with_suffix, "domain", [F.col(f"suffix{i}") for i in k]))
     # hosts without a dot have no domain: their suffix tells them apart
-    priors = hosts.join(domains, ["domain", "suffix"]).select("host", F.col("n").alias("records"), *[F.col(f"s{i}").alias(f"h{i}") for i in k], *[f"domain{i}" for i in k])
+    priors = join_groups(hosts, domains, ["domain", "suffix"], "hosts", hosts.count())
+    priors = priors.select("host", F.col("n").alias("records"), *[F.col(f"s{i}").alias(f"h{i}") for i in k], *[f"domain{i}" for i in k])
     # one small row for each declaration that is a known language, or "other"
     said = {r["declared"]: r for r in seen.filter("declared IS NOT NULL").groupBy("declared").agg(*sums).collect()}
     totals = [sum(r[f"s{i}"] for r in said.values()) for i in k]
