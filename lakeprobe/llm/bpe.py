@@ -5,11 +5,15 @@ stretch of white space), which the merges never cross. A word is encoded once:
 * the HOT most frequent words of a bounded sample are encoded first and broadcast
   (what is in the sample changes the cost, never a result);
 * every other occurrence goes, with its chunk of documents and its place there, to the
-  partition of its word, is encoded there once for all its occurrences, and the ids are
-  joined back by chunk and place. Occurrences of a chunk that go to one partition travel
+  partition of its word, which is that word's row of the table: it is encoded there once
+  for all its occurrences, and the ids are joined back by chunk and place. The number of
+  partitions follows the bytes of text, so that a table of distinct words is held whole. Occurrences of a chunk that go to one partition travel
   packed together; there are never more rows than occurrences.
 Decoding joins ids with the table id -> piece, which has as many rows as the
-vocabulary, and concatenates the pieces.
+vocabulary and is broadcast, and concatenates the pieces.
+
+Documents are read twice and must come in the same order both times, as they do when
+they are read from files. For others (`stable` is not set) they are written first.
 
 Defined results:
 * null text is the empty text: no ids, decoded to the empty text;
@@ -36,12 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprobe.llm.common import bounded_batches, partitions, text_of, tidied
+from lakeprobe.llm.common import bounded_batches, partitions, text_of, tidied, written
 
 #: Words broadcast at most, and the bytes of text they are chosen from.
 HOT, SAMPLE_BYTES = 300_000, 64 << 20
-#: Distinct words a task remembers before it starts anew.
-REMEMBERED = 300_000
+#: Bytes of text whose other words meet in one partition, about: each holds the ids of its distinct words.
+BUCKET = 32 << 20
 #: Characters of the documents that are packed into one row.
 CHUNK = 1 << 19
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -119,11 +123,10 @@ def _byte_letters() -> list[str]:
     return letters
 
 
-def hot_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> pd.DataFrame:
-    """Up to HOT frequent words with their ids, from texts of about SAMPLE_BYTES bytes drawn by hash."""
+def hot_words(docs: DataFrame, vocabulary: Vocabulary, size: int, text_col: str = "text") -> pd.DataFrame:
+    """Up to HOT frequent words with their ids, from texts of about SAMPLE_BYTES of the `size` bytes, drawn by hash."""
     text = docs.select(text_of(text_col).alias("text"))
-    total = text.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    share = min(1.0, SAMPLE_BYTES / max(total, 1))
+    share = min(1.0, SAMPLE_BYTES / max(size, 1))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, counts = vocabulary.splitter(), Counter()
@@ -144,25 +147,28 @@ def hot_words(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -
     return top.mapInArrow(tidied(encode), "word string, n long, ids array<int>").orderBy(F.desc("n"), "word").toArrow().to_pandas()
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """A row (doc_id, ids array<int>) for each row of docs."""
-    sorted_rows, merge, _ = _encoding(docs, id_col, text_col, path)
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, stable: bool = False) -> DataFrame:
+    """A row (doc_id, ids array<int>) for each row of docs; stable: docs comes straight from files."""
+    sorted_rows, merge, _ = _encoding(docs, id_col, text_col, path, stable)
     return sorted_rows.mapInArrow(tidied(merge), "doc_id long, ids array<int>")
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """A row (doc_id, ids, decoded): encode and then decode, without a way through the JVM between."""
-    sorted_rows, merge, vocabulary = _encoding(docs, id_col, text_col, path)
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, stable: bool = False) -> DataFrame:
+    """A row (doc_id, ids, decoded): encode and then decode, without a way through the JVM between; stable: docs comes straight from files."""
+    sorted_rows, merge, vocabulary = _encoding(docs, id_col, text_col, path, stable)
     join = _joined(docs.sparkSession.sparkContext.broadcast(vocabulary.pieces()), 1)
     return sorted_rows.mapInArrow(tidied(lambda batches: join(merge(batches))), "doc_id long, ids array<int>, decoded string")
 
 
-def _encoding(docs: DataFrame, id_col: str, text_col: str, path: str | None):
+def _encoding(docs: DataFrame, id_col: str, text_col: str, path: str | None, stable: bool):
     """The packed rows sorted for merge, the function that merges them to (doc_id, ids), and the vocabulary."""
     spark = docs.sparkSession
     bounded_batches(spark)
     vocabulary = Vocabulary(path or default_vocabulary())
-    hot = hot_words(docs, vocabulary, text_col)
+    if not stable:
+        docs, id_col, text_col = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "bpe-input"), "id", "text"
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of(text_col))), F.lit(0))).first()[0]
+    hot = hot_words(docs, vocabulary, size, text_col)
     ids = [np.asarray(x, dtype=np.int32) for x in hot["ids"]]
     sizes = np.array([0, *map(len, ids)], dtype=np.int64)  # number 0: not hot
     table = spark.sparkContext.broadcast((hot["word"].tolist(), np.concatenate([*ids, np.zeros(0, np.int32)]), sizes))
@@ -175,7 +181,7 @@ def _encoding(docs: DataFrame, id_col: str, text_col: str, path: str | None):
 
     text = text_of(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("mark"))
-    buckets = 2 * partitions(spark)
+    buckets = max(2 * partitions(spark), -(-size // BUCKET))
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, list[list[str]], np.ndarray]]:
         """Documents in a row, up to CHUNK characters together: a key, the ids, the words of each, and the numbers of all words."""
@@ -225,9 +231,6 @@ def _encoding(docs: DataFrame, id_col: str, text_col: str, path: str | None):
                 raw, ends = data.tobytes(), np.cumsum(sizes).tolist()
                 words = [raw[i:j].decode("utf-8", "surrogatepass") for i, j in zip([0, *ends], ends, strict=False)]
                 new = [w for w in dict.fromkeys(words) if w not in known]
-                if len(known) + len(new) > REMEMBERED:
-                    known.clear()
-                    new = list(dict.fromkeys(words))
                 known.update((w, np.asarray(x, np.uint32).tobytes()) for w, x in zip(new, vocabulary.encode(new), strict=True))
                 found = [known[w] for w in words]
                 yield _row(key, 1, _packed(places, np.array([len(x) // 4 for x in found], np.uint32), np.frombuffer(b"".join(found), np.uint32)))
@@ -277,7 +280,7 @@ def _encoding(docs: DataFrame, id_col: str, text_col: str, path: str | None):
         yield from finish()
 
     schema = "chunk long, part int, blob binary"
-    rest = rows.mapInArrow(tidied(others), schema).repartition("part").mapInArrow(tidied(once), schema)
+    rest = rows.mapInArrow(tidied(others), schema).repartition(max(partitions(spark), buckets // 2), "part").mapInArrow(tidied(once), schema)
     both = rows.mapInArrow(tidied(pack), schema).unionByName(rest)
     return both.repartition("chunk").sortWithinPartitions("chunk", "part"), merge, vocabulary
 
@@ -334,7 +337,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids_col: str = "ids") ->
 
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
-    return round_trip(docs).select(
+    return round_trip(docs, stable=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
