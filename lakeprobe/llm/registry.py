@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from lakeprobe.llm import bpe, exact_dedup, jaccard_join, langid, mixing, repeats, sharding, suffix_tree_lm, toxicity, winnowing
 from lakeprobe.llm.common import documents, table
 
@@ -18,5 +17,4 @@ QUERIES = {
     "op9_exact_dedup": lambda spark, d: exact_dedup.query(spark, documents(spark, d)),
     "op10_sharding": lambda spark, d: sharding.query(spark, documents(spark, d)),
 }
-QUERIES["pipeline"] = corpus_pipeline.run
 ORACLES = {"op9_exact_dedup": exact_dedup.SQL}
