@@ -34,8 +34,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text."""
-    out = bpe.round_trip(docs)
+    """Token ids of every document, and the digest of what they decode to. The documents are those that the stage before has written."""
+    out = bpe.round_trip(docs, stable=True)
     return out.select("doc_id", "ids", F.size("ids").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
