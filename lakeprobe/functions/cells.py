@@ -48,9 +48,18 @@ def looks_like_date(c: Column) -> Column:
     return F.length(c).between(6, 40) & c.rlike(r"^\d") & (c.rlike(r"^\d+$") | c.rlike(r"[-/.]"))
 
 
+ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?)?"
+OFFSET = r"(Z|z|[+-]\d{2}:?\d{2})$"
+
+
 def date(c: Column) -> Column:
-    """ISO 8601 first, then the formats in order; the first that fits wins."""
-    iso = F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"), c.try_cast("timestamp_ntz"))
+    """ISO 8601 first, then the formats in order; the first that fits wins. Times with an offset are turned to UTC."""
+    # without the minus of a date: an offset stands behind a time only
+    local = F.regexp_replace(F.regexp_replace(c, r"(:\d{2}(?:[.,]\d{1,6})?)(?:[Zz]|[+-]\d{2}:?\d{2})$", "$1"), ",", ".").try_cast("timestamp_ntz")
+    sign = F.regexp_extract(c, r":\d{2}(?:[.,]\d{1,6})?([+-])\d{2}:?\d{2}$", 1)
+    hours, minutes = (F.regexp_extract(c, r":\d{2}(?:[.,]\d{1,6})?[+-](\d{2}):?(\d{2})$", i).try_cast("int") for i in (1, 2))
+    ahead = F.coalesce(F.when(sign == "-", -1).otherwise(1) * (hours * 60 + minutes), F.lit(0))
+    iso = F.when(c.rlike(ISO + "$") | c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,6})?)?" + OFFSET), local - F.make_dt_interval(mins=ahead))
     parsed = [F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in DATES]
     return F.when(looks_like_date(c), F.coalesce(iso, *parsed))
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Records whose keys are looked at where no fields are named.
 KEY_RECORDS = 200
@@ -19,6 +23,47 @@ def keys(df: DataFrame, json_col: str) -> DataFrame:
     return df.select(F.explode(F.json_object_keys(json_col)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("records"))
 
 
+def key_union(df: DataFrame, json_col: str, order: str, records: int = KEY_RECORDS) -> list[str]:
+    """The keys of the first records, in the order in which they are first seen; at most `records` small rows are looked at."""
+    first = df.orderBy(order).limit(records).select(F.col(order).alias("at"), F.posexplode(F.json_object_keys(json_col)).alias("pos", "key"))
+    rows = first.groupBy("key").agg(F.min(F.struct("at", "pos")).alias("first")).orderBy("first").collect()
+    return [r["key"] for r in rows]
+
+
+def project_all(df: DataFrame, json_col: str, order: str) -> DataFrame:
+    """df with a text column for each key of its first records."""
+    return project(df, json_col, key_union(df, json_col, order))
+
+
+def stringify(c: Column, limit: int = 500) -> Column:
+    """A value of JSON text as a cell: null as nothing, objects and lists as JSON of at most `limit` characters, texts without quotes."""
+    v = F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")
+    return F.when(c.isNull() | (F.trim(c) == "null"), "").when(F.trim(c).rlike(r"^[\[{]"), F.substring(v, 1, limit)).otherwise(F.coalesce(v, F.lit("")))
+
+
+def _largest(texts: pd.Series) -> pd.Series:
+    def walk(text: str | None) -> str | None:
+        try:
+            todo = [json.loads(text or "null")]
+        except ValueError:
+            return None
+        best: list = []
+        while todo:
+            o = todo.pop()
+            if isinstance(o, list):
+                records = [x for x in o if isinstance(x, dict)]
+                best = records if len(records) > len(best) else best
+            todo.extend(reversed(o if isinstance(o, list) else list(o.values()) if isinstance(o, dict) else []))
+        return json.dumps(best, ensure_ascii=False)
+
+    return texts.map(walk)
+
+
+def largest_records(c: Column) -> Column:
+    """JSON text of the longest list of objects anywhere in a value (the first of equals); null for text that is no JSON. Nesting has no bound, so no path expression finds it."""
+    return F.pandas_udf(_largest, StringType())(c)
+
+
 def shape(c: Column) -> Column:
     """object, array, scalar or invalid."""
     v = F.try_parse_json(c)

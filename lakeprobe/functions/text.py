@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: The first engine's classes of characters, as regular-expression ranges; the first that fits wins.
 KINDS = {
@@ -80,6 +81,27 @@ def _composed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t))
 
 
+FORMS = ("NFC", "NFD", "NFKC", "NFKD")
+
+
+def normalized(c: Column, form: str) -> Column:
+    """One of the four normal forms; Spark has no function for them."""
+    if form not in FORMS:
+        raise ValueError(f"unknown normal form: {form}")
+    return F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize(form, t)), StringType())(c)
+
+
+def forms(c: Column) -> Column:
+    """array<struct<form, length, bytes, changes>>: what each normal form would make of a text."""
+    each = [(f, normalized(c, f)) for f in FORMS]
+    return F.array(*[F.struct(F.lit(f).alias("form"), F.length(t).alias("length"), F.octet_length(t).alias("bytes"), (t != c).alias("changes")) for f, t in each])
+
+
+def names(c: Column) -> Column:
+    """The Unicode names of a text's characters, in order; <control> and the like where there is none."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else [unicodedata.name(x, f"<{unicodedata.category(x)}>") for x in t]), ArrayType(StringType()))(c)
+
+
 def nfc(c: Column) -> Column:
     """Canonical composition; Spark has no function for it."""
     return F.pandas_udf(_composed, StringType())(c)
@@ -103,6 +125,46 @@ def escape(c: Column) -> Column:
     return F.array_join(F.transform(F.split(c, ""), lambda ch: F.when((F.ascii(ch) < 128), ch).otherwise(code(ch))), "")
 
 
+def changes(c: Column) -> Column:
+    """array<struct<pos, ch, kind, action>>: what clean_copy() removes from a text or replaces in it."""
+    return F.filter(issues(c), lambda x: x["action"] != "keep")
+
+
+#: Letters that look alike, Cyrillic and Latin.
+CYRILLIC = "абвеёкмнорстухѕіјԁһАВЕЁКМНОРСТУХЅІЈ"
+LOOKS_LATIN = "a6BeekMHopcTyxsijdhABEEKMHOPCTYXSIJ"
+LATIN = "aeopcxyABEKMHOPCTX"
+LOOKS_CYRILLIC = "аеорсхуАВЕКМНОРСТХ"
+
+
+def look_alikes(word: Column) -> Column:
+    """array<struct<pos, ch, looks_like>> of a word's letters that look like one of the other script."""
+    known = F.create_map(*[F.lit(x) for a, b in ((CYRILLIC, LOOKS_LATIN), (LATIN, LOOKS_CYRILLIC)) for pair in zip(a, b, strict=True) for x in pair])
+    marked = F.transform(F.split(word, ""), lambda ch, i: F.struct(i.alias("pos"), ch.alias("ch"), F.element_at(known, ch).alias("looks_like")))
+    return F.filter(marked, lambda x: x["looks_like"].isNotNull())
+
+
+def report(c: Column) -> Column:
+    """struct<status, length, bytes, is_nfc, kinds, mixed>: a text's gravest severity, sizes, counts by kind of its suspicious characters, and mixed-script words."""
+    found = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), n.alias("n")) for k, n in count_kinds(c).items()]), lambda x: x["n"] > 0)
+    mixed = mixed_words(c)
+    grave = F.when((F.size(mixed) > 0) & status(c).isin("ok", "info"), "warn").otherwise(status(c))
+    return F.struct(grave.alias("status"), F.length(c).alias("length"), F.octet_length(c).alias("bytes"), (nfc(c) == c).alias("is_nfc"), found.alias("kinds"), mixed.alias("mixed"))
+
+
+def reversible_escape(c: Column) -> Column:
+    """Printable ASCII as it is, a backslash doubled, every other character as backslash, u or U, and hex digits."""
+    code = lambda ch: F.when(F.ascii(ch) > 0xFFFF, F.format_string("\\U%08x", F.ascii(ch))).otherwise(F.format_string("\\u%04x", F.ascii(ch)))
+    one = lambda ch: F.when(ch == "\\", "\\\\").when(F.ascii(ch).between(0x20, 0x7E), ch).otherwise(code(ch))
+    return F.when(F.length(c) == 0, c).otherwise(F.array_join(F.transform(F.split(c, ""), one), ""))
+
+
+def unescape(c: Column) -> Column:
+    """The text that reversible_escape() made this of. Spark has no function from a number to any character."""
+    plain = lambda t: re.sub(r"\\(\\|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8})", lambda m: "\\" if m[1] == "\\" else chr(int(m[1][1:], 16)), t)
+    return F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else plain(t)), StringType())(c)
+
+
 def differences(left: Column, right: Column, limit: int = 50) -> Column:
     """Places at which two texts differ, at most `limit` of them."""
     pairs = F.arrays_zip(F.split(left, "").alias("l"), F.split(right, "").alias("r"))
@@ -110,6 +172,11 @@ def differences(left: Column, right: Column, limit: int = 50) -> Column:
     return F.slice(F.filter(marked, lambda x: ~x["l"].eqNullSafe(x["r"])), 1, limit)
 
 
+def trim(c: Column) -> Column:
+    """Without white space of any kind at the edges."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_ws(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -121,7 +188,7 @@ def regex(c: Column, pattern: str, group: int = 0) -> Column:
 
 def number(c: Column) -> Column:
     """The first number as text: of comma and point the right-most is the decimal point; a comma alone is one too."""
-    raw = F.regexp_replace(F.regexp_extract(c, r"-?\d[\d .,\x{A0}]*", 0), r"[ \x{A0}]", "")
+    raw = F.regexp_replace(F.regexp_extract(c, r"(?U)-?\d[\d\s.,]*", 0), r"(?U)\s", "")
     comma, point = F.length(raw) - F.instr(F.reverse(raw), ","), F.length(raw) - F.instr(F.reverse(raw), ".")
     has = lambda ch: raw.contains(ch)
     both = F.when(comma > point, F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(raw, F.lit(","), F.lit("")))
@@ -129,7 +196,7 @@ def number(c: Column) -> Column:
 
 
 def date(c: Column) -> Column:
-    """The first ISO or day-month-year date as ISO text, else the trimmed text."""
-    iso, parts = r"(\d{4}-\d{2}-\d{2})", r"(\d{1,2})[./](\d{1,2})[./](\d{4})"
-    part = lambda i, n: F.lpad(F.regexp_extract(c, parts, i), n, "0")
-    return F.when(c.rlike(iso), F.regexp_extract(c, iso, 1)).when(c.rlike(parts), F.concat_ws("-", part(3, 4), part(2, 2), part(1, 2))).otherwise(F.trim(c))
+    """The first ISO or day-month-year date of whole numbers as ISO text, else the trimmed text."""
+    iso, parts = r"(?U)\b(\d{4}-\d{2}-\d{2})\b", r"(?U)\b(\d{2})[./](\d{2})[./](\d{4})\b"
+    part = lambda i: F.regexp_extract(c, parts, i)
+    return F.when(c.rlike(iso), F.regexp_extract(c, iso, 1)).when(c.rlike(parts), F.concat_ws("-", part(3), part(2), part(1))).otherwise(trim(c))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 WEIGHTS = {"name": 5, "category": 4, "description": 3, "why_useful": 2, "ideas": 2}
 FREE_TYPES = ("free_forever", "free_tier", "open_data")
 STALE_DAYS = 180
+#: Fixed value: the word that tells a permission of commercial use.
+ALLOWED = "разреш"
 
 
 def relevance(query: str) -> Column:
@@ -18,17 +22,62 @@ def relevance(query: str) -> Column:
     return sum(hits[1:], hits[0]) if q else F.lit(1)
 
 
+#: What a topic of the query adds for a record of its categories, and for one that describes them.
+TOPIC, DESCRIBED = 4, 1
+
+
 def boost(records: DataFrame, query: str, stems: DataFrame) -> DataFrame:
-    """records with `boost`: 4 for the topic, else 1, where a word of the query and a stem (stem, category) begin alike.
+    """records with `boost`: for every word of the query and every stem (stem, category) of which one begins with the other, TOPIC where the category is the record's, DESCRIBED where its description names one of the stem's categories.
 
-    The words of a query are few, so their stems are found first and broadcast.
+    The words of a query and the stems of the table are few: what matches is found first.
     """
-    words = [w for w in query.lower().split() if len(w) >= 3]
-    alike = F.lit(False)
-    for w in words:
-        alike = alike | F.startswith(F.lit(w), F.col("stem")) | F.startswith("stem", F.lit(w))
-    topics = stems.filter(alike).groupBy("category").agg(F.max(F.lit(4)).alias("topic"))
-    return records.join(F.broadcast(topics), "category", "left").withColumn("boost", F.coalesce("topic", F.lit(0))).drop("topic")
+    words = [w for w in re.findall(r"\w+", query.lower())]
+    pairs = stems.select(F.lower("stem").alias("stem"), F.lower("category").alias("topic")).distinct().withColumn("word", F.explode(F.lit(words).cast("array<string>")))
+    alike = pairs.filter(F.startswith("word", F.col("stem")) | F.startswith("stem", F.col("word"))).groupBy("word", "stem").agg(F.collect_set("topic").alias("topics"))
+    groups = [r["topics"] for r in alike.collect()]
+    if not groups:
+        return records.withColumn("boost", F.lit(0))
+    described = F.lower(F.coalesce("description", F.lit("")))
+    score = F.aggregate(F.lit(groups), F.lit(0), lambda n, t: n + F.when(F.array_contains(t, F.lower("category")), TOPIC).otherwise(0) + F.when(F.exists(t, lambda c: F.contains(described, c)), DESCRIBED).otherwise(0))
+    return records.withColumn("boost", score)
+
+
+def filtered(records: DataFrame, category: str | None = None, no_key: bool | None = None, free_type: str | None = None, cors: bool | None = None, has_sdk: bool | None = None, commercial: bool = False) -> DataFrame:
+    """The records that every given filter lets through; commercial wants a permission in commercial_use."""
+    c, keep = F.col, F.lit(True)
+    if category:
+        keep = keep & (F.lower("category") == category.lower())
+    if no_key is not None:
+        keep = keep & ((c("auth") == "none") == no_key)
+    if free_type:
+        keep = keep & (c("free_type") == free_type)
+    for name, want in (("cors", cors), ("sdk", has_sdk)):
+        if want is not None:
+            keep = keep & (F.coalesce(c(name), F.lit(False)) == want)
+    if commercial:
+        keep = keep & F.contains(F.lower(F.coalesce("commercial_use", F.lit(""))), F.lit(ALLOWED))
+    return records.filter(keep)
+
+
+def effective_status(today: Column) -> Column:
+    """availability_checked where a probe succeeded, stale where the check of the documents is old, else the status itself."""
+    return F.when(F.coalesce("probe_ok", F.lit(False)), "availability_checked").when((F.col("status") == "docs_verified") & is_stale(today), "stale").otherwise(F.col("status"))
+
+
+def merged(sources: list[DataFrame], key: str = "id") -> DataFrame:
+    """The free records of several sources; of those with one key that of the first source stays."""
+    every = None
+    for i, s in enumerate(sources):
+        part = s.withColumn("source_number", F.lit(i))
+        every = part if every is None else every.unionByName(part, allowMissingColumns=True)
+    least = every.groupBy(F.col(key).alias("first_key")).agg(F.min("source_number").alias("first_number"))
+    kept = every.join(least, (F.col(key) == F.col("first_key")) & (F.col("source_number") == F.col("first_number")))
+    return kept.filter(is_free()).drop("source_number", "first_key", "first_number").dropDuplicates([key])
+
+
+def of_topics(records: DataFrame, topics: list[str]) -> DataFrame:
+    """The records of the named categories, whatever their case."""
+    return records.filter(F.lower("category").isin(*[t.lower() for t in topics]))
 
 
 def is_free() -> Column:

@@ -6,9 +6,15 @@ works on rows per column and bin, category or statistic.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeprobe.functions import cells
+from lakeprobe.operators import ordering, profile
+from lakeprobe.session import saved
+
 EPS = 1e-10
 TENTHS = [i / 10 for i in range(1, 10)]
 #: Categories compared by name; the others are one.
@@ -19,32 +25,55 @@ def sided(df: DataFrame, is_current: Column) -> DataFrame:
     return df.withColumn("side", F.when(is_current, "current").otherwise("reference"))
 
 
-def edges(values: DataFrame, exact: bool = True) -> DataFrame:
-    """Rows (column, edges): the distinct inner deciles of the reference. Not exact: of a mergeable sketch, for columns whose distinct values do not fit one task."""
-    q = F.percentile("value", F.lit(TENTHS)) if exact else F.percentile_approx("value", F.lit(TENTHS), 10_000)
-    return values.filter("side = 'reference' AND value IS NOT NULL").groupBy("column").agg(F.array_distinct(q).alias("edges"))
+def counted(values: DataFrame) -> DataFrame:
+    """Rows (column, value, ref, cur): how often each value, null too, occurs on either side."""
+    return values.groupBy("column", "value").agg(F.count_if(F.col("side") == "reference").alias("ref"), F.count_if(F.col("side") == "current").alias("cur"))
+
 
+def ranked(counts: DataFrame) -> DataFrame:
+    """Counts of numbers with before_ref, before_cur, all_ref and all_cur: what stands below each value, and in all."""
+    return ordering.running(counts.filter("value IS NOT NULL"), ["column"], "value", ["ref", "cur"])
+
+
+def edges(order: DataFrame) -> DataFrame:
+    """Rows (column, edges): the distinct inner deciles of the reference, from ranked()."""
+    c = F.col
+    each = [ordering.quantile(q, c("value"), c("ref"), c("before_ref"), c("all_ref")) for q in TENTHS]
+    return order.filter("all_ref > 0").groupBy("column").agg(F.array_distinct(F.array(*each)).alias("edges"))
 
-def bins(values: DataFrame, exact: bool = True) -> DataFrame:
-    """Rows (column, bin, ref, cur): counts in every bin between the edges, empty bins too."""
-    of = edges(values, exact)
-    joined = values.filter("value IS NOT NULL").join(F.broadcast(of), "column")
+
+def binned(order: DataFrame) -> DataFrame:
+    """Rows (column, bin, ref, cur): counts in every bin between the edges, empty bins too, from ranked()."""
+    of = edges(order)
     at = F.size(F.filter("edges", lambda e: e < F.col("value")))
-    counts = joined.groupBy("column", at.alias("bin")).agg(F.count_if(F.col("side") == "reference").alias("ref"), F.count_if(F.col("side") == "current").alias("cur"))
+    counts = order.join(F.broadcast(of), "column").groupBy("column", at.alias("bin")).agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
     every = of.select("column", F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
     return every.join(counts, ["column", "bin"], "left").fillna(0, ["ref", "cur"])
 
 
-def categories(values: DataFrame, k: int = ALPHABET) -> DataFrame:
-    """Rows (column, category, ref, cur): the k most frequent categories of either side, and '__other__' for the rest."""
-    counts = values.filter("value IS NOT NULL").groupBy("column", "value").agg(
-        F.count_if(F.col("side") == "reference").alias("ref"), F.count_if(F.col("side") == "current").alias("cur")
-    )
-    place = lambda c: F.row_number().over(Window.partitionBy("column").orderBy(F.desc(c), "value"))
-    named = (F.col("in_ref") <= k) & (F.col("ref") > 0) | (F.col("in_cur") <= k) & (F.col("cur") > 0)
-    category = F.when(named, F.col("value")).otherwise("__other__").alias("category")
-    ranked = counts.withColumn("in_ref", place("ref")).withColumn("in_cur", place("cur"))
-    return ranked.groupBy("column", category).agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+def bins(values: DataFrame) -> DataFrame:
+    """Rows (column, bin, ref, cur) of numbers."""
+    return binned(saved(ranked(counted(values)), "ranked"))
+
+
+def first(counts: DataFrame, by: str, k: int) -> DataFrame:
+    """The k values of each column that occur most often on a side, ties by value. The filter on the rank lets every partition keep only its own first k."""
+    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc(by), "value"))
+    return counts.filter(F.col(by) > 0).withColumn("place", rank).filter(F.col("place") <= k).select("column", "value")
+
+
+def categories(counts: DataFrame, k: int = ALPHABET) -> DataFrame:
+    """Rows (column, category, ref, cur) of counted(): the k most frequent categories of either side, and '__other__' for the rest."""
+    present = counts.filter("value IS NOT NULL")
+    names = first(present, "ref", k).union(first(present, "cur", k)).distinct().withColumn("named", F.lit(True))
+    category = F.when(F.col("named"), F.col("value")).otherwise("__other__").alias("category")
+    # at most 2 * k names for each column
+    return present.join(F.broadcast(names), ["column", "value"], "left").groupBy("column", category).agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+
+
+def one_sided(counts: DataFrame) -> DataFrame:
+    """Rows (column, value, change) of values, of any rank, that only one side has: new or disappeared."""
+    return counts.filter("value IS NOT NULL").filter((F.col("ref") == 0) | (F.col("cur") == 0)).select("column", "value", F.when(F.col("ref") == 0, "new").otherwise("disappeared").alias("change"))
 
 
 def _shares(rows: DataFrame, smoothed: bool) -> DataFrame:
@@ -79,47 +108,51 @@ def chi_square(rows: DataFrame) -> DataFrame:
     return sized.groupBy("column").agg(F.sum(part("ref") + part("cur")).alias("chi2"), (F.count(F.lit(1)) - 1).alias("df"))
 
 
-def chi_square_tail(chi2: Column, df: Column) -> Column:
-    """Probability of a larger statistic: the regularised upper gamma function by its series, up to 500 terms."""
-    a, x = df / 2.0, chi2 / 2.0
-    term = F.exp(-x + a * F.log(x) - F.expr("0.0"))
-    step = F.aggregate(
-        F.sequence(F.lit(1), F.lit(500)),
-        F.struct((1 / a).alias("t"), (1 / a).alias("s")),
-        lambda acc, i: F.struct((acc["t"] * x / (a + i)).alias("t"), (acc["s"] + acc["t"] * x / (a + i)).alias("s")),
-        lambda acc: acc["s"],
-    )
-    # ln gamma of a half-integer: the product of the numbers below it, and of sqrt(pi) if it is not whole
-    whole = F.pmod(df, F.lit(2)) == 0
-    start = F.when(whole, F.lit(1.0)).otherwise(F.lit(0.5))
-    count = F.floor(a - start).cast("int")
-    ln_gamma = F.when(whole, F.lit(0.0)).otherwise(F.log(F.sqrt(F.lit(3.141592653589793)))) + F.coalesce(
-        F.aggregate(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.expr("CAST(array() AS array<int>)")), F.lit(0.0), lambda s, i: s + F.log(start + i)), F.lit(0.0)
-    )
-    return F.when((df <= 0) | (chi2 <= 0), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - term * step / F.exp(ln_gamma))))
+def _ln_gamma(df: Column) -> Column:
+    """ln gamma of df / 2 by Stirling's series, after shifting the argument above 8."""
+    a = df / 2.0
+    shifted = a + 8
+    product = F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0.0), lambda s, i: s + F.log(a + i))
+    series = 1 / (12 * shifted) - 1 / (360 * F.pow(shifted, F.lit(3))) + 1 / (1260 * F.pow(shifted, F.lit(5))) - 1 / (1680 * F.pow(shifted, F.lit(7)))
+    return (shifted - 0.5) * F.log(shifted) - shifted + 0.5 * F.log(F.lit(2 * math.pi)) + series - product
 
 
-def ks(values: DataFrame, buckets: int = 64) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance per column.
+def chi_square_tail(chi2: Column, df: Column, terms: int = 1000) -> Column:
+    """Probability of a larger statistic: the regularised upper gamma function.
 
-    Distinct values are counted first; running sums go by bucket of values (between
-    sketched quantiles), so no task sorts a whole column.
+    Below df / 2 + 1 it is 1 minus the power series of the lower one; beyond, where that
+    would cancel, the continued fraction of the upper one (Lentz), in which nothing
+    underflows before the result itself does.
     """
-    counts = values.filter("value IS NOT NULL").groupBy("column", "value").agg(
-        F.count_if(F.col("side") == "reference").alias("ref"), F.count_if(F.col("side") == "current").alias("cur")
-    )
-    cuts = values.groupBy("column").agg(F.array_distinct(F.percentile_approx("value", F.lit([i / buckets for i in range(1, buckets)]), 1000)).alias("cuts"))
-    placed = counts.join(F.broadcast(cuts), "column").withColumn("bucket", F.size(F.filter("cuts", lambda e: e < F.col("value")))).drop("cuts")
-    sums = placed.groupBy("column", "bucket").agg(F.sum("ref").alias("r"), F.sum("cur").alias("c"))
-    before = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    all_of = Window.partitionBy("column")
-    sums = sums.select(
-        "column", "bucket", F.coalesce(F.sum("r").over(before), F.lit(0)).alias("r0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"),
-        F.sum("r").over(all_of).alias("n1"), F.sum("c").over(all_of).alias("n2"),
-    )
-    running = Window.partitionBy("column", "bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    gap = F.abs((F.col("r0") + F.sum("ref").over(running)) / F.col("n1") - (F.col("c0") + F.sum("cur").over(running)) / F.col("n2"))
-    return placed.join(F.broadcast(sums), ["column", "bucket"]).withColumn("gap", gap).groupBy("column").agg(F.max("gap").alias("ks"), F.max("n1").alias("n1"), F.max("n2").alias("n2"))
+    a, x = df / 2.0, chi2 / 2.0
+    tiny = 1e-300
+    steps = F.sequence(F.lit(1), F.lit(terms))
+    scale = F.exp(a * F.log(x) - x - _ln_gamma(df))
+    state = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    lower = F.aggregate(steps, state(t=1 / a, s=1 / a), lambda acc, i: state(t=acc["t"] * x / (a + i), s=acc["s"] + acc["t"] * x / (a + i)), lambda acc: acc["s"])
+
+    def turn(acc: Column, i: Column) -> Column:
+        an, b = -i * (i - a), x + 1 - a + 2 * i
+        held = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+        d, c = 1 / held(an * acc["d"] + b), held(b + an / acc["c"])
+        return state(c=c, d=d, h=acc["h"] * c * d)
+
+    start = 1 / (x + 1 - a)
+    upper = F.aggregate(steps, state(c=F.lit(1 / tiny), d=start, h=start), turn, lambda acc: acc["h"])
+    p = F.when(x < a + 1, 1 - scale * lower).otherwise(scale * upper)
+    return F.when((df <= 0) | (chi2 <= 0), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)))
+
+
+def ks_of(order: DataFrame) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov distance per column, from ranked()."""
+    c = F.col
+    gap = F.abs((c("before_ref") + c("ref")) / c("all_ref") - (c("before_cur") + c("cur")) / c("all_cur"))
+    return order.groupBy("column").agg(F.max(gap).alias("ks"), F.max("all_ref").alias("n1"), F.max("all_cur").alias("n2"))
+
+
+def ks(values: DataFrame) -> DataFrame:
+    """The distance for rows (side, column, value) of numbers."""
+    return ks_of(ranked(counted(values)))
 
 
 def ks_tail(d: Column, n1: Column, n2: Column) -> Column:
@@ -149,7 +182,8 @@ def graded(value: Column, warn: float, alert: float) -> Column:
 
 def numeric_metrics(values: DataFrame, stats: DataFrame) -> DataFrame:
     """Every numeric drift metric, a row per column."""
-    got = wide(stats, ["n", "min", "max", "mean", "std", "negatives"]).join(psi(bins(values)), "column").join(ks(values), "column")
+    order = saved(ranked(counted(values)), "ranked")
+    got = wide(stats, ["n", "min", "max", "mean", "std", "negatives"]).join(psi(binned(order)), "column").join(ks_of(order), "column")
     return got.withColumn("d", cohens_d()).withColumn("ks_p", ks_tail(F.col("ks"), F.col("n1"), F.col("n2"))).drop("n1", "n2")
 
 
@@ -197,6 +231,104 @@ def presence_findings(rates: DataFrame) -> DataFrame:
     })
 
 
+def categorical_findings(metrics: DataFrame) -> DataFrame:
+    """category.* and cardinality.change, from categorical_metrics() with the counts of one-sided values and the cardinalities."""
+    c = F.col
+    ratio = c("cur_distinct") / c("ref_distinct")
+    return findings(metrics, {
+        "category.psi": graded(c("psi"), 0.10, 0.25),
+        "category.chi_square": F.when((c("chi2_p") < 0.01) & (c("tvd") >= 0.05), "warn"),
+        "category.new": F.when(c("new") > 0, "warn"),
+        "category.disappeared": F.when(c("disappeared") > 0, "info"),
+        "cardinality.change": F.when((c("ref_distinct") > 0) & (c("cur_distinct") > 0) & ((ratio >= 1.5) | (ratio <= 0.67)), "warn"),
+    })
+
+
+def profiles(valued: DataFrame) -> DataFrame:
+    """A row per column of rows (column, value, kind, moment, ref, cur): what both sides are, as ref_* and cur_*; a column that a side lacks has present 0 there."""
+    sides = F.array(*[F.struct(F.lit(name).alias("side"), F.col(n).alias("n")) for name, n in (("reference", "ref"), ("current", "cur"))])
+    each = valued.select("column", "value", "kind", "moment", F.explode(sides).alias("x")).select("column", "value", "kind", "moment", "x.*").filter("n > 0")
+    known = profile.classify(profile.features_of(each, "side")).join(each.groupBy("side", "column").agg(F.min("moment").alias("first"), F.max("moment").alias("last")), ["side", "column"])
+    return wide(known, ["present", "distinct", "base", "role", "mixed", "first", "last"])
+
+
+def analysis(ref: Column, cur: Column) -> Column:
+    """How a column is compared, from its roles on both sides."""
+    both = lambda *names: ref.isin(*names) & cur.isin(*names)
+    either = lambda name: (ref == name) | (cur == name)
+    return (
+        F.when(both("integer", "float"), "numeric").when(both("categorical", "boolean"), "categorical").when(either("identifier"), "identifier")
+        .when(both("datetime"), "datetime").when(either("text"), "text").otherwise("structural")
+    )
+
+
+def structural_findings(columns: DataFrame) -> DataFrame:
+    """schema.*, quality.* and datetime.* of columns that both sides have, from profiles() with the missing cells and analysis()."""
+    c = F.col
+    retyped = c("ref_role") != c("cur_role")
+    dated = c("analysis") == "datetime"
+    return findings(columns, {
+        "schema.type_changed": F.when(retyped, "alert"),
+        "schema.base_type_changed": F.when(~retyped & (c("ref_base") != c("cur_base")), "warn"),
+        "quality.mixed_types": F.when(c("cur_mixed") & ~c("ref_mixed"), "warn"),
+        "quality.became_constant": F.when((c("ref_distinct") > 1) & (c("cur_distinct") == 1), "alert"),
+        "quality.no_longer_constant": F.when((c("ref_distinct") == 1) & (c("cur_distinct") > 1), "info"),
+        "quality.became_empty": F.when((c("ref_present") > 0) & (c("cur_present") == 0), "alert"),
+        "datetime.earlier_than_reference": F.when(dated & (c("cur_first") < c("ref_first")), "info"),
+        "datetime.disjoint_period": F.when(dated & (c("cur_first") > c("ref_last")), "info"),
+    })
+
+
+def compare(values: DataFrame, schema: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The whole report on two untyped tables: findings (column, code, severity), and a row per column with how it was compared and its psi.
+
+    values: rows (side, column, value) of the cells of both, as normalised text; schema:
+    rows (column, in_ref, in_cur). Cells are counted once by value; kinds, roles,
+    numbers, dates and every metric come from the distinct values.
+    """
+    counts = saved(counted(values), "counts")
+    v = F.col("value")
+    valued = counts.filter("value IS NOT NULL").withColumn("kind", cells.kind(v)).withColumn("number", cells.number(v)).withColumn("moment", F.when(F.col("kind") == "datetime", cells.date(v)))
+    valued = saved(valued, "valued")
+    shared = schema.filter("in_ref AND in_cur").select("column")
+    known = shared.join(profiles(valued), "column", "left").fillna(0, [f"{s}_{n}" for s in ("ref", "cur") for n in ("present", "distinct")])
+    known = known.fillna("empty", [f"{s}_{n}" for s in ("ref", "cur") for n in ("base", "role")]).fillna(False, ["ref_mixed", "cur_mixed"])
+    known = saved(known.withColumn("analysis", analysis(F.col("ref_role"), F.col("cur_role"))), "columns")
+    of = lambda kind: F.broadcast(known.filter(F.col("analysis") == kind).select("column"))
+
+    numbers = valued.join(of("numeric"), "column").filter("number IS NOT NULL").groupBy("column", F.col("number").alias("value")).agg(F.sum("ref").alias("ref"), F.sum("cur").alias("cur"))
+    order = saved(ranked(numbers), "ranked")
+    metrics = numeric_of(order)
+    chosen = valued.join(of("categorical"), "column")
+    classes = saved(categories(chosen.select("column", "value", "ref", "cur")), "categories")
+    changes = one_sided(chosen).groupBy("column").agg(F.count_if(F.col("change") == "new").alias("new"), F.count_if(F.col("change") == "disappeared").alias("disappeared"))
+    by_class = categorical_metrics(classes).join(changes, "column", "left").fillna(0, ["new", "disappeared"]).join(known.select("column", "ref_distinct", "cur_distinct"), "column")
+    overlap = valued.join(of("identifier"), "column").groupBy("column").agg(F.count_if((F.col("ref") > 0) & (F.col("cur") > 0)).alias("both"), F.count_if(F.col("cur") > 0).alias("cur"))
+    leaked = F.col("both") / F.col("cur")
+    rates = counts.join(shared, "column").groupBy("column").agg(
+        (F.sum(F.when(v.isNull(), F.col("ref")).otherwise(0)) / F.sum("ref")).alias("ref_rate"), (F.sum(F.when(v.isNull(), F.col("cur")).otherwise(0)) / F.sum("cur")).alias("cur_rate")
+    )
+    found = findings(schema, {"schema.column_added": F.when(~F.col("in_ref"), "warn"), "schema.column_removed": F.when(~F.col("in_cur"), "alert")})
+    for part in (
+        structural_findings(known), presence_findings(rates), numeric_findings(metrics), categorical_findings(by_class),
+        findings(overlap, {"leakage.identifier_overlap": F.when(F.col("both") > 0, F.when(leaked >= 0.5, "alert").when(leaked >= 0.05, "warn").otherwise("info"))}),
+    ):
+        found = found.unionByName(part)
+    scores = metrics.select("column", "psi").unionByName(by_class.select("column", "psi"))
+    return saved(found, "findings"), known.select("column", "analysis", "ref_role", "cur_role").join(scores, "column", "left")
+
+
+def numeric_of(order: DataFrame) -> DataFrame:
+    """numeric_metrics() from ranked() counts of numbers alone: moments are sums over distinct values, deviations around the mean."""
+    c = F.col
+    side = lambda n, p: [F.sum(n).alias(f"{p}_n"), (F.sum(c("value") * c(n)) / F.sum(n)).alias(f"{p}_mean"), F.min(F.when(c(n) > 0, c("value"))).alias(f"{p}_min"), F.max(F.when(c(n) > 0, c("value"))).alias(f"{p}_max"), F.sum(F.when(c("value") < 0, c(n)).otherwise(0)).alias(f"{p}_negatives")]
+    means = order.groupBy("column").agg(*side("ref", "ref"), *side("cur", "cur"))
+    spread = lambda p: F.coalesce(F.sqrt(F.sum(F.pow(c("value") - c(f"{p}_mean"), F.lit(2)) * c(p)) / F.nullif(F.first(f"{p}_n") - 1, F.lit(0))), F.lit(0.0)).alias(f"{p}_std")
+    stds = order.join(F.broadcast(means), "column").groupBy("column").agg(spread("ref"), spread("cur"))
+    got = means.join(stds, "column").join(psi(binned(order)), "column").join(ks_of(order), "column")
+    return got.withColumn("d", cohens_d()).withColumn("ks_p", ks_tail(c("ks"), c("n1"), c("n2"))).drop("n1", "n2")
+
+
 def roll_up(found: DataFrame) -> DataFrame:
     """Counts of each severity and the worst one."""
     n = lambda s: F.count_if(F.col("severity") == s)

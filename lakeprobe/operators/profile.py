@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeprobe.functions import cells
+from lakeprobe.operators import ordering
 
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 KINDS = ("boolean", "integer", "float", "datetime", "string")
@@ -23,15 +24,30 @@ def long_numbers(df: DataFrame, columns: list[str], *keys: str) -> DataFrame:
     return cast.unpivot(list(keys), columns, "column", "value")
 
 
-def numeric(values: DataFrame, *keys: str) -> DataFrame:
-    """Fifteen statistics for each column of rows (column, value)."""
-    p = F.percentile("value", F.lit(list(QUANTILES.values())))
-    got = values.filter("value IS NOT NULL").groupBy(*keys, "column").agg(
+def counted(values: DataFrame, *keys: str) -> DataFrame:
+    """Rows (*keys, column, value, n): how often each value occurs. What follows works on distinct values."""
+    return values.groupBy(*keys, "column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def quantiles(values: DataFrame, *keys: str) -> DataFrame:
+    """The quantiles of each column, interpolated: the ranks that matter are picked from running counts, so no task holds a column."""
+    counts = ordering.running(counted(values.filter("value IS NOT NULL"), *keys), [*keys, "column"], "value", ["n"])
+    c = F.col
+    return counts.groupBy(*keys, "column").agg(*[ordering.quantile(q, c("value"), c("n"), c("before_n"), c("all_n")).alias(name) for name, q in QUANTILES.items()])
+
+
+def moments(values: DataFrame, *keys: str) -> DataFrame:
+    """Count, range, mean, deviation, skew, zeros and negatives of each column."""
+    return values.filter("value IS NOT NULL").groupBy(*keys, "column").agg(
         F.count("value").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"), F.coalesce(F.skewness("value"), F.lit(0.0)).alias("skew"),
-        F.count_if(F.col("value") == 0).alias("zeros"), F.count_if(F.col("value") < 0).alias("negatives"), p.alias("q"),
+        F.count_if(F.col("value") == 0).alias("zeros"), F.count_if(F.col("value") < 0).alias("negatives"),
     )
-    return got.select("*", *[F.get("q", F.lit(i)).alias(name) for i, name in enumerate(QUANTILES)]).drop("q")
+
+
+def numeric(values: DataFrame, *keys: str) -> DataFrame:
+    """Fifteen statistics for each column of rows (column, value)."""
+    return moments(values, *keys).join(quantiles(values, *keys), [*keys, "column"])
 
 
 def presence(values: DataFrame) -> DataFrame:
@@ -42,20 +58,34 @@ def presence(values: DataFrame) -> DataFrame:
 
 
 def kinds(values: DataFrame) -> DataFrame:
-    """Cells of each kind per column."""
-    return values.filter("value IS NOT NULL").groupBy("column", cells.kind(F.col("value")).alias("kind")).agg(F.count(F.lit(1)).alias("cells"))
+    """Cells of each kind per column; a value's kind is told once, however often it occurs."""
+    each = counted(values.filter("value IS NOT NULL")).withColumn("kind", cells.kind(F.col("value")))
+    return each.groupBy("column", "kind").agg(F.sum("n").alias("cells"))
+
+
+def features_of(counts: DataFrame, *keys: str) -> DataFrame:
+    """What roles are told from, a row per column: from rows (*keys, column, value, n, kind), without nulls."""
+    v, n = F.col("value"), F.col("n")
+    share = lambda x: F.sum(x * n) / F.sum(n)
+    return counts.groupBy(*keys, "column").agg(
+        F.sum("n").alias("present"), F.count(F.lit(1)).alias("distinct"), share(F.length(v)).alias("avg_len"), share(v.contains(" ").cast("int")).alias("space_share"),
+        F.bool_and(v.isin("0", "1")).alias("zero_one"), *[F.coalesce(F.sum(F.when(F.col("kind") == k, n)), F.lit(0)).alias(k) for k in KINDS],
+    )
 
 
 def features(values: DataFrame) -> DataFrame:
-    """One row per column with what roles are told from; distinct values are counted exactly."""
-    v = F.col("value")
-    kind = cells.kind(v)
-    return values.groupBy("column").agg(
-        F.count("value").alias("present"), F.count_distinct("value").alias("distinct"), F.avg(F.length(v)).alias("avg_len"),
-        F.avg(F.when(v.isNotNull(), v.contains(" ").cast("double"))).alias("space_share"),
-        F.coalesce(F.bool_and(v.isin("0", "1")), F.lit(False)).alias("zero_one"),
-        *[F.count_if(v.isNotNull() & (kind == k)).alias(k) for k in KINDS],
-    )
+    """One row per column with what roles are told from; columns without any value have one too."""
+    each = counted(values)
+    kind = F.when(F.col("value").isNotNull(), cells.kind(F.col("value")))
+    got = features_of(each.filter("value IS NOT NULL").withColumn("kind", kind))
+    return each.select("column").distinct().join(got, "column", "left").fillna(0, ["present", "distinct", *KINDS]).fillna(False, ["zero_one"])
+
+
+def table(values: DataFrame) -> DataFrame:
+    """The whole profile of a table, a row per column: missing cells, kinds, role, lengths and, for numbers, moments and quantiles."""
+    numbers = values.select("column", cells.number(F.col("value")).alias("value"))
+    stats = numeric(numbers).withColumnRenamed("n", "numbers")
+    return presence(values).join(classify(features(values)).drop("present"), "column").join(stats, "column", "left")
 
 
 def classify(rows: DataFrame) -> DataFrame:
@@ -78,8 +108,8 @@ def classify(rows: DataFrame) -> DataFrame:
 
 
 def top_values(values: DataFrame, k: int) -> DataFrame:
-    """The k most frequent values of each column, ties by value."""
-    counts = values.filter("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("cells"))
+    """The k most frequent values of each column, ties by value. Every partition keeps its own first k before any are gathered."""
+    counts = counted(values.filter("value IS NOT NULL")).withColumnRenamed("n", "cells")
     rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("cells"), "value"))
     return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
 

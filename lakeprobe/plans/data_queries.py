@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeprobe.functions import json_ops
-from lakeprobe.operators import catalog, profile, synth
+from lakeprobe.operators import catalog, paging
 from lakeprobe.session import table
 
 
@@ -58,35 +58,47 @@ def boosted(spark: SparkSession, d: str) -> DataFrame:
     return catalog.boost(records(spark, d), "standard type1 promo", stems).groupBy("category", "boost").agg(F.count(F.lit(1)).alias("records"))
 
 
-def customer_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"))
+def numbered(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
 
 
-def synth_preset(name: str):
-    def query(spark: SparkSession, d: str) -> DataFrame:
-        """A table generated for the keys of customer: its missing, distinct and repeated values, by column."""
-        spec = synth.preset(name)
-        rows = synth.generate(customer_ids(spark, d), spec)
-        columns = [c.name for c in spec.columns]
-        return profile.features(profile.long_text(rows, columns)).select("column", "present", "distinct", *profile.KINDS)
+def paged(fault: str):
+    return lambda spark, d: paging.windows(numbered(spark, d), "k", 25, fault)
 
-    return query
 
+def paging_audit(spark: SparkSession, d: str) -> DataFrame:
+    """What is wrong with three faulty paginations of customer."""
+    expected = numbered(spark, d).select(F.col("k").alias("item"))
+    parts = [paging.audit(paging.windows(numbered(spark, d), "k", 25, f), expected).withColumn("fault", F.lit(f)) for f in ("duplicates", "missing", "off_by_one")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
-def paged(bug: str):
-    return lambda spark, d: synth.paginate(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k", 25, 1_000_000, bug)
 
+def nested(spark: SparkSession, d: str) -> DataFrame:
+    """Records at different depths of JSON text, by turns."""
+    k = F.col("event_id")
+    text = (
+        F.when(k % 4 == 0, F.concat(F.lit('{"meta": {"tags": [{"x": 1}]}, "data": {"rows": [{"id": '), k.cast("string"), F.lit('}, {"id": 2}]}}'))).when(k % 4 == 1, F.lit('[[1, 2], [{"a": null}]]'))
+        .when(k % 4 == 2, F.lit("oops")).otherwise(F.lit('"text"'))
+    )
+    return events(spark, d).select("event_id", json_ops.largest_records(text).alias("records"))
+
+
+def cells_of_json(spark: SparkSession, d: str) -> DataFrame:
+    values = ["null", "12", '"a b"', "[1,2]", '{"k":"v"}', "true", "1.50"]
+    return events(spark, d).select("event_id", json_ops.stringify(F.get(F.lit(values), (F.col("event_id") % len(values)).cast("int"))).alias("cell"))
+
+
+def catalog_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Records with permissions, probes and checks, for the filters and states."""
+    k = F.col("id")
+    return records(spark, d).withColumn("cors", k % 2 == 0).withColumn("sdk", F.when(k % 3 > 0, k % 4 == 0)).withColumn("commercial_use", F.when(k % 5 < 3, "Разрешено с оговорками").otherwise("нет")).withColumn("probe_ok", k % 9 == 0).withColumn("status", F.when(k % 2 == 0, "docs_verified").otherwise("candidate"))
 
-def synth_pair(spark: SparkSession, d: str) -> DataFrame:
-    from lakeprobe.operators import drift
 
-    spec, ids = synth.preset("clean"), customer_ids(spark, d)
-    sides = [synth.generate(ids, s).withColumn("side", F.lit(n)) for n, s in (("reference", spec), ("current", synth.drifted(spec)))]
-    both = sides[0].unionByName(sides[1])
-    numbers = profile.long_numbers(both, ["age", "amount", "income", "score"], "side")
-    found = drift.numeric_findings(drift.numeric_metrics(numbers, profile.numeric(numbers, "side")))
-    missing = drift.presence_findings(drift.presence_change(both.select("side", "signup_date", "region", "channel").unpivot(["side"], ["signup_date", "region", "channel"], "column", "value")))
-    return found.unionByName(missing)
+def source_union(spark: SparkSession, d: str) -> DataFrame:
+    """Two sources of records with some ids in both: the first one's stay, free ones only."""
+    first = records(spark, d).filter("id % 2 = 0").select("id", "auth", "free_type", F.lit("first").alias("origin"))
+    second = records(spark, d).filter("id % 3 = 0").select("id", F.lit("none").alias("auth"), "free_type", F.lit("second").alias("origin"))
+    return catalog.merged([first, second]).select("id", "origin")
 
 
 CUST = "SELECT c_custkey AS k FROM customer"
@@ -102,8 +114,13 @@ QUERIES = {
     "catalog_bridge": bridged,
     "catalog_topic_boost": boosted,
     "synth_pagination_duplicates": paged("duplicates"), "synth_pagination_missing": paged("missing"), "synth_pagination_off_by_one": paged("off_by_one"), "synth_pagination_clean": paged(""),
-    "synth_pair_findings": synth_pair,
-    **{f"synth_preset_{name}": synth_preset(name) for name in synth.PRESETS},
+    "paging_audit": paging_audit,
+    "json_largest_records": nested,
+    "json_stringify": cells_of_json,
+    "catalog_all_filters": lambda s, d: catalog.filtered(catalog_rows(s, d), no_key=False, free_type="free_tier", cors=True, has_sdk=True, commercial=True).select("id", "name"),
+    "catalog_status": lambda s, d: catalog_rows(s, d).select("id", catalog.effective_status(F.lit("2024-06-30").cast("date")).alias("status")),
+    "catalog_sources": source_union,
+    "catalog_explore": lambda s, d: catalog.of_topics(records(s, d), ["Promo Type1", "PROMO", "standard"]).groupBy("category").agg(F.count(F.lit(1)).alias("records")),
 }
 ORACLES = {
     "json_project": "SELECT event_id, coalesce(json_extract_string(props, '$.k'), '') AS k, coalesce(json_extract_string(props, '$.none'), '') AS \"none\" FROM events",
@@ -116,11 +133,26 @@ ORACLES = {
     "catalog_stale": f"WITH {RECORDS} SELECT id, docs_verified IS NULL OR DATE '2024-06-30' - docs_verified > 180 AS stale FROM r",
     "catalog_bridge": """WITH h AS (SELECT 'h' || (p_partkey % 40) || '.example' AS host, p_partkey AS id FROM part UNION ALL SELECT 'h' || (p_partkey % 60) || '.example', p_partkey FROM part), g AS (SELECT host, min(id) AS record_id FROM h GROUP BY 1),
         c AS (SELECT s_suppkey AS candidate, 'h' || (s_suppkey % 70) || '.example' AS host FROM supplier) SELECT host, candidate, record_id FROM c LEFT JOIN g USING (host)""",
-    "catalog_topic_boost": """WITH t AS (SELECT DISTINCT p_type, unnest(string_split_regex(lower(p_type), '[^a-z0-9]+')) AS stem FROM part), w AS (SELECT unnest(['standard', 'type1', 'promo']) AS w),
-        m AS (SELECT DISTINCT p_type FROM t, w WHERE length(stem) >= 3 AND (starts_with(w, stem) OR starts_with(stem, w)))
-        SELECT p_type AS category, CASE WHEN p_type IN (SELECT p_type FROM m) THEN 4 ELSE 0 END AS boost, count(*) AS records FROM part GROUP BY ALL""",
+    "catalog_topic_boost": """WITH t AS (SELECT DISTINCT lower(p_type) AS topic, unnest(string_split_regex(lower(p_type), '[^a-z0-9]+')) AS stem FROM part), w AS (SELECT unnest(['standard', 'type1', 'promo']) AS word),
+        m AS (SELECT word, stem, list(DISTINCT topic) AS topics FROM t JOIN w ON starts_with(word, stem) OR starts_with(stem, word) WHERE length(stem) >= 3 GROUP BY ALL),
+        r AS (SELECT p_partkey AS id, p_type AS category, 'brand ' || p_brand AS description FROM part),
+        s AS (SELECT id, category, coalesce(sum(4 * list_contains(topics, lower(category))::INT + (len(list_filter(topics, lambda c: contains(lower(description), c))) > 0)::INT), 0)::INT AS boost FROM r LEFT JOIN m ON true GROUP BY ALL)
+        SELECT category, boost, count(*) AS records FROM s GROUP BY ALL""",
+    "paging_audit": """WITH c AS (SELECT c_custkey AS k FROM customer), e AS (SELECT max(k) AS top, count(*) AS n FROM c),
+        d AS (SELECT count(*) FILTER (k % 25 = 24) AS d24, count(*) FILTER (k = 0) AS zero FROM c), p AS (SELECT 'duplicates' AS fault, k // 25 + 1 AS page, k FROM c UNION ALL SELECT 'duplicates', k // 25 + 2, k FROM c WHERE k % 25 = 24
+          UNION ALL SELECT 'missing', k // 25 + 1, k FROM c WHERE k % 25 <> 24 UNION ALL SELECT 'off_by_one', (k - 1) // 25 + 1, k FROM c WHERE k >= 1),
+        z AS (SELECT fault, page, count(*) AS n FROM p GROUP BY ALL), q AS (SELECT fault, max(n) AS most, max(page) AS last FROM z GROUP BY 1), s AS (SELECT fault, count(*) FILTER (n < most AND page < last) AS short FROM z JOIN q USING (fault) GROUP BY 1),
+        f AS (SELECT unnest(['duplicates', 'missing', 'off_by_one']) AS fault), r AS (SELECT fault, k, count(*) AS times FROM p GROUP BY ALL)
+        SELECT 'repeated' AS problem, count(*) FILTER (times > 1) AS n, fault FROM r GROUP BY fault UNION ALL SELECT 'lost', (SELECT count(*) FROM c WHERE k NOT IN (SELECT k FROM r WHERE r.fault = f.fault)), fault FROM f
+        UNION ALL SELECT 'foreign', 0, fault FROM f UNION ALL SELECT 'short', short, fault FROM s""",
+    "json_largest_records": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[{"id": ' || event_id || '}, {"id": 2}]' WHEN 1 THEN '[{"a": null}]' WHEN 3 THEN '[]' END AS records FROM events""",
+    "json_stringify": """SELECT event_id, ['', '12', 'a b', '[1,2]', '{"k":"v"}', 'true', '1.5'][event_id % 7 + 1] AS cell FROM events""",
+    "catalog_all_filters": f"WITH {RECORDS} SELECT id, name FROM r WHERE auth <> 'none' AND free_type = 'free_tier' AND id % 2 = 0 AND id % 3 > 0 AND id % 4 = 0 AND id % 5 < 3",
+    "catalog_status": f"WITH {RECORDS} SELECT id, CASE WHEN id % 9 = 0 THEN 'availability_checked' WHEN id % 2 = 0 AND (docs_verified IS NULL OR DATE '2024-06-30' - docs_verified > 180) THEN 'stale' WHEN id % 2 = 0 THEN 'docs_verified' ELSE 'candidate' END AS status FROM r",
+    "catalog_sources": f"WITH {RECORDS} SELECT id, CASE WHEN id % 2 = 0 THEN 'first' ELSE 'second' END AS origin FROM r WHERE id % 2 = 0 AND (auth = 'none' OR free_type = 'free_tier') OR id % 2 = 1 AND id % 3 = 0",
+    "catalog_explore": "SELECT p_type AS category, count(*) AS records FROM part WHERE lower(p_type) IN ('promo type1', 'promo', 'standard') GROUP BY 1",
     "synth_pagination_clean": f"SELECT k // 25 + 1 AS page, k AS item FROM ({CUST})",
-    "synth_pagination_duplicates": f"SELECT k // 25 + 1 AS page, k AS item FROM ({CUST}) UNION ALL SELECT k // 25 + 2, k FROM ({CUST}) WHERE k % 25 = 24 AND k < 999999",
+    "synth_pagination_duplicates": f"SELECT k // 25 + 1 AS page, k AS item FROM ({CUST}) UNION ALL SELECT k // 25 + 2, k FROM ({CUST}) WHERE k % 25 = 24",
     "synth_pagination_missing": f"SELECT k // 25 + 1 AS page, k AS item FROM ({CUST}) WHERE k % 25 <> 24",
     "synth_pagination_off_by_one": f"SELECT (k - 1) // 25 + 1 AS page, k AS item FROM ({CUST}) WHERE k >= 1",
 }

@@ -69,17 +69,83 @@ POOLED = "sqrt(((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / (n1 + n2 - 2))"
 D = f"CASE WHEN {POOLED} < 1e-10 THEN 0.0 ELSE (m2 - m1) / {POOLED} END"
 METRICS = STATS + BINS + SMOOTH + KS + f""",
 metrics AS (SELECT s.*, psi, ks, ks_p, {D} AS d FROM sides s JOIN psi USING ("column") JOIN tails USING ("column"))"""
-FOUND = METRICS + """,
+#: The columns of the two text tables that the whole report compares; `added` is only in the current one, `removed` only in the reference.
+MIXED = ("price", "discount", "tax", "flag", "status", "mode", "key", "shipped", "late", "code", "note", "fixed", "freed", "emptied", "whole", "added", "removed")
+MIXED_SQL = """
+base AS (SELECT *, l_orderkey AS k, l_shipdate >= TIMESTAMP '1996-01-01' AS now, round(l_extendedprice * 100)::BIGINT AS cents, strftime(l_shipdate, '%Y-%m-%d') AS d FROM lineitem),
+wide AS (SELECT CASE WHEN now THEN 'current' ELSE 'reference' END AS side,
+    CASE WHEN now THEN cents * 2 // 100 ELSE cents // 100 END || ',5' AS price,
+    CASE WHEN now AND k % 7 = 0 THEN '-0.5' ELSE (l_linenumber % 5)::VARCHAR END AS discount,
+    CASE WHEN NOT (now AND k % 4 = 0) THEN (l_linenumber + k % 3)::VARCHAR END AS tax,
+    CASE WHEN now AND k % 5 = 0 THEN 'NEW' ELSE l_returnflag END AS flag,
+    CASE WHEN k % 2 = 0 THEN 'kept' WHEN NOT now AND k % 400 = 1 THEN 'gone' ELSE 'moved' END AS status,
+    'mode ' || CASE WHEN now THEN k % 90 ELSE k % 40 END AS mode,
+    'L' || CASE WHEN now AND k % 3 = 0 THEN k ELSE k * 8 + l_linenumber END AS key,
+    d AS shipped, CASE WHEN now THEN strftime(l_shipdate - INTERVAL 3000 DAYS, '%Y-%m-%d') ELSE d END AS late,
+    CASE WHEN now THEN 'c' ELSE '' END || (k % 9) AS code,
+    CASE WHEN now AND k % 10 = 0 THEN '12' WHEN now AND k % 10 = 1 THEN d ELSE 'n ' || (k % 30) END AS note,
+    CASE WHEN now THEN 'same' ELSE 'v' || (k % 3) END AS fixed, CASE WHEN now THEN 'w' || (k % 3) ELSE 'one' END AS freed,
+    CASE WHEN NOT now THEN 'e' || (k % 4) END AS emptied, CASE WHEN now AND k % 50 = 0 THEN (k % 60) || '.5' ELSE (k % 60)::VARCHAR END AS whole,
+    CASE WHEN now THEN 'a' END AS added, CASE WHEN NOT now THEN 'r' END AS removed FROM base),
+cells AS (FROM (SELECT side, {columns} FROM wide) UNPIVOT INCLUDE NULLS (value FOR "column" IN ({columns}))),
+counted AS (SELECT "column", value, count(*) FILTER (side = 'reference') AS ref, count(*) FILTER (side = 'current') AS cur FROM cells WHERE value IS NOT NULL GROUP BY ALL),
+kinds AS (SELECT *, TRY_CAST(replace(value, ',', '.') AS DOUBLE) AS num, CASE WHEN regexp_matches(value, '^[+-]?\\d+$') THEN 'integer' WHEN regexp_matches(replace(value, ',', '.'), '^[+-]?\\d+\\.\\d+$') THEN 'float'
+    WHEN lower(value) IN ('true', 'yes', 'y', 't', 'false', 'no', 'n', 'f') THEN 'boolean' WHEN regexp_matches(value, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN 'datetime' ELSE 'string' END AS kind FROM counted),
+long AS (SELECT "column", value, num, kind, 'ref' AS side, ref AS n FROM kinds WHERE ref > 0 UNION ALL SELECT "column", value, num, kind, 'cur', cur FROM kinds WHERE cur > 0),
+feat AS (SELECT "column", side, sum(n) AS present, count(*) AS dist, sum(length(value) * n) / sum(n) AS len, sum(contains(value, ' ')::INT * n) / sum(n) AS spaces, bool_and(value IN ('0', '1')) AS zo,
+    coalesce(sum(n) FILTER (kind = 'boolean'), 0) AS b, coalesce(sum(n) FILTER (kind = 'integer'), 0) AS i, coalesce(sum(n) FILTER (kind = 'float'), 0) AS f, coalesce(sum(n) FILTER (kind = 'datetime'), 0) AS dt, coalesce(sum(n) FILTER (kind = 'string'), 0) AS st,
+    min(value) FILTER (kind = 'datetime') AS lo, max(value) FILTER (kind = 'datetime') AS hi FROM long GROUP BY ALL),
+based AS (SELECT *, CASE WHEN zo OR b / present >= .99 THEN 'boolean' WHEN i / present >= .99 THEN 'integer' WHEN (i + f) / present >= .99 THEN 'float' WHEN dt / present >= .95 THEN 'datetime' ELSE 'string' END AS base,
+    NOT zo AND (b > 0)::INT + (i > 0)::INT + (f > 0)::INT + (dt > 0)::INT + (st > 0)::INT > 1 AND greatest(b, i, f, dt, st) / present < .95 AS mixed FROM feat),
+roles AS (SELECT *, CASE WHEN base IN ('boolean', 'datetime') THEN base WHEN base IN ('integer', 'string') AND dist >= greatest(50, floor(present * .95)) AND len <= 64 AND spaces <= .2 THEN 'identifier'
+    WHEN base IN ('integer', 'float') THEN base WHEN dist <= least(2000, greatest(25, floor(present * .2))) THEN 'categorical' ELSE 'text' END AS role FROM based),
+cols AS (SELECT c."column", coalesce(r.present, 0) AS rp, coalesce(q.present, 0) AS cp, coalesce(r.dist, 0) AS rd, coalesce(q.dist, 0) AS cd, coalesce(r.base, 'empty') AS rb, coalesce(q.base, 'empty') AS cb, coalesce(r.role, 'empty') AS rr, coalesce(q.role, 'empty') AS cr,
+    coalesce(r.mixed, false) AS rm, coalesce(q.mixed, false) AS cm, r.lo AS rlo, r.hi AS rhi, q.lo AS clo
+  FROM (SELECT DISTINCT "column" FROM cells WHERE "column" NOT IN ('added', 'removed')) c LEFT JOIN roles r ON r."column" = c."column" AND r.side = 'ref' LEFT JOIN roles q ON q."column" = c."column" AND q.side = 'cur'),
+known AS (SELECT *, CASE WHEN rr IN ('integer', 'float') AND cr IN ('integer', 'float') THEN 'numeric' WHEN rr IN ('categorical', 'boolean') AND cr IN ('categorical', 'boolean') THEN 'categorical' WHEN rr = 'identifier' OR cr = 'identifier' THEN 'identifier'
+    WHEN rr = 'datetime' AND cr = 'datetime' THEN 'datetime' WHEN rr = 'text' OR cr = 'text' THEN 'text' ELSE 'structural' END AS analysis FROM cols),
+numbers AS (SELECT "column", side, value FROM (SELECT c."column", c.side, TRY_CAST(replace(c.value, ',', '.') AS DOUBLE) AS value FROM cells c JOIN known USING ("column") WHERE analysis = 'numeric') WHERE value IS NOT NULL),
+stats AS (SELECT "column", side, count(value) AS n, min(value) AS lo, max(value) AS hi, avg(value) AS mean, stddev_samp(value) AS std, count(*) FILTER (value < 0) AS negatives FROM numbers GROUP BY ALL),
+sides AS (SELECT r."column", r.n AS n1, c.n AS n2, r.lo AS lo1, c.lo AS lo2, r.hi AS hi1, c.hi AS hi2, r.mean AS m1, c.mean AS m2, r.std AS s1, c.std AS s2, r.negatives AS neg1, c.negatives AS neg2
+  FROM stats r JOIN stats c ON r."column" = c."column" AND r.side = 'reference' AND c.side = 'current')""".format(columns=", ".join(MIXED))
+#: The psi of the numeric columns, under another name, so that the same parts can be used again for categories.
+CAT_PSI = """,
+present AS (SELECT k."column", k.value, k.ref, k.cur FROM kinds k JOIN known USING ("column") WHERE analysis = 'categorical'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY ref DESC, value) AS a, row_number() OVER (PARTITION BY "column" ORDER BY cur DESC, value) AS z FROM present),
+cats AS (SELECT "column", CASE WHEN a <= 50 AND ref > 0 OR z <= 50 AND cur > 0 THEN value ELSE '__other__' END AS category, sum(ref)::BIGINT AS ref, sum(cur)::BIGINT AS cur FROM placed GROUP BY ALL),
+csize AS (SELECT "column", sum(ref) AS nr, sum(cur) AS nc, count(*) AS k FROM cats GROUP BY 1),
+cmet AS (SELECT "column", sum(((cur + .5) / (nc + .5 * k) - (ref + .5) / (nr + .5 * k)) * ln(((cur + .5) / (nc + .5 * k)) / ((ref + .5) / (nr + .5 * k)))) AS psi, sum(abs(ref / nr - cur / nc)) / 2 AS tvd,
+    sum((ref - (ref + cur) * nr / (nr + nc)) ** 2 / ((ref + cur) * nr / (nr + nc)) + (cur - (ref + cur) * nc / (nr + nc)) ** 2 / ((ref + cur) * nc / (nr + nc))) AS chi2, count(*) - 1 AS df FROM cats JOIN csize USING ("column") GROUP BY 1),
+news AS (SELECT "column", count(*) FILTER (ref = 0) AS new, count(*) FILTER (cur = 0) AS gone FROM present GROUP BY 1)"""
+#: Whether a chi-square statistic is above the 1 % point, by the cube-root rule of Wilson and Hilferty, which is close enough away from the point.
+BEYOND = "(chi2 / df) ** (1 / 3) > 1 - 2 / (9 * df) + 2.3263 * sqrt(2 / (9 * df))"
+FOUND = MIXED_SQL + BINS.replace("'reference' AND value IS NOT NULL", "'reference'") + SMOOTH + KS.replace("distinct_values", "dv") + f""",
+metrics AS (SELECT s.*, psi, ks, ks_p, {D} AS d FROM sides s JOIN psi USING ("column") JOIN tails USING ("column"))""" + CAT_PSI + f""",
+rates AS (SELECT "column", avg(CASE WHEN side = 'reference' THEN (value IS NULL)::INT END) AS r, avg(CASE WHEN side = 'current' THEN (value IS NULL)::INT END) AS c FROM cells WHERE "column" NOT IN ('added', 'removed') GROUP BY 1),
+shared_keys AS (SELECT k."column", count(*) FILTER (ref > 0 AND cur > 0) AS common, count(*) FILTER (cur > 0) AS cur FROM kinds k JOIN known USING ("column") WHERE analysis = 'identifier' GROUP BY 1),
 found AS (
-  SELECT "column", 'distribution.psi' AS code, CASE WHEN psi >= 0.25 THEN 'alert' WHEN psi >= 0.1 THEN 'warn' END AS severity FROM metrics
+  SELECT 'added' AS "column", 'schema.column_added' AS code, 'warn' AS severity UNION ALL SELECT 'removed', 'schema.column_removed', 'alert'
+  UNION ALL SELECT "column", 'schema.type_changed', CASE WHEN rr <> cr THEN 'alert' END FROM known
+  UNION ALL SELECT "column", 'schema.base_type_changed', CASE WHEN rr = cr AND rb <> cb THEN 'warn' END FROM known
+  UNION ALL SELECT "column", 'quality.mixed_types', CASE WHEN cm AND NOT rm THEN 'warn' END FROM known
+  UNION ALL SELECT "column", 'quality.became_constant', CASE WHEN rd > 1 AND cd = 1 THEN 'alert' END FROM known
+  UNION ALL SELECT "column", 'quality.no_longer_constant', CASE WHEN rd = 1 AND cd > 1 THEN 'info' END FROM known
+  UNION ALL SELECT "column", 'quality.became_empty', CASE WHEN rp > 0 AND cp = 0 THEN 'alert' END FROM known
+  UNION ALL SELECT "column", 'datetime.earlier_than_reference', CASE WHEN analysis = 'datetime' AND clo < rlo THEN 'info' END FROM known
+  UNION ALL SELECT "column", 'datetime.disjoint_period', CASE WHEN analysis = 'datetime' AND clo > rhi THEN 'info' END FROM known
+  UNION ALL SELECT "column", CASE WHEN r = 0 AND c > 0 THEN 'missing.appeared' ELSE 'missing.rate_change' END, CASE WHEN abs(c - r) < 0.02 THEN NULL WHEN r = 0 AND c > 0 OR abs(c - r) >= 0.05 THEN 'alert' ELSE 'warn' END FROM rates
+  UNION ALL SELECT "column", 'distribution.psi', CASE WHEN psi >= 0.25 THEN 'alert' WHEN psi >= 0.1 THEN 'warn' END FROM metrics
   UNION ALL SELECT "column", 'distribution.ks', CASE WHEN ks_p < 0.01 AND ks >= 0.2 THEN 'alert' WHEN ks_p < 0.01 AND ks >= 0.1 THEN 'warn' END FROM metrics
   UNION ALL SELECT "column", 'distribution.mean_shift', CASE WHEN abs(d) >= 0.8 THEN 'alert' WHEN abs(d) >= 0.5 THEN 'warn' END FROM metrics
   UNION ALL SELECT "column", 'distribution.range_expanded', CASE WHEN lo2 < lo1 OR hi2 > hi1 THEN 'info' END FROM metrics
   UNION ALL SELECT "column", 'distribution.negatives_appeared', CASE WHEN neg1 = 0 AND neg2 > 0 THEN 'warn' END FROM metrics
   UNION ALL SELECT "column", 'distribution.variance_change', CASE WHEN s1 > 1e-12 AND s2 > 1e-12 AND (s2 / s1 >= 2 OR s2 / s1 <= 0.5) THEN 'warn' END FROM metrics
-  UNION ALL SELECT "column", CASE WHEN r = 0 AND c > 0 THEN 'missing.appeared' ELSE 'missing.rate_change' END,
-      CASE WHEN abs(c - r) < 0.02 THEN NULL WHEN r = 0 AND c > 0 OR abs(c - r) >= 0.05 THEN 'alert' ELSE 'warn' END
-    FROM (SELECT "column", avg(CASE WHEN side = 'reference' THEN (value IS NULL)::INT END) AS r, avg(CASE WHEN side = 'current' THEN (value IS NULL)::INT END) AS c FROM numbers GROUP BY 1))"""
+  UNION ALL SELECT "column", 'category.psi', CASE WHEN psi >= 0.25 THEN 'alert' WHEN psi >= 0.1 THEN 'warn' END FROM cmet
+  UNION ALL SELECT "column", 'category.chi_square', CASE WHEN df > 0 AND {BEYOND} AND tvd >= 0.05 THEN 'warn' END FROM cmet
+  UNION ALL SELECT "column", 'category.new', CASE WHEN new > 0 THEN 'warn' END FROM news
+  UNION ALL SELECT "column", 'category.disappeared', CASE WHEN gone > 0 THEN 'info' END FROM news
+  UNION ALL SELECT "column", 'cardinality.change', CASE WHEN analysis = 'categorical' AND rd > 0 AND cd > 0 AND (cd / rd >= 1.5 OR cd / rd <= 0.67) THEN 'warn' END FROM known
+  UNION ALL SELECT "column", 'leakage.identifier_overlap', CASE WHEN common = 0 THEN NULL WHEN common / cur >= 0.5 THEN 'alert' WHEN common / cur >= 0.05 THEN 'warn' ELSE 'info' END FROM shared_keys)"""
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -98,8 +164,12 @@ def numbers(spark: SparkSession, d: str) -> DataFrame:
     return profile.long_numbers(lines(spark, d), NUMERIC, "side")
 
 
+def raw_counts(spark: SparkSession, d: str) -> DataFrame:
+    return drift.counted(lines(spark, d).select("side", *CATEGORY).unpivot(["side"], CATEGORY, "column", "value"))
+
+
 def counts(spark: SparkSession, d: str) -> DataFrame:
-    return drift.categories(lines(spark, d).select("side", *CATEGORY).unpivot(["side"], CATEGORY, "column", "value"))
+    return drift.categories(raw_counts(spark, d))
 
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -107,8 +177,39 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
     return drift.numeric_metrics(n, profile.numeric(n, "side"))
 
 
+def text_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Rows (side, column, value): lineitem before and from 1996 as two text tables, the later one with defects planted."""
+    t = drift.sided(table(spark, d, "lineitem"), F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz"))
+    now, k, text = F.col("side") == "current", F.col("l_orderkey"), lambda c: c.cast("string")
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    columns = {
+        "price": F.concat(text(F.when(now, F.floor(cents * 2 / 100)).otherwise(F.floor(cents / 100))), F.lit(",5")),
+        "discount": F.when(now & (k % 7 == 0), F.lit("-0.5")).otherwise(text(F.col("l_linenumber") % 5)),
+        "tax": F.when(~(now & (k % 4 == 0)), text(F.col("l_linenumber") + k % 3)),
+        "flag": F.when(now & (k % 5 == 0), F.lit("NEW")).otherwise(F.col("l_returnflag")),
+        "status": F.when(now, F.when(k % 2 == 0, "kept").otherwise("moved")).otherwise(F.when(k % 2 == 0, "kept").when(k % 400 == 1, "gone").otherwise("moved")),
+        "mode": F.concat(F.lit("mode "), text(F.when(now, k % 90).otherwise(k % 40))),
+        "key": F.concat(F.lit("L"), text(F.when(now & (k % 3 == 0), k).otherwise(k * 8 + F.col("l_linenumber")))),
+        "shipped": day, "late": F.when(now, F.date_format(F.col("l_shipdate") - F.expr("INTERVAL 3000 DAYS"), "yyyy-MM-dd")).otherwise(day),
+        "code": F.when(now, F.concat(F.lit("c"), text(k % 9))).otherwise(text(k % 9)),
+        "note": F.when(now & (k % 10 == 0), F.lit("12")).when(now & (k % 10 == 1), F.lit(day)).otherwise(F.concat(F.lit("n "), text(k % 30))),
+        "fixed": F.when(now, F.lit("same")).otherwise(F.concat(F.lit("v"), text(k % 3))), "freed": F.when(now, F.concat(F.lit("w"), text(k % 3))).otherwise(F.lit("one")),
+        "emptied": F.when(~now, F.concat(F.lit("e"), text(k % 4))), "whole": F.when(now & (k % 50 == 0), F.concat(text(k % 60), F.lit(".5"))).otherwise(text(k % 60)),
+        "added": F.when(now, F.lit("a")), "removed": F.when(~now, F.lit("r")),
+    }
+    return t.select("side", *[c.alias(n) for n, c in columns.items()]).unpivot(["side"], list(MIXED), "column", "value")
+
+
+def whole_report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Findings and columns of the report on text_tables()."""
+    values = text_tables(spark, d)
+    schema = values.groupBy("column").agg(F.bool_or(F.col("column") != "added").alias("in_ref"), F.bool_or(F.col("column") != "removed").alias("in_cur"))
+    return drift.compare(values, schema)
+
+
 def found(spark: SparkSession, d: str) -> DataFrame:
-    return drift.numeric_findings(metrics(spark, d)).unionByName(drift.presence_findings(drift.presence_change(numbers(spark, d))))
+    return whole_report(spark, d)[0]
 
 
 def _side(rows: DataFrame, *names: str) -> DataFrame:
@@ -119,9 +220,8 @@ def missingness(spark: SparkSession, d: str) -> DataFrame:
     return drift.presence_change(numbers(spark, d)).select("column", *profile.rounded("ref_rate", "cur_rate"))
 
 
-def new_categories(spark: SparkSession, d: str, gone: bool = False) -> DataFrame:
-    a, b = ("ref", "cur") if gone else ("cur", "ref")
-    return counts(spark, d).filter((F.col(a) > 0) & (F.col(b) == 0)).select("column", "category")
+def new_categories(spark: SparkSession, d: str, change: str = "new") -> DataFrame:
+    return drift.one_sided(raw_counts(spark, d)).filter(F.col("change") == change).select("column", F.col("value").alias("category"))
 
 
 def share_shifts(spark: SparkSession, d: str) -> DataFrame:
@@ -150,11 +250,16 @@ def datetime_period(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schema_diff(spark: SparkSession, d: str) -> DataFrame:
-    a, b = set(table(spark, d, "customer").columns), set(table(spark, d, "supplier").columns)
-    short = lambda names: {n.split("_", 1)[1] for n in names}
-    a, b = short(a), short(b)
-    rows = [(n, "added" if n not in a else "removed" if n not in b else "shared") for n in sorted(a | b)]
-    return table(spark, d, "region").limit(1).select(F.explode(F.lit([f"{n}:{s}" for n, s in rows])).alias("x")).select(F.split_part("x", F.lit(":"), F.lit(1)).alias("column"), F.split_part("x", F.lit(":"), F.lit(2)).alias("status"))
+    """Columns of customer and supplier, by which of them has any value in which table."""
+    sides = []
+    for side, name in (("reference", "customer"), ("current", "supplier")):
+        t = table(spark, d, name)
+        short = t.toDF(*[c.split("_", 1)[1] for c in t.columns])
+        cells = short.select(*[F.col(c).cast("string").alias(c) for c in short.columns]).unpivot([], short.columns, "column", "value")
+        sides.append(cells.groupBy("column").agg(F.count("value").alias("cells")).withColumn("side", F.lit(side)))
+    both = sides[0].unionByName(sides[1]).groupBy("column").agg(*[F.max(F.when(F.col("side") == s, F.col("cells"))).alias(s) for s in ("reference", "current")])
+    status = F.when(F.col("reference").isNull(), "added").when(F.col("current").isNull(), "removed").otherwise("shared")
+    return both.select("column", status.alias("status"), "reference", "current")
 
 
 def summary(spark: SparkSession, d: str) -> DataFrame:
@@ -162,10 +267,11 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def offenders(spark: SparkSession, d: str) -> DataFrame:
+    every, columns = whole_report(spark, d)
     rank = F.when(F.col("severity") == "alert", 2).when(F.col("severity") == "warn", 1).otherwise(0)
-    worst = found(spark, d).groupBy("column").agg(F.max(rank).alias("severity"))
-    got = worst.join(metrics(spark, d), "column").filter("severity > 0").orderBy(F.desc("severity"), F.desc("psi"), "column").limit(5)
-    return got.select("column", "severity", F.round("psi", 4).alias("psi"))
+    worst = every.groupBy("column").agg(F.max(rank).alias("severity")).join(columns, "column").filter("severity > 0")
+    psi = F.coalesce("psi", F.lit(0.0))
+    return worst.orderBy(F.desc("severity"), F.desc(psi), "column").limit(5).select("column", "severity", F.round(psi, 4).alias("psi"))
 
 
 TEXT_COLUMNS = ["o_orderkey", "o_orderstatus", "o_orderpriority", "o_custkey", "note"]
@@ -220,9 +326,9 @@ QUERIES = {
     "drift_jsd": lambda s, d: _side(drift.divergence(counts(s, d)), "jsd"),
     "drift_tvd": lambda s, d: _side(drift.divergence(counts(s, d)), "tvd"),
     "drift_chi2_stat": lambda s, d: drift.chi_square(counts(s, d)).select("column", F.round("chi2", 3).alias("chi2"), "df"),
-    "drift_chi2_pvalue": lambda s, d: drift.categorical_metrics(counts(s, d)).select("column", F.round("chi2_p", 6).alias("chi2_p")),
+    "drift_chi2_pvalue": lambda s, d: drift.categorical_metrics(counts(s, d)).select("column", F.round("chi2_p", 6).alias("chi2_p"), F.coalesce(F.col("chi2_p") < 1e-12, F.lit(False)).alias("certain")),
     "drift_new_categories": new_categories,
-    "drift_gone_categories": lambda s, d: new_categories(s, d, gone=True),
+    "drift_gone_categories": lambda s, d: new_categories(s, d, "disappeared"),
     "drift_other_bucket": lambda s, d: counts(s, d).select("column", "category", "ref", "cur"),
     "drift_top_share_shifts": share_shifts,
     "drift_missingness": missingness,
@@ -230,6 +336,8 @@ QUERIES = {
     "drift_datetime_period": datetime_period,
     "drift_schema_diff": schema_diff,
     "drift_findings": found,
+    "drift_analysis": lambda s, d: whole_report(s, d)[1].select("column", "analysis", "ref_role", "cur_role", F.round("psi", 4).alias("psi")),
+    "profile_table": lambda s, d: profile.table(order_text(s, d)).select("column", "total", "missing", "distinct", "base", "role", "mixed", "numbers", F.round("mean", 4).alias("mean"), F.round("p50", 4).alias("p50")),
     "drift_summary": summary,
     "drift_top_offenders": offenders,
     "profile_numeric": profile_numeric,
@@ -248,6 +356,11 @@ f AS (SELECT c."column", count(c.value) AS n, count(DISTINCT c.value) AS u, avg(
 k AS (SELECT "column", count(*) FILTER (kind = 'boolean') AS b, count(*) FILTER (kind = 'integer') AS i, count(*) FILTER (kind = 'float') AS fl, count(*) FILTER (kind = 'datetime') AS dt, count(*) FILTER (kind = 'string') AS st FROM kinds GROUP BY 1),
 g AS (SELECT *, CASE WHEN n = 0 THEN 'empty' WHEN z OR b / n >= .99 THEN 'boolean' WHEN i / n >= .99 THEN 'integer' WHEN (i + fl) / n >= .99 THEN 'float' WHEN dt / n >= .95 THEN 'datetime' ELSE 'string' END AS base FROM f JOIN k USING ("column"))"""
 ORACLES = {
+    "profile_table": f"""WITH {_FEATURES}, r AS (SELECT *, CASE WHEN base IN ('empty', 'boolean', 'datetime') THEN base WHEN base IN ('integer', 'string') AND u >= greatest(50, floor(n * .95)) AND al <= 64 AND sp <= .2 THEN 'identifier'
+            WHEN base IN ('integer', 'float') THEN base WHEN u <= least(2000, greatest(25, floor(n * .2))) THEN 'categorical' ELSE 'text' END AS role, NOT z AND (b > 0)::INT + (i > 0)::INT + (fl > 0)::INT + (dt > 0)::INT + (st > 0)::INT > 1 AND greatest(b, i, fl, dt, st) / n < .95 AS mixed FROM g),
+        v AS (SELECT "column", replace(replace(value, ' ', ''), ',', '.') AS t FROM cells), w AS (SELECT "column", CASE WHEN regexp_matches(t, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)$') THEN t::DOUBLE END AS x FROM v),
+        m AS (SELECT "column", count(x) AS numbers, avg(x) AS mean, quantile_cont(x, .5) AS p50 FROM w WHERE x IS NOT NULL GROUP BY 1), c AS (SELECT "column", count(*) AS total, count(*) - count(value) AS missing FROM cells GROUP BY 1)
+        SELECT c."column", total, missing, u AS "distinct", base, role, mixed, numbers, round(mean, 4) AS mean, round(p50, 4) AS p50 FROM c JOIN r USING ("column") LEFT JOIN m USING ("column")""",
     "drift_numeric": f'WITH {METRICS} SELECT "column", {_R("psi", "ks", "d")}, round(m1, 4) AS ref_mean, round(m2, 4) AS cur_mean FROM metrics',
     "drift_psi_numeric": f'WITH {NUMBERS}{BINS}{SMOOTH} SELECT "column", {_R("psi")} FROM psi',
     "drift_bins": f'WITH {NUMBERS}{BINS} SELECT "column", bin::INT AS bin, ref, cur FROM bins',
@@ -258,8 +371,8 @@ ORACLES = {
     "drift_jsd": f'WITH {CATS}{SHARES} SELECT "column", {_R("jsd")} FROM div',
     "drift_tvd": f'WITH {CATS}{SHARES} SELECT "column", {_R("tvd")} FROM div',
     "drift_chi2_stat": f'WITH {CATS}{SHARES} SELECT "column", round(chi2, 3) AS chi2, df FROM chi',
-    "drift_new_categories": f'WITH {CATS} SELECT "column", category FROM bins WHERE cur > 0 AND ref = 0',
-    "drift_gone_categories": f'WITH {CATS} SELECT "column", category FROM bins WHERE ref > 0 AND cur = 0',
+    "drift_new_categories": f'WITH {CATS} SELECT "column", value AS category FROM counted WHERE cur > 0 AND ref = 0',
+    "drift_gone_categories": f'WITH {CATS} SELECT "column", value AS category FROM counted WHERE ref > 0 AND cur = 0',
     "drift_other_bucket": f'WITH {CATS} SELECT "column", category, ref, cur FROM bins',
     "drift_top_share_shifts": f"""WITH {CATS}{SHARES}, r AS (SELECT "column", category, round(q - p, 6) AS delta FROM shares),
         k AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY abs(delta) DESC, category)::INT AS rank FROM r)
@@ -272,14 +385,24 @@ ORACLES = {
     "drift_datetime_period": """WITH t AS (SELECT o_orderdate >= TIMESTAMP '1996-01-01' AS c, strftime(o_orderdate, '%Y-%m-%d') AS x FROM orders),
         g AS (SELECT min(x) FILTER (NOT c) AS ref_min, max(x) FILTER (NOT c) AS ref_max, min(x) FILTER (c) AS cur_min, max(x) FILTER (c) AS cur_max FROM t)
         SELECT *, cur_min > ref_max OR cur_max < ref_min AS disjoint, cur_min < ref_min AS earlier FROM g""",
-    "drift_schema_diff": """WITH a AS (SELECT split_part(column_name, '_', 2) AS n FROM (DESCRIBE customer)), b AS (SELECT split_part(column_name, '_', 2) AS n FROM (DESCRIBE supplier))
-        SELECT coalesce(a.n, b.n) AS "column", CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' ELSE 'shared' END AS status FROM a FULL JOIN b ON a.n = b.n""",
+    "drift_schema_diff": """WITH a AS (SELECT count(c_custkey) AS custkey, count(c_name) AS name, count(c_nationkey) AS nationkey, count(c_acctbal) AS acctbal, count(c_mktsegment) AS mktsegment FROM customer),
+        b AS (SELECT count(s_suppkey) AS suppkey, count(s_name) AS name, count(s_nationkey) AS nationkey, count(s_acctbal) AS acctbal FROM supplier),
+        x AS (UNPIVOT a ON COLUMNS(*) INTO NAME n VALUE c), y AS (UNPIVOT b ON COLUMNS(*) INTO NAME n VALUE c)
+        SELECT coalesce(x.n, y.n) AS "column", CASE WHEN x.n IS NULL THEN 'added' WHEN y.n IS NULL THEN 'removed' ELSE 'shared' END AS status, x.c AS reference, y.c AS current FROM x FULL JOIN y ON x.n = y.n""",
     "drift_findings": f'WITH {FOUND} SELECT "column", code, severity FROM found WHERE severity IS NOT NULL',
     "drift_summary": f"""WITH {FOUND}, f AS (SELECT * FROM found WHERE severity IS NOT NULL)
         SELECT count(*) FILTER (severity = 'alert') AS alerts, count(*) FILTER (severity = 'warn') AS warnings, count(*) FILTER (severity = 'info') AS infos, count(DISTINCT "column") AS columns_with_findings,
           CASE WHEN count(*) FILTER (severity = 'alert') > 0 THEN 'alert' WHEN count(*) FILTER (severity = 'warn') > 0 THEN 'warn' ELSE 'ok' END AS status FROM f""",
-    "drift_top_offenders": f"""WITH {FOUND}, w AS (SELECT "column", max(CASE severity WHEN 'alert' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END)::INT AS severity FROM found WHERE severity IS NOT NULL GROUP BY 1)
-        SELECT "column", severity, round(psi, 4) AS psi FROM w JOIN metrics USING ("column") WHERE severity > 0 ORDER BY severity DESC, psi DESC, "column" LIMIT 5""",
+    "drift_top_offenders": f"""WITH {FOUND}, w AS (SELECT "column", max(CASE severity WHEN 'alert' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END)::INT AS severity FROM found WHERE severity IS NOT NULL GROUP BY 1),
+        p AS (SELECT "column", psi FROM metrics UNION ALL SELECT "column", psi FROM cmet)
+        SELECT w."column", severity, round(coalesce(psi, 0), 4) AS psi FROM w JOIN known USING ("column") LEFT JOIN p USING ("column") WHERE severity > 0 ORDER BY severity DESC, coalesce(psi, 0) DESC, "column" LIMIT 5""",
+    "drift_analysis": f"""WITH {FOUND}, p AS (SELECT "column", psi FROM metrics UNION ALL SELECT "column", psi FROM cmet)
+        SELECT "column", analysis, rr AS ref_role, cr AS cur_role, round(psi, 4) AS psi FROM known LEFT JOIN p USING ("column")""",
+    # the tail of an even number of degrees is a finite sum; of an odd one the first is erfc's, bounded here by its leading term
+    "drift_chi2_pvalue": f"""WITH {CATS}{SHARES}, h AS (SELECT *, chi2 / 2 AS x, df // 2 AS m FROM chi),
+        e AS (SELECT "column", df, chi2, CASE WHEN df % 2 = 0 THEN list_sum(list_transform(range(m), lambda i: exp(-x + i * ln(x) - lgamma(i + 1))))
+            ELSE 2 / sqrt(pi()) * list_sum(list_transform(range(20000), lambda i: exp(-((sqrt(x) + i * 0.001 + 0.0005) ** 2)) * 0.001)) + coalesce(list_sum(list_transform(range(m), lambda i: exp(-x + (i + 0.5) * ln(x) - lgamma(i + 1.5)))), 0) END AS p FROM h)
+        SELECT "column", round(least(1, p), 6) AS chi2_p, p < 1e-12 AS certain FROM e""",
     "profile_numeric": f"""WITH {NUMBERS}, m AS (SELECT "column", avg(value) AS a FROM numbers GROUP BY 1),
         t AS (SELECT "column", value, value - a AS e FROM numbers JOIN m USING ("column") WHERE value IS NOT NULL)
         SELECT "column", count(*) AS n, count(*) FILTER (value = 0) AS zeros, count(*) FILTER (value < 0) AS negatives, round(min(value), 4) AS min, round(max(value), 4) AS max,

@@ -82,7 +82,7 @@ def priced(spark: SparkSession, d: str) -> DataFrame:
 
 
 PRICED = """
-priced AS (SELECT o_orderkey AS id, floor(o_totalprice * 100)::BIGINT AS cents, o_orderdate, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE 'soon' END AS day FROM orders)"""
+priced AS (SELECT o_orderkey AS id, floor(o_totalprice * 100)::BIGINT AS cents, o_orderdate, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, 'from %Y-%m-%dT') ELSE 'soon' END AS day FROM orders)"""
 H = "md5({})"
 QUERIES = {
     "unicode_issue_counts": issue_counts,
@@ -94,6 +94,14 @@ QUERIES = {
     "unicode_nfc": lambda s, d: planted(s, d).select("doc_id", F.md5(text.nfc(F.col("text"))).alias("digest"), (text.nfc(F.col("text")) == F.col("text")).alias("is_nfc")),
     "unicode_escape": lambda s, d: planted(s, d).select("doc_id", F.md5(text.escape(F.col("text"))).alias("digest")),
     "unicode_compare": lambda s, d: planted(s, d).select("doc_id", F.explode(text.differences(F.col("plain"), F.col("text"))).alias("x")).select("doc_id", F.col("x.pos").cast("long").alias("pos"), F.ascii("x.l").alias("l"), F.ascii("x.r").alias("r")),
+    "unicode_forms": lambda s, d: planted(s, d).select("doc_id", F.explode(text.forms(F.col("text"))).alias("f")).filter("f.form = 'NFC'").select("doc_id", F.col("f.length").alias("length"), F.col("f.bytes").alias("bytes"), F.col("f.changes").alias("changes")),
+    "unicode_changes": lambda s, d: planted(s, d).select("doc_id", F.explode(text.changes(F.col("text"))).alias("x")).select("doc_id", F.col("x.pos").cast("long").alias("pos"), F.ascii("x.ch").alias("codepoint"), "x.kind", "x.action"),
+    "unicode_report": lambda s, d: planted(s, d).select("doc_id", text.report(F.col("text")).alias("r")).select("doc_id", "r.status", "r.length", "r.bytes", "r.is_nfc", F.size("r.mixed").alias("mixed")),
+    "unicode_escape_round_trip": lambda s, d: planted(s, d).select("doc_id", (text.unescape(text.reversible_escape(F.col("text"))) == F.col("text")).alias("same"), F.md5(text.reversible_escape(F.col("text"))).alias("digest")),
+    "unicode_look_alikes": lambda s, d: planted(s, d).select("doc_id", F.explode(text.mixed_words(F.col("text"))).alias("word")).select("doc_id", "word", F.explode(text.look_alikes(F.col("word"))).alias("x")).filter("x.ch = '\u0430'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("letters"), F.max("x.looks_like").alias("like")),
+    "transform_trim": lambda s, d: priced(s, d).select("id", text.trim(F.concat(F.lit("\u2003\u00a0"), "ws")).alias("value")),
+    "transform_date_bounds": lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("id"), text.date(F.get(F.lit(["v 1.2.2024", "x123.04.20245", "on 03.04.2024!", "a 2024-05-06T10", " none "]), (F.col("o_orderkey") % 5).cast("int"))).alias("value")),
+    "parse_datetime_offsets": lambda s, d: table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(cells.date(F.get(F.lit(["2024-01-15T10:00:00Z", "2024-01-15T10:00:00+03:00", "2024-01-15 23:30-0130", "2024-01-15", "2024-01-15T10:00:00.5", "2024-13-01T00:00Z"]), (F.col("o_orderkey") % 6).cast("int"))), "yyyy-MM-dd HH:mm:ss").alias("value")),
     "transform_ws": lambda s, d: priced(s, d).select("id", text.normalize_ws(F.col("ws")).alias("value")),
     "transform_regex": lambda s, d: priced(s, d).select("id", text.regex(F.col("sku"), r"(\d+)", 1).alias("value")),
     "transform_number": lambda s, d: priced(s, d).select("id", text.number(F.col("price")).alias("value")),
@@ -123,12 +131,24 @@ ORACLES = {
     "unicode_escape": f"""WITH {PLANTED} SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda ch: CASE WHEN ord(ch) < 128 THEN ch WHEN ord(ch) > 65535 THEN printf('\\U%08x', ord(ch)) ELSE printf('\\u%04x', ord(ch)) END), '')) AS digest FROM planted""",
     "unicode_compare": f"""WITH {PLANTED}, z AS (SELECT doc_id, unnest(list_zip(string_split(plain, ''), string_split(text, ''))) AS x, unnest(range(greatest(length(plain), length(text)))) AS pos FROM planted WHERE plain <> text),
         k AS (SELECT doc_id, pos, ord(x[1]) AS l, ord(x[2]) AS r, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM z WHERE x[1] IS DISTINCT FROM x[2]) SELECT doc_id, pos, l, r FROM k WHERE i <= 50""",
+    "unicode_forms": f"WITH {PLANTED} SELECT doc_id, length(nfc_normalize(text))::INT AS length, octet_length(encode(nfc_normalize(text)))::INT AS bytes, nfc_normalize(text) <> text AS changes FROM planted",
+    "unicode_changes": f"""WITH {PLANTED}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS pos FROM planted)
+        SELECT doc_id, pos, ord(ch) AS codepoint, CASE ord(ch) WHEN 7 THEN 'control' WHEN 160 THEN 'nbsp' WHEN 173 THEN 'soft_hyphen' WHEN 8203 THEN 'zero_width' ELSE 'bidi' END AS kind, CASE ord(ch) WHEN 160 THEN 'space' ELSE 'remove' END AS action FROM c WHERE ord(ch) IN (7, 160, 173, 8203, 8238)""",
+    "unicode_report": f"""WITH {PLANTED}, r AS (SELECT doc_id, text, len(list_filter(regexp_extract_all(text, '[\\pL\\pN]{{2,}}'), lambda w: regexp_matches(w, '\\p{{Latin}}') AND regexp_matches(w, '\\p{{Cyrillic}}')))::INT AS mixed FROM planted)
+        SELECT doc_id, CASE WHEN regexp_matches(text, '{SQL_KINDS["zero_width"]}|{SQL_KINDS["bidi_control"]}|{SQL_KINDS["replacement_char"]}|{SQL_KINDS["control"]}') THEN 'alert' WHEN mixed > 0 OR regexp_matches(text, '{SQL_KINDS["exotic_space"]}|{SQL_KINDS["soft_hyphen"]}') THEN 'warn'
+          WHEN regexp_matches(text, '\\pM') THEN 'info' ELSE 'ok' END AS status, length(text)::INT AS length, octet_length(encode(text))::INT AS bytes, nfc_normalize(text) = text AS is_nfc, mixed FROM r""",
+    "unicode_escape_round_trip": f"""WITH {PLANTED} SELECT doc_id, true AS same, md5(array_to_string(list_transform(string_split(text, ''), lambda ch: CASE WHEN ch = '\\' THEN '\\\\' WHEN ord(ch) BETWEEN 32 AND 126 THEN ch WHEN ord(ch) > 65535 THEN printf('\\U%08x', ord(ch)) ELSE printf('\\u%04x', ord(ch)) END), '')) AS digest FROM planted""",
+    "unicode_look_alikes": f"""WITH {PLANTED}, w AS (SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[\\pL\\pN]{{2,}}'), lambda w: regexp_matches(w, '\\p{{Latin}}') AND regexp_matches(w, '\\p{{Cyrillic}}'))) AS word FROM planted)
+        SELECT doc_id, sum(length(word) - length(replace(word, chr(1072), '')))::BIGINT AS letters, 'a' AS "like" FROM w GROUP BY 1 HAVING sum(length(word) - length(replace(word, chr(1072), ''))) > 0""",
+    "transform_trim": "SELECT o_orderkey AS id, 'a' || chr(9) || ' b ' || chr(10) || o_orderkey AS value FROM orders",
+    "transform_date_bounds": "SELECT o_orderkey AS id, ['v 1.2.2024', 'x123.04.20245', '2024-04-03', 'a 2024-05-06T10', 'none'][o_orderkey % 5 + 1] AS value FROM orders",
+    "parse_datetime_offsets": "SELECT o_orderkey AS id, ['2024-01-15 10:00:00', '2024-01-15 07:00:00', '2024-01-16 01:00:00', '2024-01-15 00:00:00', '2024-01-15 10:00:00', NULL][o_orderkey % 6 + 1] AS value FROM orders",
     "transform_ws": "SELECT o_orderkey AS id, 'a b ' || o_orderkey AS value FROM orders",
     "transform_regex": "SELECT o_orderkey AS id, o_orderkey::VARCHAR AS value FROM orders",
     "transform_number": f"WITH {PRICED} SELECT id, CASE id % 3 WHEN 0 THEN (cents // 100) || '.' || lpad((cents % 100)::VARCHAR, 2, '0') WHEN 1 THEN '1234.' || lpad((cents % 100)::VARCHAR, 2, '0') ELSE '1' || lpad((cents % 1000)::VARCHAR, 3, '0') || '.' || lpad((cents % 100)::VARCHAR, 2, '0') END AS value FROM priced",
     "transform_date": f"WITH {PRICED} SELECT id, day AS value FROM priced",
     "parse_number": f"WITH {PRICED} SELECT id, CASE id % 3 WHEN 0 THEN round(((cents // 100) || '.' || lpad((cents % 100)::VARCHAR, 2, '0'))::DOUBLE, 4) END AS value FROM priced",
-    "parse_datetime": f"WITH {PRICED} SELECT id, nullif(day, 'soon') AS value FROM priced",
+    "parse_datetime": f"WITH {PRICED} SELECT id, CASE WHEN day <> 'soon' THEN regexp_extract(day, '[0-9-]{{10}}') END AS value FROM priced",
     "parse_bool": "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS value FROM orders",
     "rename_plan": f"WITH {PLAN} SELECT * FROM plan",
     "rename_numbering": f"WITH {FILES} SELECT id, CASE WHEN i * 3 - 2 < 0 THEN '-' ELSE '' END || lpad(abs(i * 3 - 2)::VARCHAR, greatest(4, length(abs(i * 3 - 2)::VARCHAR))::INT, '0') || '_' || stem || ext AS new_name FROM parts",

@@ -1,7 +1,7 @@
 """Page, URL, crawl and security queries over pages, each with its SQL where SQL can express it.
 
-No table holds headers, cookies, redirects or certificates: they are derived from
-page_id by the same arithmetic on both sides.
+The links, addresses and texts are the pages' own. What a crawl would add to them
+(headers, statuses) is planted, and the SQL states the rules over the same planted values.
 """
 
 from __future__ import annotations
@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprobe.functions import page, urls
-from lakeprobe.operators import crawl, security
+from lakeprobe.functions import net, page, urls
+from lakeprobe.operators import crawl
 from lakeprobe.session import table
 
 def U():
@@ -48,48 +48,76 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
     return out.join(p.select(F.col("src").alias("dst")), "dst", "left_semi")
 
 
-def secured(spark: SparkSession, d: str) -> DataFrame:
+def masked_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses with a query key each, secret or not by a part of its name."""
+    keys = ["refresh_token", "client_secret", "passwd", "pwd2", "x-api-key", "page", "authority", "sig", "design", "monkey"]
+    key = F.element_at(F.lit(keys), (F.col("page_id") % len(keys) + 1).cast("int"))
+    url = F.concat(F.regexp_extract(U(), "^(https?://[^/?#]+)", 1), F.lit("/a?q=1&"), key, F.lit("=v%20"), F.col("page_id").cast("string"), F.lit("&z=2"))
+    return pages(spark, d).select("page_id", urls.mask(url).alias("url"))
+
+
+def planted_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with a declared interface, a link to one and two addresses in a script, by turns."""
     k = F.col("page_id")
-    pair = lambda name, value, cond: F.when(cond, F.struct(F.lit(name).alias("k"), value.alias("v")))
-    entries = F.array(
-        pair("Strict-Transport-Security", F.lit("max-age=1"), k % 3 == 0), pair("X-Content-Type-Options", F.when(k % 4 == 1, "nosniff").otherwise("other"), k % 4 < 3), pair("Referrer-Policy", F.lit("no-referrer"), k % 5 == 0),
-        pair("X-Frame-Options", F.lit("DENY"), k % 6 == 0),
-        pair("Content-Security-Policy", F.when(k % 7 == 1, "default-src 'self'; script-src 'unsafe-inline'").when(k % 7 == 2, "default-src *; object-src 'none'").otherwise("script-src 'unsafe-eval'; frame-ancestors 'none'"), k % 7 < 4),
-        pair("Access-Control-Allow-Origin", F.lit("*"), k % 8 < 2), pair("Access-Control-Allow-Credentials", F.lit("true"), k % 8 == 1), pair("Server", F.when(k % 9 == 0, "nginx/1.2").otherwise("nginx"), k % 9 < 4),
-        pair("X-Powered-By", F.lit("PHP"), k % 10 == 0),
+    extra = (
+        F.when(k % 4 == 0, F.concat(F.lit('<link rel="alternate" type="application/json" href="/p/'), k.cast("string"), F.lit('.json">')))
+        .when(k % 4 == 1, F.lit('<a class="x" href="/api/v1/items">items</a><a href="/static/api/x.png">no</a>'))
+        .when(k % 4 == 2, F.lit('<script>fetch("https://api.example/v2/list"); load("/rest/app.js")</script>')).otherwise("")
     )
-    cookie = F.when(k % 4 == 0, "a=1; Secure; HttpOnly; SameSite=Lax").when(k % 4 == 1, "a=1; SameSite=None").when(k % 4 == 2, "a=1; HttpOnly")
-    return pages(spark, d).select("page_id", "url", "html", urls.bare_host(U()).alias("site"), F.map_from_entries(F.filter(entries, lambda e: e.isNotNull())).alias("headers"), cookie.alias("cookie"))
-
-
-FOUND = f"""
-p AS (SELECT page_id, page_id AS k, url, coalesce(html, '') AS html, {BARE} AS site FROM pages),
-h AS (SELECT *, url ILIKE 'https://%' AS https, CASE WHEN k % 7 = 1 THEN 'inline' WHEN k % 7 = 2 THEN 'star' WHEN k % 7 IN (0, 3) THEN 'eval' END AS csp,
-    CASE k % 4 WHEN 0 THEN 'all' WHEN 1 THEN 'none' WHEN 2 THEN 'http' END AS cookie FROM p),
-found AS (
-  SELECT page_id, site, unnest(list_filter([
-    CASE WHEN NOT https THEN 'no_https|high' END, CASE WHEN https AND k % 3 <> 0 THEN 'missing_hsts|medium' END, CASE WHEN k % 4 <> 1 THEN 'missing_nosniff|low' END, CASE WHEN k % 5 <> 0 THEN 'missing_referrer_policy|low' END,
-    CASE WHEN k % 6 <> 0 AND csp IS DISTINCT FROM 'eval' THEN 'missing_frame_protection|medium' END, CASE WHEN csp IS NULL THEN 'missing_csp|medium' END, CASE WHEN csp = 'inline' THEN 'csp_unsafe_inline|medium' END,
-    CASE WHEN csp = 'eval' THEN 'csp_unsafe_eval|medium' END, CASE WHEN csp = 'star' THEN 'csp_wildcard_source|medium' END, CASE WHEN cookie IN ('none', 'http') THEN 'cookie_no_secure|medium' END,
-    CASE WHEN cookie = 'none' THEN 'cookie_no_httponly|low' END, CASE WHEN cookie = 'http' THEN 'cookie_no_samesite|low' END, CASE WHEN cookie = 'none' THEN 'cookie_samesite_none_insecure|medium' END,
-    CASE WHEN k % 8 = 1 THEN 'cors_wildcard_credentials|high' END, CASE WHEN k % 8 = 0 THEN 'cors_wildcard|low' END, CASE WHEN k % 9 = 0 THEN 'server_version|low' END, CASE WHEN k % 10 = 0 THEN 'powered_by|low' END,
-    CASE WHEN https AND regexp_matches(html, '(?i)<(?:img|script|iframe|link)\\b[^>]*(?:src|href)\\s*=\\s*["'']http://') THEN 'mixed_content|medium' END,
-    CASE WHEN regexp_matches(html, '(?i)<form\\b[^>]*action\\s*=\\s*["'']http://') THEN 'form_action_http|medium' END, CASE WHEN regexp_matches(html, '(?i)<script\\b[^>]*src\\s*=\\s*["'']https?://') THEN 'external_scripts|info' END,
-    CASE WHEN regexp_matches(html, '(?i)traceback \\(most recent call last\\)|fatal error:|stack trace:') THEN 'debug_disclosure|medium' END], lambda x: x IS NOT NULL)) AS f FROM h),
-findings AS (SELECT page_id, site, split_part(f, '|', 1) AS finding, split_part(f, '|', 2) AS severity FROM found)"""
-
-
-def hops(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d).select("page_id", "url", F.concat(F.lit("<html>"), extra, F.lit("</html>")).alias("html"))
+
+
+def guessed(spark: SparkSession, d: str) -> DataFrame:
+    roots = pages(spark, d).select(F.regexp_extract(U(), "^(https?://[^/?#]+)", 1).alias("root")).distinct()
+    return roots.select("root", F.explode(F.lit(list(urls.WELL_KNOWN))).alias("path")).select(F.concat("root", "path").alias("candidate"))
+
+
+def bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Responses (type, body) of every kind, by turns; every seventh is the page itself."""
     k = F.col("page_id")
-    hop = lambda a, b: F.struct(F.concat(F.lit(a), k.cast("string")).alias("url"), F.concat(F.lit(b), k.cast("string")).alias("location"))
-    chain = F.when(k % 4 == 0, F.array(hop("http://a/", "https://a/"))).when(k % 4 == 1, F.array(hop("https://a/", "http://b/"))).when(k % 4 == 2, F.array(hop("https://a/", "https://b/"), hop("https://b/", "https://a/"), hop("https://a/", "https://b/"))).otherwise(F.array_repeat(hop("http://c/", "http://c/"), 9))
-    return pages(spark, d).select("page_id", F.explode(security.redirects(chain)).alias("finding"))
+    variants = [(t, b) for t, b, _ in BODIES]
+    at = (k % 11 + 1).cast("int")
+    body = F.when(k % 11 == 10, F.col("html")).otherwise(F.get(F.lit([b for _, b in variants]), (k % 11).cast("int")))
+    return pages(spark, d).select("page_id", "url", F.element_at(F.lit([t for t, _ in variants] + ["text/html"]), at).alias("type"), body.alias("body"))
 
 
-def certificates(spark: SparkSession, d: str) -> DataFrame:
+#: Planted responses: content type, body, and what they are.
+BODIES = (
+    ("application/json", '{"a": 1}', "json"), ("text/plain", '{"a":1}\n{"b":2}', "jsonl"), ("text/csv", "a;b\n1;2\n3;4", "csv"), ("text/plain", "just words", "text"), ("", "", "unknown"), ("image/png", "x", "binary"),
+    ("text/html", "<?xml version='1.0'?><r/>", "xml"), ("", "<rss><a/></rss>", "xml"), ("", "  <div>x</div>", "html"), ("application/ld+json", "words", "html"),
+)
+PASTED = (
+    ("curl -X GET https://x.example", "curl"), ("  https://x.example/a?b=1 ", "url"), ("https://x.example two words", "unknown"), ('[{"a": 1}]', "json"), ('{"a": oops}', "unknown"), ("<p>text</p>", "html"), ("", "unknown"), ("curling", "unknown"),
+)
+
+
+def pasted(spark: SparkSession, d: str) -> DataFrame:
+    return pages(spark, d).select("page_id", F.get(F.lit([p for p, _ in PASTED]), (F.col("page_id") % len(PASTED)).cast("int")).alias("raw"))
+
+
+def next_links(spark: SparkSession, d: str) -> DataFrame:
+    """The next page of responses that tell it in five ways, by turns."""
     k = F.col("page_id")
-    version = F.when(k % 3 == 0, "TLSv1.1").otherwise("TLSv1.3")
-    return pages(spark, d).select("page_id", F.explode(security.certificate(version, k % 60 - 10, k % 7 != 0, k % 11 != 0)).alias("finding"))
+    header = F.when(k % 6 == 0, F.lit('<https://o.example/l?p=1>; rel="prev", </list?p=3>; rel="next"'))
+    json = F.when(k % 6 == 1, F.lit('{"links": {"next": "/j?after=9"}, "next": ""}')).when(k % 6 == 2, F.lit('{"next_url": "https://n.example/2", "meta": {"next": "/no"}}'))
+    body = F.coalesce(json, F.when(k % 6 == 3, F.lit("<html><link rel='next' href='?p=8'></html>")).otherwise(F.lit("<p>no more</p>")))
+    url = F.when(k % 6 == 4, F.concat(F.regexp_extract(U(), "^(https?://[^/?#]+)", 1), F.lit("/s?offset=40&limit=20"))).otherwise(F.concat(F.regexp_extract(U(), "^(https?://[^/?#]+)", 1), F.lit("/dir/s")))
+    kind = F.when((k % 6).isin(1, 2), "json").otherwise("html")
+    got = pages(spark, d).select("page_id", urls.next_link(url, header, body, kind).alias("n"))
+    return got.select("page_id", "n.kind", "n.url")
+
+
+def page_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What a page holds, counted by its markup."""
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("int")
+    images = F.regexp_extract_all("html", F.lit("(?i)<img [^>]*>"), 0)
+    hrefs = F.regexp_extract_all("html", F.lit(LINK), 1)
+    outside = F.filter(hrefs, lambda h: h.rlike("(?i)^https?://") & (F.lower(urls.part(h, urls.HOST)) != F.lower(urls.part(U(), urls.HOST))))
+    return pages(spark, d).withColumn("html", F.coalesce("html", F.lit(""))).select(
+        "page_id", F.size(hrefs).alias("links"), F.size(outside).alias("external"), (F.size(hrefs) - F.size(outside)).alias("internal"), F.size(images).alias("images"),
+        F.size(F.filter(images, lambda t: ~t.rlike("(?i)[ ]alt=[\"'][^\"']"))).alias("without_alt"), n("(?i)<h[1-6][ >]").alias("headings"), n("(?i)<table[ >]").alias("tables"), n("(?i)<form[ >]").alias("forms"),
+        n("(?i)<script[ >]").alias("scripts"),
+    )
 
 
 QUERIES = {
@@ -97,7 +125,17 @@ QUERIES = {
     "page_links_regex": lambda s, d: links(s, d).select("page_id", "href"),
     "page_link_counts": link_counts,
     "page_hosts": lambda s, d: pages(s, d).groupBy(urls.bare_host(U()).alias("host")).agg(F.count(F.lit(1)).alias("pages")),
-    "url_normalize": lambda s, d: pages(s, d).select("page_id", urls.normalize(F.concat(F.upper(F.substring(U(), 1, 4)), F.substring(U(), 5, 10_000))).alias("url")),
+    "url_normalize": lambda s, d: pages(s, d).select("page_id", urls.normalize(F.concat(F.upper(F.substring(U(), 1, 4)), F.expr("substring(url, 5)"))).alias("url")),
+    "url_http_form": lambda s, d: pages(s, d).select("page_id", urls.http_form(F.concat(F.regexp_replace(U(), "#.*$", ""), F.lit("%20a b/é#x"))).alias("url")),
+    "url_resolve": lambda s, d: links(s, d).select("page_id", "href", urls.resolve(U(), F.col("href")).alias("target")),
+    "url_mask_keys": masked_keys,
+    "api_candidates": lambda s, d: crawl.candidates(planted_pages(s, d)),
+    "api_unknown": lambda s, d: crawl.unknown(crawl.candidates(planted_pages(s, d)).select("candidate"), guessed(s, d), pages(s, d).select(U().alias("candidate"))),
+    "next_link": next_links,
+    "page_counts": page_counts,
+    "source_kind": lambda s, d: bodies(s, d).select("page_id", net.source_kind(F.col("type"), F.col("body")).alias("kind")),
+    "input_kind": lambda s, d: pasted(s, d).select("page_id", net.input_kind(F.col("raw")).alias("kind")),
+    "charset_header": lambda s, d: pages(s, d).select("page_id", net.charset(F.when(F.col("page_id") % 3 == 0, "text/html; charset=Windows-1251"), F.col("html")).alias("charset")),
     "url_origin": lambda s, d: pages(s, d).select("page_id", urls.origin(U()).alias("origin")),
     "url_mask": lambda s, d: secret_urls(s, d).select("page_id", urls.mask(U()).alias("url")),
     "url_scope_filter": lambda s, d: pages(s, d).filter(urls.in_scope(U(), F.lit("https://ththan.example.net/"))).select("page_id", "url"),
@@ -112,11 +150,6 @@ QUERIES = {
     "page_headings": lambda s, d: page.parsed(pages(s, d)).select("page_id", F.explode("headings").alias("h")).select("page_id", "h.level", "h.text"),
     "page_tables": lambda s, d: page.parsed(pages(s, d)).select("page_id", F.posexplode("tables").alias("nth", "t")).select("page_id", "nth", "t.header", F.size("t.rows").alias("rows")),
     "page_text": lambda s, d: page.parsed(pages(s, d)).select("page_id", "text", "words"),
-    "sec_findings": lambda s, d: security.findings(secured(s, d)),
-    "sec_site_report": lambda s, d: security.site_report(security.findings(secured(s, d))),
-    "sec_summary": lambda s, d: security.summary(security.findings(secured(s, d))),
-    "sec_redirects": hops,
-    "sec_tls": certificates,
 }
 ORACLES = {
     "page_titles": r"SELECT page_id, substr(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), 1, 200) AS title FROM pages",
@@ -130,16 +163,33 @@ ORACLES = {
     "url_scope_filter": f"SELECT page_id, url FROM pages WHERE url LIKE 'https://%' AND ({HOST} = 'ththan.example.net' OR {HOST} LIKE '%.ththan.example.net')",
     "url_safety": "SELECT page_id, page_id % 5 > 1 AS safe FROM pages",
     "url_next_page": r"""SELECT page_id, regexp_extract(url, '^(.*[?&]page=)(\d+)(.*)$', 1) || (regexp_extract(url, '[?&]page=(\d+)', 1)::BIGINT + 1) || regexp_extract(url, '^(.*[?&]page=)(\d+)(.*)$', 3) AS next_url FROM pages WHERE regexp_matches(url, '[?&]page=\d+')""",
+    "url_http_form": r"""SELECT page_id, replace(replace(regexp_replace(CASE WHEN regexp_matches(url, '^[a-z]+://[^/?#]+(#.*)?$') THEN regexp_replace(url, '#.*$', '') || '/' ELSE url END, '#.*$', ''), ' ', '%20'), 'é', '%C3%A9') || '%20a%20b/%C3%A9' AS url FROM pages""",
+    "url_resolve": f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{LINK}', 1)) AS href FROM pages), r AS (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*/)[^/?#]*', 1) AS folder FROM l)
+        SELECT page_id, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN split_part(url, ':', 1) || ':' || href WHEN href LIKE '/%' THEN root || href WHEN href LIKE '#%' THEN regexp_replace(url, '#.*$', '') || href
+          WHEN href LIKE '?%' THEN regexp_replace(url, '[?#].*$', '') || href WHEN href = '' THEN url ELSE root || CASE WHEN folder = '' THEN '/' ELSE folder END || href END AS target FROM r""",
+    "url_mask_keys": r"""WITH k AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, ['refresh_token', 'client_secret', 'passwd', 'pwd2', 'x-api-key', 'page', 'authority', 'sig', 'design', 'monkey'][page_id % 10 + 1] AS key FROM pages)
+        SELECT page_id, root || '/a?q=1&' || key || '=' || CASE WHEN page_id % 10 IN (0, 1, 2, 3, 4, 7, 8) THEN '***' ELSE 'v%20' || page_id END || '&z=2' AS url FROM k""",
+    "api_candidates": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root FROM pages)
+        SELECT page_id, root || '/p/' || page_id || '.json' AS candidate, 'link_alternate_json' AS source, 'high' AS confidence FROM p WHERE page_id % 4 = 0
+        UNION ALL SELECT page_id, root || '/api/v1/items', 'html', 'high' FROM p WHERE page_id % 4 = 1 UNION ALL SELECT page_id, 'https://api.example/v2/list', 'inline_script', 'low' FROM p WHERE page_id % 4 = 2""",
+    "api_unknown": r"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root FROM pages), w AS (SELECT unnest(['/openapi.json', '/swagger.json', '/swagger/v1/swagger.json', '/api/openapi.json', '/api/schema', '/api/docs', '/docs/openapi.json',
+          '/.well-known/openapi.json', '/graphql', '/api', '/api/v1', '/rest/api', '/sitemap.xml', '/feed', '/rss']) AS path),
+        c AS (SELECT root || '/p/' || page_id || '.json' AS candidate FROM p WHERE page_id % 4 = 0 UNION SELECT root || '/api/v1/items' FROM p WHERE page_id % 4 = 1 UNION SELECT 'https://api.example/v2/list' FROM p WHERE page_id % 4 = 2 UNION SELECT root || path FROM p, w)
+        SELECT candidate FROM c WHERE candidate NOT IN (SELECT url FROM pages WHERE url IS NOT NULL)""",
+    "next_link": r"""WITH p AS (SELECT page_id, page_id % 6 AS k, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root FROM pages)
+        SELECT page_id, ['link_header', 'json_next', 'json_next', 'rel_next', 'offset_limit', NULL][k + 1] AS kind, CASE k WHEN 0 THEN root || '/list?p=3' WHEN 1 THEN root || '/j?after=9' WHEN 2 THEN 'https://n.example/2' WHEN 3 THEN root || '/dir/s?p=8' WHEN 4 THEN root || '/s?offset=60&limit=20' END AS url FROM p""",
+    "page_counts": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html, {HOST} AS host FROM pages), x AS (SELECT *, regexp_extract_all(html, '{LINK}', 1) AS hrefs, regexp_extract_all(html, '(?i)<img [^>]*>') AS imgs FROM p),
+        y AS (SELECT *, len(list_filter(hrefs, lambda h: regexp_matches(h, '(?i)^https?://') AND lower(regexp_extract(h, '^[A-Za-z]+://([^/?#:]*)', 1)) <> host))::INT AS outside FROM x)
+        SELECT page_id, len(hrefs)::INT AS links, outside AS external, len(hrefs)::INT - outside AS internal, len(imgs)::INT AS images, len(list_filter(imgs, lambda t: NOT regexp_matches(t, '(?i)[ ]alt=["''][^"'']')))::INT AS without_alt,
+          len(regexp_extract_all(html, '(?i)<h[1-6][ >]'))::INT AS headings, len(regexp_extract_all(html, '(?i)<table[ >]'))::INT AS tables, len(regexp_extract_all(html, '(?i)<form[ >]'))::INT AS forms, len(regexp_extract_all(html, '(?i)<script[ >]'))::INT AS scripts FROM y""",
+    "source_kind": "SELECT page_id, ['json', 'jsonl', 'csv', 'text', 'unknown', 'binary', 'xml', 'xml', 'html', 'html', 'html'][page_id % 11 + 1] AS kind FROM pages",
+    "input_kind": "SELECT page_id, ['curl', 'url', 'unknown', 'json', 'unknown', 'html', 'unknown', 'unknown'][page_id % 8 + 1] AS kind FROM pages",
+    "charset_header": r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'windows-1251' ELSE lower(coalesce(nullif(regexp_extract(substr(html, 1, 2048), '(?i)<meta[^>]+charset=["'']?([\w-]+)', 1), ''), 'utf-8')) END AS charset FROM pages""".replace("\\\\", "\\"),
     "well_known_candidates": f"""WITH o AS (SELECT DISTINCT CASE WHEN url ILIKE 'https:%' THEN 'https|' || {HOST} || '|443' ELSE 'http|' || {HOST} || '|80' END AS origin FROM pages)
-        SELECT origin, unnest([{", ".join(f"'{p}'" for p in urls.WELL_KNOWN)}]) AS path FROM o""",
+        SELECT origin, unnest(['/openapi.json', '/swagger.json', '/swagger/v1/swagger.json', '/api/openapi.json', '/api/schema', '/api/docs', '/docs/openapi.json', '/.well-known/openapi.json', '/graphql', '/api', '/api/v1', '/rest/api',
+          '/sitemap.xml', '/feed', '/rss']) AS path FROM o""",
     "charset_detect": r"""SELECT page_id, lower(coalesce(nullif(regexp_extract(substr(html, 1, 2048), '(?i)<meta[^>]+charset=["'']?([\w-]+)', 1), ''), 'utf-8')) AS charset FROM pages""",
     "source_type": r"""SELECT CASE WHEN regexp_matches(html, '(?is)^\s*(<!doctype html|<html)') THEN 'html' WHEN regexp_matches(html, '(?s)^\s*[\[{]') THEN 'json' WHEN regexp_matches(html, '(?s)^\s*<\?xml') THEN 'xml' ELSE 'text' END AS kind, count(*) AS pages FROM pages GROUP BY 1""",
     "crawl_bfs": """WITH RECURSIVE e AS (SELECT page_id AS src, unnest([page_id * 2 + 1, page_id * 2 + 2, page_id // 3]) AS dst FROM pages), v AS (SELECT e.src, e.dst FROM e JOIN pages ON page_id = e.dst),
         w AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT v.dst, w.depth + 1 FROM w JOIN v ON v.src = w.node WHERE w.depth < 5) SELECT node, min(depth)::INT AS depth FROM w GROUP BY 1""",
-    "sec_findings": f"WITH {FOUND} SELECT * FROM findings",
-    "sec_site_report": f"WITH {FOUND} SELECT site, finding, severity, count(DISTINCT page_id) AS pages, min(page_id) AS first_page FROM findings GROUP BY ALL",
-    "sec_summary": f"WITH {FOUND} SELECT severity, count(*) AS findings, count(DISTINCT page_id) AS pages FROM findings GROUP BY 1",
-    "sec_redirects": """SELECT page_id, unnest(CASE page_id % 4 WHEN 0 THEN []::VARCHAR[] WHEN 1 THEN ['redirect_downgrade'] WHEN 2 THEN ['redirect_loop'] ELSE ['redirect_loop', 'redirect_too_many'] END) AS finding FROM pages""",
-    "sec_tls": """SELECT page_id, unnest(list_filter([CASE WHEN page_id % 3 = 0 THEN 'tls_version_obsolete' END, CASE WHEN page_id % 60 < 10 THEN 'tls_cert_expired' END, CASE WHEN page_id % 60 BETWEEN 10 AND 30 THEN 'tls_cert_expiring_soon' END,
-        CASE WHEN page_id % 7 = 0 THEN 'tls_cert_hostname_mismatch' END, CASE WHEN page_id % 11 = 0 THEN 'tls_cert_untrusted' END], lambda x: x IS NOT NULL)) AS finding FROM pages""",
 }

@@ -2,41 +2,62 @@
 
 from __future__ import annotations
 
+import csv
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeprobe.functions import cells
 
+#: Delimiters that are tried, encodings in the order they are tried, and keys under which a JSON object may hold its list of records.
 DELIMITERS = (",", ";", "\t", "|")
-#: Keys under which a JSON object may hold its list of records.
+ENCODINGS = ("UTF-8", "windows-1251", "ISO-8859-1")
 LISTS = ("data", "items", "records", "rows", "results")
 
 
-def head(spark: SparkSession, path: str, lines: int = 20) -> list[str]:
+@dataclass(frozen=True)
+class Loaded:
+    """A table, the encoding it was read in, whether rows were cut off, and the columns that were."""
+
+    df: DataFrame
+    encoding: str
+    truncated: bool
+    dropped_columns: list[str]
+
+
+def head(spark: SparkSession, path: str, lines: int = 20, encoding: str = "UTF-8") -> list[str]:
     """The first lines of a file that are not blank, read by Spark."""
-    return [r["value"] for r in spark.read.text(path).filter(F.trim("value") != "").limit(lines).collect()]
+    return [r["value"] for r in spark.read.option("encoding", encoding).text(path).filter(F.trim("value") != "").limit(lines).collect()]
+
+
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """The first encoding in which no line of a file has an unreadable byte; all lines are looked at, where they are."""
+    for name in ENCODINGS[:-1]:
+        if spark.read.option("encoding", name).text(path).filter(F.contains("value", F.lit("\ufffd"))).isEmpty():
+            return name
+    return ENCODINGS[-1]
 
 
 def sniff(lines: list[str]) -> str:
-    """The delimiter under which most lines are as wide as the first, the wider the better."""
-    best, found = (0, 1), ","
-    for d in DELIMITERS:
-        widths = [line.count(d) + 1 for line in lines]
-        score = (sum(w == widths[0] for w in widths), widths[0]) if lines and widths[0] > 1 else (0, 1)
-        if score > best:
-            best, found = score, d
-    return found
+    """The delimiter that most lines have as often as the first one does, outside of quotes; of equals the one that makes more columns."""
+
+    def columns(line: str, delimiter: str) -> int:
+        return len(next(csv.reader([line], delimiter=delimiter)))
+
+    def fit(delimiter: str) -> tuple[int, int]:
+        widths = [columns(line, delimiter) for line in lines]
+        return (widths.count(widths[0]), widths[0]) if widths and widths[0] > 1 else (0, 0)
+
+    best = max(DELIMITERS, key=fit)
+    return best if fit(best) > (0, 0) else ","
 
 
 def dedupe(names: list[str]) -> list[str]:
-    """Blank names become column_i, repeated ones name__k."""
-    seen: dict[str, int] = {}
-    out = []
-    for i, raw in enumerate(names):
-        name = (raw or "").strip() or f"column_{i + 1}"
-        seen[name] = seen.get(name, 0) + 1
-        out.append(name if seen[name] == 1 else f"{name}__{seen[name]}")
-    return out
+    """Blank names become column_i; the first repetition of a name ends in __1, the next in __2."""
+    named = [(n or "").strip() or f"column_{i}" for i, n in enumerate(names, 1)]
+    times = [named[:i].count(n) for i, n in enumerate(named)]
+    return [f"{n}__{k}" if k else n for n, k in zip(named, times, strict=True)]
 
 
 def normalized(df: DataFrame) -> DataFrame:
@@ -44,32 +65,54 @@ def normalized(df: DataFrame) -> DataFrame:
     return df.select(*[cells.normalize(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns])
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """A delimited file: the delimiter sniffed, headers made unique, short rows padded, long ones cut."""
-    lines = head(spark, path)
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """A delimited file: encoding and delimiter sniffed, headers made unique, quoted line breaks kept, short rows padded, long ones cut."""
+    encoding = encoding or encoding_of(spark, path)
+    lines = head(spark, path, encoding=encoding)
     if not lines:
         raise ValueError("the file is empty")
-    sep = sniff(lines)
-    header = spark.read.option("sep", sep).option("encoding", encoding).csv(path).first()
-    names = dedupe([(v or "").lstrip("﻿") for v in header])
+    options = {"sep": sniff(lines), "encoding": encoding, "multiLine": True, "escape": '"'}
+    header = spark.read.options(**options).csv(path).first()
+    names = dedupe([(v or "").lstrip("\ufeff") for v in header])
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    df = spark.read.schema(schema).option("sep", sep).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("encoding", encoding).csv(path)
+    df = spark.read.schema(schema).options(**options, header=True, enforceSchema=True, mode="PERMISSIVE").csv(path)
     return normalized(df.toDF(*names))
 
 
+def _members(path: str, spark: SparkSession, order: list[str]) -> list[str]:
+    """Columns in the order in which their names first occur in the file's head; the others after them, by name."""
+    text = "".join(head(spark, path, 200))
+    at = {c: text.find(f'"{c}"') for c in order}
+    return sorted(order, key=lambda c: (at[c] < 0, at[c], c))
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines, a JSON list, or an object that holds its records under a known key; nested values stay JSON text."""
+    """JSON lines, a JSON list, or an object that holds its records under a known key; keys as first seen, nested values stay JSON text.
+
+    An item of a list that is no object, and a line that is no JSON, raise ValueError; a line's number is told.
+    """
     first = head(spark, path, 1)
     if not first:
         raise ValueError("the file is empty")
-    lines = first[0].lstrip("﻿").strip()
-    whole = lines.startswith("[") or not lines.endswith("}")
+    start = first[0].lstrip("\ufeff").strip()
+    whole = start.startswith("[") or not start.endswith("}")
+    if not whole:
+        bad = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+        bad = bad.filter((F.trim("value") != "") & (F.try_parse_json("value").isNull() | ~F.trim("value").startswith("{"))).agg(F.min("at")).first()[0]
+        if bad is not None:
+            before = spark.read.text(path).select(F.monotonically_increasing_id().alias("at")).filter(F.col("at") <= bad).count()
+            raise ValueError(f"line {before} is no JSON object")
+    elif start.startswith("["):
+        text = spark.read.option("wholetext", True).text(path)
+        odd = text.select(F.explode(F.from_json(F.regexp_replace("value", "^\ufeff", ""), "array<string>")).alias("item")).filter(~F.trim("item").startswith("{"))
+        if not odd.isEmpty():
+            raise ValueError("an item of the list is no object")
     df = spark.read.option("multiLine", whole).option("mode", "FAILFAST").option("primitivesAsString", True).json(path)
     held = next((k for k in LISTS if k in df.columns and df.schema[k].dataType.typeName() == "array"), None)
     if held:
         df = df.select(F.explode(held).alias("r")).select("r.*")
-    flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("struct", "array", "map") else F.col(f"`{f.name}`") for f in df.schema]
-    return normalized(df.select(*flat))
+    flat = {f.name: F.to_json(f"`{f.name}`").alias(f.name) if f.dataType.typeName() in ("struct", "array", "map") else F.col(f"`{f.name}`") for f in df.schema}
+    return normalized(df.select(*[flat[c] for c in _members(path, spark, df.columns)]))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -77,16 +120,35 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     first = head(spark, path, 1)
     if not first:
         raise ValueError("the file is empty")
-    if path.endswith((".json", ".ndjson", ".jsonl")) or first[0].lstrip("﻿ \t")[:1] in ("[", "{"):
+    if path.endswith((".json", ".ndjson", ".jsonl")) or first[0].lstrip("\ufeff \t")[:1] in ("[", "{"):
         return read_json(spark, path)
     return read_csv(spark, path)
 
 
-def write_table(df: DataFrame, path: str, kind: str = "csv", sep: str = ",", crlf: bool = False) -> None:
-    """csv, tsv or ndjson."""
+def load_table(spark: SparkSession, path: str, max_rows: int | None = None, max_columns: int | None = None, max_bytes: int | None = None) -> Loaded:
+    """read_table() within limits: what is cut off is told. A file of more than max_bytes is refused before it is read."""
+    if max_bytes is not None:
+        size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+        if size > max_bytes:
+            raise ValueError(f"the file has {size} bytes; {max_bytes} are allowed")
+    df = read_table(spark, path)
+    dropped = df.columns[max_columns:] if max_columns is not None else []
+    df = df.drop(*dropped) if dropped else df
+    truncated = max_rows is not None and df.limit(max_rows + 1).count() > max_rows
+    return Loaded(df.limit(max_rows) if truncated else df, encoding_of(spark, path), truncated, dropped)
+
+
+def write_table(df: DataFrame, path: str, kind: str = "csv", sep: str = ",", crlf: bool = False, bom: bool = False) -> None:
+    """csv, tsv, ndjson or json (a list in each file); bom marks csv and tsv files, whose headers begin with it."""
     if kind in ("csv", "tsv"):
-        df.write.option("header", True).option("sep", "\t" if kind == "tsv" else sep).option("lineSep", "\r\n" if crlf else "\n").csv(path)
+        marked = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if bom else df
+        marked.write.option("header", True).option("sep", "\t" if kind == "tsv" else sep).option("lineSep", "\r\n" if crlf else "\n").csv(path)
     elif kind == "ndjson":
         df.write.json(path)
+    elif kind == "json":
+        # a file for each partition, each one list
+        row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("row")
+        lists = df.select(row, F.spark_partition_id().alias("part")).groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ",\n"), F.lit("]")).alias("value"))
+        lists.select("value").write.text(path)
     else:
         raise ValueError(f"unknown format: {kind}")

@@ -12,10 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, as the session names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+from lakeprobe.operators import security
+from lakeprobe.session import shared_dir
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str, files: int = 4) -> DataFrame:
@@ -46,3 +44,55 @@ def accumulate(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     job = rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/cursor").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.parquet(f"{base}/counts").groupBy(*keys).agg(F.sum("n").alias("n"))
+
+
+def audit(pages: DataFrame, name: str = "audit") -> DataFrame:
+    """The security rules run over a stream of responses (page_id, site, url, html, headers, cookies): pages affected by site and finding.
+
+    Each batch's findings are counted by page and written under the batch's number; a
+    page that comes again in another batch is counted once.
+    """
+    spark = pages.sparkSession
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def step(batch: DataFrame, number: int) -> None:
+        security.findings(batch).select("site", "finding", "severity", "page_id").distinct().write.mode("overwrite").parquet(f"{base}/found/batch={number}")
+
+    job = pages.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/cursor").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.parquet(f"{base}/found").groupBy("site", "finding", "severity").agg(F.count_distinct("page_id").alias("pages"))
+
+
+#: How a job can end.
+DONE, LIMIT, FAILED = "done", "limit", "failed"
+
+
+def steps(rows: DataFrame, name: str, max_steps: int | None = None, max_rows: int | None = None, cursor: str | None = None) -> tuple[str, DataFrame | None, str, int]:
+    """Run a collection job step by step (a micro-batch each) until all is read or a limit is met: (how it ended, the rows so far, the cursor to go on with, rows).
+
+    A step that fails leaves the job FAILED, with what was collected before; the same
+    cursor tries that step again.
+    """
+    spark = rows.sparkSession
+    base = cursor or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    done = {"steps": 0, "rows": 0, "stop": False}
+
+    def step(batch: DataFrame, number: int) -> None:
+        if done["stop"]:
+            raise InterruptedError("limit")
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+        done["steps"] += 1
+        done["rows"] += spark.read.schema(batch.schema).parquet(f"{base}/rows/batch={number}").count()
+        done["stop"] = (max_steps is not None and done["steps"] >= max_steps) or (max_rows is not None and done["rows"] >= max_rows)
+
+    job = rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/cursor").trigger(availableNow=True).start()
+    try:
+        job.awaitTermination()
+        ended = DONE
+    except Exception:  # the query's own error, whatever it is, ends the job and not the caller
+        ended = LIMIT if done["stop"] else FAILED
+    try:
+        so_far = spark.read.schema(rows.schema).parquet(f"{base}/rows")
+    except Exception:
+        so_far = None
+    return ended, so_far, base, done["rows"]
