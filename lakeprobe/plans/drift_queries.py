@@ -174,7 +174,7 @@ def counts(spark: SparkSession, d: str) -> DataFrame:
 
 def metrics(spark: SparkSession, d: str) -> DataFrame:
     n = numbers(spark, d)
-    return drift.numeric_metrics(n, profile.numeric(n, "side"))
+    return drift.numeric_metrics(n, profile.moments(n, "side"))
 
 
 def text_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -306,12 +306,12 @@ def classified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def profile_numeric(spark: SparkSession, d: str) -> DataFrame:
-    stats = profile.numeric(profile.long_numbers(lines(spark, d), NUMERIC))
+    stats = profile.moments(profile.long_numbers(lines(spark, d), NUMERIC))
     return stats.select("column", "n", "zeros", "negatives", *[F.round(c, 4).alias(c) for c in ("min", "max", "mean", "std")], F.round("skew", 4).alias("skew"))
 
 
 def profile_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    stats = profile.numeric(profile.long_numbers(lines(spark, d), NUMERIC))
+    stats = profile.quantiles(profile.long_numbers(lines(spark, d), NUMERIC))
     return stats.select("column", *[F.round(q, 4).alias(q) for q in profile.QUANTILES])
 
 
@@ -321,7 +321,7 @@ QUERIES = {
     "drift_bins": lambda s, d: drift.bins(numbers(s, d)).select("column", "bin", "ref", "cur"),
     "drift_ks_numeric": lambda s, d: _side(drift.ks(numbers(s, d)), "ks"),
     "drift_ks_pvalue": lambda s, d: metrics(s, d).select("column", F.round("ks_p", 6).alias("ks_p")),
-    "drift_cohens_d": lambda s, d: _side(drift.wide(profile.numeric(numbers(s, d), "side"), ["n", "mean", "std"]).withColumn("d", drift.cohens_d()), "d"),
+    "drift_cohens_d": lambda s, d: _side(drift.wide(profile.moments(numbers(s, d), "side"), ["n", "mean", "std"]).withColumn("d", drift.cohens_d()), "d"),
     "drift_psi_categorical": lambda s, d: _side(drift.psi(counts(s, d)), "psi"),
     "drift_jsd": lambda s, d: _side(drift.divergence(counts(s, d)), "jsd"),
     "drift_tvd": lambda s, d: _side(drift.divergence(counts(s, d)), "tvd"),

@@ -151,7 +151,25 @@ QUERIES = {
     "page_tables": lambda s, d: page.parsed(pages(s, d)).select("page_id", F.posexplode("tables").alias("nth", "t")).select("page_id", "nth", "t.header", F.size("t.rows").alias("rows")),
     "page_text": lambda s, d: page.parsed(pages(s, d)).select("page_id", "text", "words"),
 }
+
+
+def _plain(x: str) -> str:
+    """SQL: entities of the pages turned into characters, white space into single spaces."""
+    for entity, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{ch}')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+SEEN = _plain("regexp_replace(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<title>.*?</title>|<[^>]*>', ' ', 'g')")
 ORACLES = {
+    "page_links": f"""WITH l AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS h, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS t FROM pages)
+        SELECT page_id, root || {_plain("h")} AS href, {_plain("t")} AS text, true AS internal FROM l""",
+    "page_headings": f"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<h([1-6])>(.*?)</h[1-6]>', 1)) AS n, unnest(regexp_extract_all(html, '(?s)<h([1-6])>(.*?)</h[1-6]>', 2)) AS t FROM pages)
+        SELECT page_id, n::INT AS level, substr({_plain("t")}, 1, 300) AS text FROM l""",
+    "page_text": f"WITH t AS (SELECT page_id, {SEEN} AS text FROM pages) SELECT page_id, text, len(regexp_extract_all(text, '[\\pL\\pN_]+'))::INT AS words FROM t",
+    "page_parse": f"""WITH t AS (SELECT page_id, html, substr({_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, 1, 200) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, {SEEN} AS text FROM pages)
+        SELECT page_id, title, lang, len(regexp_extract_all(text, '[\\pL\\pN_]+'))::INT AS words, len(regexp_extract_all(html, '<a href="'))::INT AS links, len(regexp_extract_all(html, '<h[1-6]>'))::INT AS headings, len(regexp_extract_all(html, '<img '))::INT AS images,
+          len(regexp_extract_all(html, '<table'))::INT AS tables, len(regexp_extract_all(html, '<form'))::INT AS forms FROM t""",
     "page_titles": r"SELECT page_id, substr(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), 1, 200) AS title FROM pages",
     "page_links_regex": f"SELECT page_id, unnest(regexp_extract_all(html, '{LINK}', 1)) AS href FROM pages",
     "page_link_counts": f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{LINK}', 1)) AS href FROM pages)
