@@ -28,6 +28,13 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
 
 
+def test_components_with_a_hub(spark):
+    """One node in half of the edges: no task gathers its neighbours (the groups of a hub are broadcast)."""
+    edges = [(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(0, 3000, 2)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {i: 0 for i in range(3000)} | {5000 + i: 5000 + i - i % 2 for i in range(3000)}
+
+
 def test_join_groups(spark):
     rows = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))

@@ -50,8 +50,34 @@ def test_gradient_steps_match_a_plain_loop(spark):
         if np.abs(residual / have).max() <= mixing.TOLERANCE:
             break
         rate = np.maximum(0, rate - p @ (residual / have))
-    got = rows.withColumn("r", mixing.rate_after(mixing.solve(rows, 2, target))).collect()
-    assert [r["r"] for r in got] == pytest.approx(rate.tolist(), abs=1e-9)
+    got, left = mixing.solve(rows, 2, target)
+    assert [r["rate"] for r in got.collect()] == pytest.approx(rate.tolist(), abs=1e-9) and left <= mixing.ENOUGH
+
+
+def test_rates_have_a_bound_and_what_is_missed_is_told(spark, caplog):
+    rows = spark.createDataFrame([(10, [0.9, 0.1]), (20, [0.5, 0.5])], "tokens long, p array<double>")
+    got, left = mixing.solve(rows, 2, np.array([200.0, 200.0]), most=3.0)
+    assert [r["rate"] for r in got.collect()] == [3.0, 3.0] and left > 1 and "missed" in caplog.text
+
+
+def test_posteriors_are_those_of_the_plain_classifier(spark, sf):
+    docs, labels = documents(spark, sf), table(spark, sf, "labels")
+    good = {r["doc_id"] for r in labels.filter("quality = 1").collect()}
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    counts = defaultdict(Counter)
+    for i in good & rows.keys():
+        data = b" " + (rows[i]["text"] or "").lower().encode() + b" "
+        counts[rows[i]["lang"]].update(int(((data[k] << 16 | data[k + 1] << 8 | data[k + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 18) for k in range(len(data) - 2))
+    langs = sorted(counts)
+    logs = {x: {b: np.log((counts[x][b] + 0.5) / (sum(counts[x].values()) + 0.5 * (1 << 14))) for b in range(1 << 14)} for x in langs}
+    got = {r["doc_id"]: r for r in mixing.rates(docs, mixing.labelled_domains(docs, labels))[0].collect()}
+    for i, r in rows.items():
+        data = b" " + (r["text"] or "").lower().encode() + b" "
+        at = [int(((data[k] << 16 | data[k + 1] << 8 | data[k + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 18) for k in range(len(data) - 2)] if r["text"] else []
+        e = np.array([sum(logs[x][b] for b in at) for x in langs]) * (120 / (len(at) + 120))
+        p = np.exp(e - e.max())
+        assert got[i]["p"] == pytest.approx((p / p.sum()).tolist(), abs=1e-3)
+        assert got[i]["tokens"] == len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
 
 
 def test_mixed_repeats_rows(spark, sf):
@@ -68,6 +94,18 @@ def test_mixing_edges(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = mixing.query(spark, frame(spark), none).collect()
     assert len(got) == len(ROWS) and {r["rate"] for r in got} == {1.0}
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert Counter((r["doc_id"], r["tokens"]) for r in got) == Counter((i, words(t)) for i, t, _ in ROWS)
+
+
+def test_clashing_names_are_carried_along(spark):
+    from lakeprobe.llm import exact_dedup
+
+    odd = frame(spark).selectExpr("*", "'x' AS __text", "'y' AS __n", "'z' AS __digest", "'k' AS __key", "'i' AS id", "'t' AS t", "1 AS doc", "2 AS c0")
+    none = spark.createDataFrame([], "doc_id long, label string")
+    for out in (mixing.mixed(odd, none), exact_dedup.dedup(odd), jaccard_join.first_of_each(odd), toxicity.accepted(odd, spark.createDataFrame([(1, 1), (6, 0)], "doc_id long, toxic int"))):
+        assert out.columns == odd.columns
+        assert {(r["__text"], r["__n"], r["__digest"], r["__key"], r["id"], r["t"], r["doc"], r["c0"]) for r in out.collect()} == {("x", "y", "z", "k", "i", "t", 1, 2)}
     assert mixing.query(spark, empty(spark), none).collect() == []
 
 
@@ -84,6 +122,49 @@ def test_language_of_documents_and_pages(spark):
     assert sum(of_pages[i] == x for i, x in said.items()) > 0.97 * len(said)
 
 
+def test_languages_of_documents_that_the_model_has_not_seen(spark):
+    docs = documents(spark, "/root/testdata/sf0.01")
+    seen, unseen = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
+    got = {r["id"]: r["lang"] for r in langid.identify(langid.records(None, unseen), langid.fit(seen)).collect()}
+    lang = {r["doc_id"]: r["lang"] for r in unseen.collect()}
+    assert got.keys() == lang.keys() and sum(got[i] == x for i, x in lang.items()) > 0.95 * len(lang)
+
+
+def test_fusion_against_a_plain_computation(spark, sf):
+    """All pages of the smallest tables, from the text likelihoods on."""
+    docs, pages = documents(spark, sf), table(spark, sf, "pages")
+    model = langid.fit(docs)
+    n = len(model.labels)
+    soft = lambda v: np.exp(np.array(v) - max(v)) / np.exp(np.array(v) - max(v)).sum()
+    rows = [r.asDict() for r in langid.records(pages, None).collect()]
+    for r in rows:
+        r["ll"] = model.likelihoods(langid.visible(r["text"]))
+        r["s"] = soft(r["ll"])
+        r["said"] = None if r["declared"] is None else r["declared"] if r["declared"] in model.labels else "other"
+    total = lambda some: sum((r["s"] for r in some), np.zeros(n))
+    everywhere = (total(rows) + 1) / (len(rows) + n)
+    group = lambda key: {k: [r for r in rows if key(r) == k] for k in {key(r) for r in rows}}
+    wide = lambda some, prior: (total(some) + langid.WEIGHT * prior) / (len(some) + langid.WEIGHT)
+    suffix = {k: wide(g, everywhere) for k, g in group(lambda r: r["suffix"]).items()}
+    domain = {k: wide(g, suffix[k[1]]) for k, g in group(lambda r: (r["domain"], r["suffix"])).items()}
+    hosts = group(lambda r: r["host"])
+    said = {k: total(g) for k, g in group(lambda r: r["said"]).items() if k is not None}
+    told = sum(said.values(), np.zeros(n))
+    got = {r["id"]: r for r in langid.identify(langid.records(pages, None), model).collect()}
+    for r in rows:
+        own = hosts[r["host"]]
+        prior = (np.maximum(total(own) - r["s"], 0) + langid.WEIGHT * domain[r["domain"], r["suffix"]]) / (len(own) - 1 + langid.WEIGHT)
+        says = (said[r["said"]] + langid.WEIGHT / (n + 1)) / (told + langid.WEIGHT) if r["said"] else np.ones(n)
+        p = soft(r["ll"] + np.log(prior) + np.log(says))
+        assert got[r["id"]]["probability"] == pytest.approx(p.max(), abs=2e-6) and got[r["id"]]["lang"] == model.labels[int(p.argmax())]
+
+
+def test_declarations_and_domains(spark):
+    rows = [("http://a.b.co.uk/", '<html class="x" lang="DE-at">'), ("http://10.0.0.7/", '<meta http-equiv="Content-Language" content="fr">'), ("http://x.example.org/", "<html xml:lang='es'><body>"), ("http://x/", "<p lang='en'>")]
+    got = langid.records(spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(rows)], "page_id long, url string, html string"), None).orderBy("id").collect()
+    assert [(r["declared"], r["domain"]) for r in got] == [("de", "b.co.uk"), ("fr", "10.0.0.7"), ("es", "example.org"), (None, "")]
+
+
 def test_evidence_is_combined(spark, sf):
     docs = documents(spark, sf)
     model = langid.fit(docs)
@@ -153,3 +234,13 @@ def test_stages_keep_the_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf)
         assert docs.columns == documents(spark, sf).columns
+
+
+def test_pipeline_on_nulls_repeats_and_an_empty_table(spark, tmp_path):
+    labels = spark.createDataFrame([(1, 1, 0), (6, 1, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    for name, docs in (("cases", frame(spark)), ("empty", empty(spark))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "cases")).collect()
+    assert {r["doc_id"] for r in got} <= {i for i, _, _ in ROWS} and {1, 6, 8, 9, 10, 11, 12, 13} <= {r["doc_id"] for r in got} and 7 not in {r["doc_id"] for r in got}
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).collect() == []

@@ -89,6 +89,14 @@ def test_a_string_that_comes_to_a_key_by_two_ways_counts_once(spark, monkeypatch
     agree(spark, frame(spark, rows).coalesce(1))
 
 
+def test_a_passage_in_half_of_the_texts(spark):
+    """One hot anchor and hot segments: they meet their texts by broadcast."""
+    rng = random.Random(9)
+    shared = some(rng, 420)
+    rows = [(i, some(rng, 260) + (shared[rng.randrange(3) :] if i % 2 else "") + some(rng, 240), "en") for i in range(400)]
+    agree(spark, frame(spark, rows))
+
+
 def test_edges(spark):
     assert repeats.query(spark, empty(spark)).collect() == []
     assert len(repeats.query(spark, frame(spark, [(None, None, None)])).collect()) == 1
