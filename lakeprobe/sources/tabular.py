@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeprobe.functions import cells
@@ -26,15 +26,34 @@ class Loaded:
     dropped_columns: list[str]
 
 
+#: What the bytes from 128 on are in Latin-1 and in windows-1251.
+UPPER = bytes(range(0x80, 0x100))
+LATIN, CYRILLIC = UPPER.decode("latin-1"), UPPER.decode("cp1251", "replace")
+
+
+def read_as(encoding: str) -> str:
+    """The encoding that Spark reads in: windows-1251 is none of its own, and is read byte by byte."""
+    return "UTF-8" if encoding == "UTF-8" else "ISO-8859-1"
+
+
+def decoded(c: Column, encoding: str) -> Column:
+    """Text that was read by read_as() in its own letters."""
+    return F.translate(c, LATIN, CYRILLIC) if encoding == "windows-1251" else c
+
+
 def head(spark: SparkSession, path: str, lines: int = 20, encoding: str = "UTF-8") -> list[str]:
     """The first lines of a file that are not blank, read by Spark."""
-    return [r["value"] for r in spark.read.option("encoding", encoding).text(path).filter(F.trim("value") != "").limit(lines).collect()]
+    rows = spark.read.option("encoding", read_as(encoding)).text(path).filter(F.trim("value") != "").limit(lines)
+    return [r["value"] for r in rows.select(decoded(F.col("value"), encoding).alias("value")).collect()]
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
     """The first encoding in which no line of a file has an unreadable byte; all lines are looked at, where they are."""
     for name in ENCODINGS[:-1]:
-        if spark.read.option("encoding", name).text(path).filter(F.contains("value", F.lit("\ufffd"))).isEmpty():
+        # UTF-8 is read as it stands, others are decoded
+        value = F.col("value")
+        bad = ~F.is_valid_utf8(value) if name == "UTF-8" else F.contains(decoded(value, name), F.lit("\ufffd"))
+        if spark.read.option("encoding", read_as(name)).text(path).filter(bad).isEmpty():
             return name
     return ENCODINGS[-1]
 
@@ -71,12 +90,13 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
     lines = head(spark, path, encoding=encoding)
     if not lines:
         raise ValueError("the file is empty")
-    options = {"sep": sniff(lines), "encoding": encoding, "multiLine": True, "escape": '"'}
-    header = spark.read.options(**options).csv(path).first()
+    options = {"sep": sniff(lines), "encoding": read_as(encoding), "multiLine": True, "escape": '"'}
+    first = spark.read.options(**options).csv(path)
+    header = first.select(*[decoded(F.col(c), encoding).alias(c) for c in first.columns]).first()
     names = dedupe([(v or "").lstrip("\ufeff") for v in header])
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     df = spark.read.schema(schema).options(**options, header=True, enforceSchema=True, mode="PERMISSIVE").csv(path)
-    return normalized(df.toDF(*names))
+    return normalized(df.select(*[decoded(F.col(c), encoding).alias(c) for c in df.columns]).toDF(*names))
 
 
 def _members(path: str, spark: SparkSession, order: list[str]) -> list[str]:

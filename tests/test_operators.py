@@ -173,7 +173,7 @@ def test_security_rules(spark):
 
 
 def test_every_rule_has_a_severity():
-    assert len(security.SEVERITY) == 59 and set(security.SEVERITY.values()) == set(security.ORDER)
+    assert len(security.SEVERITY) == 61 and set(security.SEVERITY.values()) == set(security.ORDER)
 
 
 def test_addresses_inputs_and_robots(spark):
