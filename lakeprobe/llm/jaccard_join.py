@@ -272,12 +272,14 @@ def verify(threshold: float):
 
 def clusters(reps: DataFrame, n_runs: int, n_tokens: int, least: int) -> DataFrame:
     """Rows (node, root): sets that must be compared have the same root; sets without a possible partner are left out."""
+    total = reps.count() * n_runs
     left = reps.mapInArrow(paths(n_runs, n_tokens), "rep long, sketch binary, " + ", ".join(f"k{d} long" for d in range(DEPTH)))
     edges = None
     for d in range(DEPTH):
         at = written(left.withColumn("key", F.col(f"k{d}")), f"paths-{d}") if d else left.withColumn("key", F.col("k0"))
         sizes = at.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sized = written(at.join(sizes, "key"), f"buckets-{d}")
+        # sets that chose a very frequent token meet its count by broadcast
+        sized = written(join_groups(at, sizes, "key", "n", total), f"buckets-{d}")
         small = sized.filter(F.col("n") <= LIMIT).select("key", "rep", "sketch").repartition("key").sortWithinPartitions("key")
         found = small.mapInArrow(near(n_tokens, least), "u long, v long")
         edges = found if edges is None else edges.unionByName(found)
