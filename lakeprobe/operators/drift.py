@@ -286,6 +286,8 @@ def compare(values: DataFrame, schema: DataFrame) -> tuple[DataFrame, DataFrame]
     rows (column, in_ref, in_cur). Cells are counted once by value; kinds, roles,
     numbers, dates and every metric come from the distinct values.
     """
+    if schema.filter("in_ref AND in_cur").isEmpty():
+        raise ValueError("the two tables have no column in common")
     counts = saved(counted(values), "counts")
     v = F.col("value")
     valued = counts.filter("value IS NOT NULL").withColumn("kind", cells.kind(v)).withColumn("number", cells.number(v)).withColumn("moment", F.when(F.col("kind") == "datetime", cells.date(v)))

@@ -62,6 +62,18 @@ def apply(rule: Rule, stem: Column, index: Column) -> Column:
     }[rule.kind]()
 
 
+def faults(rules: list[Rule]) -> list[tuple[int, str]]:
+    """Number and fault of the rules that can't be applied; renamed() skips them."""
+    out = []
+    for i, rule in enumerate(rules):
+        if rule.kind == "regex":
+            try:
+                re.compile(rule.a)
+            except re.error as e:
+                out.append((i, f"{rule.a}: {e}"))
+    return out
+
+
 def renamed(df: DataFrame, rules: list[Rule], name: str = "name", key: str = "id") -> DataFrame:
     """df with new_name: the rules in order on the part before the extension."""
     rows = numbered(df, key, "__index") if any(r.kind == "numbering" for r in rules) else df.withColumn("__index", F.lit(0))
@@ -72,12 +84,12 @@ def renamed(df: DataFrame, rules: list[Rule], name: str = "name", key: str = "id
 
 
 def problems(c: Column) -> Column:
-    """array<string> of what is wrong with a name; an empty name has that problem only."""
+    """array<string> of what is wrong with a name; a blank name has that problem only."""
     checks = [
         F.when(c.isin(".", ".."), "dot_name"), F.when(c.rlike(RESERVED), "reserved_character"), F.when(c.rlike(r"[\x00-\x1f\x7f]"), "control_character"),
         F.when(F.lower(F.substring_index(c, ".", 1)).isin(*DEVICES), "reserved_name"), F.when(F.length(c) > 255, "too_long"), F.when(c.rlike(r"[ .]$"), "trailing_space_or_dot"),
     ]
-    return F.when(c == "", F.array(F.lit("empty"))).otherwise(F.filter(F.array(*checks), lambda x: x.isNotNull()))
+    return F.when(F.trim(c) == "", F.array(F.lit("empty"))).otherwise(F.filter(F.array(*checks), lambda x: x.isNotNull()))
 
 
 def conflicts(plan: DataFrame) -> DataFrame:
@@ -86,6 +98,13 @@ def conflicts(plan: DataFrame) -> DataFrame:
     return groups.filter("rows >= 2").withColumn("case_only", F.col("spellings") > 1)
 
 
+def checked(plan: DataFrame) -> DataFrame:
+    """A plan's rows with the problems of their new names and whether another row ends up with the same name; valid without either."""
+    clashing = conflicts(plan).select("folded", F.lit(True).alias("clash"))
+    rows = plan.withColumn("problems", problems(F.col("new_name"))).withColumn("folded", F.lower("new_name")).join(clashing, "folded", "left").drop("folded")
+    return rows.withColumn("clash", F.coalesce("clash", F.lit(False))).withColumn("valid", ~F.col("clash") & (F.size("problems") == 0))
+
+
 def summary(plan: DataFrame, name: str = "name") -> DataFrame:
     """Totals of a plan; it is valid without conflicts and problems."""
     bad = F.size(problems(F.col("new_name"))) > 0

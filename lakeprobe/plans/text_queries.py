@@ -113,6 +113,7 @@ QUERIES = {
     "rename_numbering": lambda s, d: rename.renamed(files(s, d), [rename.Rule("numbering", "_", start=-2, step=3, width=4)]).select("id", "new_name"),
     "rename_validate": lambda s, d: files(s, d).select("id", F.explode(rename.problems(F.col("name"))).alias("problem")),
     "rename_conflicts": lambda s, d: rename.conflicts(files(s, d).withColumnRenamed("name", "new_name")),
+    "rename_checked": lambda s, d: rename.checked(plan(s, d)).select("id", "new_name", "problems", "clash", "valid"),
     "rename_summary": lambda s, d: rename.summary(plan(s, d)),
 }
 ORACLES = {
@@ -154,6 +155,8 @@ ORACLES = {
     "rename_numbering": f"WITH {FILES} SELECT id, CASE WHEN i * 3 - 2 < 0 THEN '-' ELSE '' END || lpad(abs(i * 3 - 2)::VARCHAR, greatest(4, length(abs(i * 3 - 2)::VARCHAR))::INT, '0') || '_' || stem || ext AS new_name FROM parts",
     "rename_validate": f"WITH {FILES} SELECT id, unnest({SQL_PROBLEMS.format('name')}) AS problem FROM files",
     "rename_conflicts": f"WITH {FILES} SELECT lower(name) AS folded, count(*) AS rows, count(DISTINCT name) AS spellings, count(DISTINCT name) > 1 AS case_only FROM files GROUP BY 1 HAVING count(*) >= 2",
+    "rename_checked": f"""WITH {PLAN}, c AS (SELECT lower(new_name) AS folded FROM plan GROUP BY 1 HAVING count(*) >= 2), p AS (SELECT id, new_name, {SQL_PROBLEMS.format('new_name')} AS problems, lower(new_name) IN (SELECT folded FROM c) AS clash FROM plan)
+        SELECT *, NOT clash AND len(problems) = 0 AS valid FROM p""",
     "rename_summary": f"""WITH {PLAN}, c AS (SELECT count(*) AS conflicts FROM (SELECT lower(new_name) FROM plan GROUP BY 1 HAVING count(*) >= 2)),
         t AS (SELECT count(*) AS total, count(*) FILTER (name <> new_name) AS changed, count(*) FILTER (len({SQL_PROBLEMS.format('new_name')}) > 0) AS errors FROM plan)
         SELECT *, errors = 0 AND conflicts = 0 AS valid FROM t, c""",

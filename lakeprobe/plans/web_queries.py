@@ -48,6 +48,16 @@ def tree(spark: SparkSession, d: str) -> DataFrame:
     return out.join(p.select(F.col("src").alias("dst")), "dst", "left_semi")
 
 
+def tables(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of pages at whose end tables of three kinds are planted by turns: with header cells, with a first row of words, with one of numbers."""
+    k = F.col("page_id").cast("string")
+    row = lambda tag, *cells: F.concat(F.lit("<tr>"), *[F.concat(F.lit(f"<{tag}>"), c, F.lit(f"</{tag}>")) for c in cells], F.lit("</tr>"))
+    kinds = [row("th", F.lit("a"), F.lit(" b  c ")), row("td", F.lit("name"), F.lit("n")), row("td", F.lit("1"), F.lit("2,5"))]
+    first = F.get(F.array(*kinds), (F.col("page_id") % 3).cast("int"))
+    html = F.concat(F.coalesce("html", F.lit("")), F.lit("<table>"), first, row("td", F.concat(F.lit("p"), k)), row("td", k, F.lit("x"), F.lit("<b>y</b>")), F.lit("</table>"))
+    return page.parsed(pages(spark, d).select("page_id", "url", html.alias("html"))).select("page_id", F.posexplode("tables").alias("nth", "t")).select("page_id", "nth", "t.header", F.size("t.rows").alias("rows"), F.element_at("t.rows", -1).alias("last"))
+
+
 def masked_keys(spark: SparkSession, d: str) -> DataFrame:
     """Addresses with a query key each, secret or not by a part of its name."""
     keys = ["refresh_token", "client_secret", "passwd", "pwd2", "x-api-key", "page", "authority", "sig", "design", "monkey"]
@@ -148,7 +158,7 @@ QUERIES = {
     "page_parse": lambda s, d: page.parsed(pages(s, d)).select("page_id", "title", "lang", "words", F.size("links").alias("links"), F.size("headings").alias("headings"), F.size("images").alias("images"), F.size("tables").alias("tables"), F.size("forms").alias("forms")),
     "page_links": lambda s, d: page.parsed(pages(s, d)).select("page_id", F.explode("links").alias("l")).select("page_id", "l.href", "l.text", "l.internal"),
     "page_headings": lambda s, d: page.parsed(pages(s, d)).select("page_id", F.explode("headings").alias("h")).select("page_id", "h.level", "h.text"),
-    "page_tables": lambda s, d: page.parsed(pages(s, d)).select("page_id", F.posexplode("tables").alias("nth", "t")).select("page_id", "nth", "t.header", F.size("t.rows").alias("rows")),
+    "page_tables": tables,
     "page_text": lambda s, d: page.parsed(pages(s, d)).select("page_id", "text", "words"),
 }
 
@@ -170,6 +180,7 @@ ORACLES = {
     "page_parse": f"""WITH t AS (SELECT page_id, html, substr({_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, 1, 200) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, {SEEN} AS text FROM pages)
         SELECT page_id, title, lang, len(regexp_extract_all(text, '[\\pL\\pN_]+'))::INT AS words, len(regexp_extract_all(html, '<a href="'))::INT AS links, len(regexp_extract_all(html, '<h[1-6]>'))::INT AS headings, len(regexp_extract_all(html, '<img '))::INT AS images,
           len(regexp_extract_all(html, '<table'))::INT AS tables, len(regexp_extract_all(html, '<form'))::INT AS forms FROM t""",
+    "page_tables": """SELECT page_id, 0 AS nth, CASE page_id % 3 WHEN 0 THEN ['a', 'b c', ''] WHEN 1 THEN ['name', 'n', ''] ELSE ['column_1', 'column_2', 'column_3'] END AS header, CASE WHEN page_id % 3 = 2 THEN 3 ELSE 2 END AS rows, [page_id::VARCHAR, 'x', 'y'] AS "last" FROM pages""",
     "page_titles": r"SELECT page_id, substr(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), 1, 200) AS title FROM pages",
     "page_links_regex": f"SELECT page_id, unnest(regexp_extract_all(html, '{LINK}', 1)) AS href FROM pages",
     "page_link_counts": f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{LINK}', 1)) AS href FROM pages)

@@ -109,6 +109,8 @@ def test_rename_order_matters(spark):
     assert rename.renamed(df, [prefix, number]).first()["new_name"] == "01_img_cat.png"
     assert rename.renamed(df, [number, prefix]).first()["new_name"] == "img_01_cat.png"
     assert rename.renamed(df, [rename.Rule("regex", "(")]).first()["new_name"] == "cat.png"
+    assert [i for i, _ in rename.faults([rename.Rule("lower"), rename.Rule("regex", "(")])] == [1]
+    assert one(spark, rename.problems(F.lit("   "))) == ["empty"]
 
 
 def test_row_numbers(spark):
