@@ -251,10 +251,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """A row (doc_id, n_bytes, kept binary, spans) for each row of docs."""
     text = text_of(text_col)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("t"), text.cast("binary").alias("data"))
-    found = written(rows.mapInArrow(places, "m long, h long, id long, t long, start int, size int, twice boolean"), "places")
+    found = written(rows.mapInArrow(places, "m long, h long, id long, t long, start int, size int, twice boolean"), "places", "zstd")
     # a row for each distinct segment, and one for each anchor: partial sums, so no task gathers the segments of an anchor
     kinds = written(
-        found.groupBy("m", "h").agg(F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice"), F.min(F.struct("id", "t", "start", "size")).alias("first")), "kinds"
+        found.groupBy("m", "h").agg(F.count(F.lit(1)).alias("times"), F.max("twice").alias("twice"), F.min(F.struct("id", "t", "start", "size")).alias("first")), "kinds", "zstd"
     )
     anchors = kinds.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.max("twice").alias("any_twice")).filter("kinds > 1 OR any_twice")
     repeated = kinds.filter("times > 1").select("m", "h", "times")
@@ -267,7 +267,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     once = rows.join(wanted, ["id", "t"])
     strings = once.mapInArrow(fetch, "m long, h long, id long, t long, start int, single boolean, data binary")
     # repeated rows fetch their segments once each; one of them is enough
-    strings = written(strings.select(F.col("m").alias("key"), "h", "id", "t", "start", "single", "data"), "strings")
+    strings = written(strings.select(F.col("m").alias("key"), "h", "id", "t", "start", "single", "data"), "strings", "zstd")
     if not docs.select(id_col).groupBy(id_col).count().filter("count > 1").isEmpty():
         strings = strings.dropDuplicates(["key", "h"])
     spans = whole.unionByName(compare(strings.drop("h")))
