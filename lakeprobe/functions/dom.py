@@ -7,7 +7,6 @@ child (>) and comma lists. Anything else is refused, rather than matching nothin
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -167,29 +166,31 @@ def extract(pages: DataFrame, container: str, fields: list[Field]) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, nth int, " + ", ".join(f"`{n}` string" for n in names))
 
 
-def entities(pages: DataFrame, least: int = 3) -> DataFrame:
-    """Rows (page_id, signature, items, avg_text, score): groups of like siblings, best first by score."""
+#: Fixed value: text of so many characters an item is as good as more.
+FULL_TEXT = 200
+
+
+def siblings(pages: DataFrame) -> DataFrame:
+    """Rows (page_id, parent, signature, size): every element's parent by number, what it looks like, and the length of its text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, html in zip(b["page_id"], b["html"], strict=True):
-                best: dict[str, tuple] = {}
-                for node in tree(html or "").walk():
-                    groups = defaultdict(list)
-                    for child in node.children:
-                        groups[child.signature()].append(len(child.text()))
-                    for signature, sizes in groups.items():
-                        if len(sizes) < least or not sum(sizes):
-                            continue
-                        avg = sum(sizes) / len(sizes)
-                        spread = (sum((s - avg) ** 2 for s in sizes) / len(sizes)) ** 0.5
-                        score = len(sizes) * min(avg, 200) / 200 / (1 + spread / (avg + 1))
-                        best[signature] = max(best.get(signature, (0.0,)), (score, len(sizes), avg))
-                rows += [(i, s, n, round(avg, 4), round(score, 4)) for s, (score, n, avg) in best.items()]
-            yield pd.DataFrame(rows, columns=["page_id", "signature", "items", "avg_text", "score"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, signature string, items int, avg_text double, score double")
+                for parent, node in enumerate(tree(html or "").walk()):
+                    rows += [(i, parent, child.signature(), len(child.text())) for child in node.children]
+            yield pd.DataFrame(rows, columns=["page_id", "parent", "signature", "size"])
+
+    return pages.select("page_id", "html").mapInPandas(run, "page_id long, parent int, signature string, size int")
+
+
+def entities(pages: DataFrame, least: int = 3) -> DataFrame:
+    """Rows (page_id, signature, items, avg_text, score): groups of like siblings with text, of each look the best on a page. Many, long and even items score high."""
+    groups = siblings(pages).groupBy("page_id", "parent", "signature").agg(F.count(F.lit(1)).cast("int").alias("items"), F.avg("size").alias("avg"), F.stddev_pop("size").alias("spread"))
+    even = 1 / (1 + F.col("spread") / (F.col("avg") + 1))
+    scored = groups.filter((F.col("items") >= least) & (F.col("avg") > 0)).withColumn("score", F.col("items") * F.least("avg", F.lit(float(FULL_TEXT))) / FULL_TEXT * even)
+    best = scored.groupBy("page_id", "signature").agg(F.max(F.struct("score", "items", "avg")).alias("b"))
+    return best.select("page_id", "signature", "b.items", F.round("b.avg", 4).alias("avg_text"), F.round("b.score", 4).alias("score"))
 
 
 def sanitized(pages: DataFrame) -> DataFrame:

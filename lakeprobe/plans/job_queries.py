@@ -46,6 +46,7 @@ QUERIES = {
     "stream_page_hosts": stream_hosts,
 }
 ORACLES = {
+    "page_sanitize": r"SELECT page_id, length(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'))::INT AS length, false AS active FROM pages",
     "extract_schema": r"""WITH n AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS h, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS t FROM pages),
         r AS (SELECT page_id, root, unnest(h) AS href, unnest(t) AS label, unnest(range(len(h))) AS nth FROM n)
         SELECT page_id, nth::INT AS nth, array_to_string(list_filter(string_split(replace(label, '&amp;', '&'), ' '), lambda x: x <> ''), ' ') AS label, replace(href, '&amp;', '&') AS href, root || replace(href, '&amp;', '&') AS url FROM r""",
