@@ -41,19 +41,22 @@ def decoded(c: Column, encoding: str) -> Column:
     return F.translate(c, LATIN, CYRILLIC) if encoding == "windows-1251" else c
 
 
+def line(encoding: str) -> Column:
+    """A line of a text file, whose bytes Spark's reader leaves as they are."""
+    value = F.col("value")
+    return value if encoding == "UTF-8" else decoded(F.decode(value.cast("binary"), read_as(encoding)), encoding)
+
+
 def head(spark: SparkSession, path: str, lines: int = 20, encoding: str = "UTF-8") -> list[str]:
     """The first lines of a file that are not blank, read by Spark."""
-    rows = spark.read.option("encoding", read_as(encoding)).text(path).filter(F.trim("value") != "").limit(lines)
-    return [r["value"] for r in rows.select(decoded(F.col("value"), encoding).alias("value")).collect()]
+    return [r["value"] for r in spark.read.text(path).select(line(encoding).alias("value")).filter(F.trim("value") != "").limit(lines).collect()]
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
     """The first encoding in which no line of a file has an unreadable byte; all lines are looked at, where they are."""
     for name in ENCODINGS[:-1]:
-        # UTF-8 is read as it stands, others are decoded
-        value = F.col("value")
-        bad = ~F.is_valid_utf8(value) if name == "UTF-8" else F.contains(decoded(value, name), F.lit("\ufffd"))
-        if spark.read.option("encoding", read_as(name)).text(path).filter(bad).isEmpty():
+        bad = ~F.is_valid_utf8("value") if name == "UTF-8" else F.contains(line(name), F.lit("\ufffd"))
+        if spark.read.text(path).filter(bad).isEmpty():
             return name
     return ENCODINGS[-1]
 
