@@ -76,7 +76,8 @@ def decide(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col
     cuts = rows.agg(F.percentile_approx("doc_id", F.lit([i / portions for i in range(1, portions)]), 1000)).first()[0] if portions > 1 else None
     number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts or ()))).otherwise(sum(((F.col("doc_id") > c).cast("int") for c in cuts or ()), F.lit(0)))
     for i in range(len(cuts or ()) + 1):
-        index.add(rows.filter(number == i).groupBy("digest").agg(F.min("doc_id").alias("keep_id")))
+        # written first: an anti-join that was pushed below the sums would meet every copy
+        index.add(written(rows.filter(number == i).groupBy("digest").agg(F.min("doc_id").alias("keep_id")), "portion"))
     sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
     groups = written(sizes.join(index.rows().hint("merge"), "digest"), "groups")
     found = join_groups(rows, groups, "digest", "group_size", rows.count())
