@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeprobe.operators import drift, profile
-from lakeprobe.session import table
+from lakeprobe.session import saved, table
 
 NUMERIC = ["price", "quantity", "tax", "discount"]
 CATEGORY = ["flag", "status", "day"]
@@ -205,7 +205,7 @@ def whole_report(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Findings and columns of the report on text_tables()."""
     values = text_tables(spark, d)
     schema = values.groupBy("column").agg(F.bool_or(F.col("column") != "added").alias("in_ref"), F.bool_or(F.col("column") != "removed").alias("in_cur"))
-    return drift.compare(values, schema)
+    return drift.compare(values, saved(schema, "schema"))
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
