@@ -42,8 +42,8 @@ from lakeprobe.llm.common import bounded_batches, discard, join_groups, partitio
 
 #: Words of a phrase at most, occurrences at least, phrases told of each language, share (in hundredths) of a phrase that a longer one takes over.
 WORDS, LEAST, FIRST, COVERED = 4, 30, 2000, 80
-#: Frequent groups that are broadcast at most; words of a block at least; keys and distinct words that a task holds before it passes their counts on.
-BOUND, BLOCK, HELD, HELD_WORDS = 1_000_000, 4096, 1 << 21, 300_000
+#: Frequent groups that are broadcast at most; words of a block at least; blocks that are joined at once; keys and distinct words that a task holds before it passes their counts on.
+BOUND, BLOCK, SLICE, HELD, HELD_WORDS = 1_000_000, 4096, 32, 1 << 21, 200_000
 #: Piece ends become full stops, tabs blanks; full stops are piece ends themselves, so no word is one.
 PIECES = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", b".......... ")
 RELATION = "block long, gaps binary, ids binary"
@@ -129,6 +129,13 @@ def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place += len(words)
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE blocks: what numpy makes of a batch stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
 def _pairs(b: pa.RecordBatch, groups: int) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
     """The merge-join of a batch of blocks with itself at the next place: blocks, bounds of their rows, places (counted through the batch) and keys of the pairs."""
     gaps = np.frombuffer(b"".join(b.column("gaps").to_pylist()), "<i4")
@@ -147,7 +154,7 @@ def count_pairs(groups: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for b in batches:
+        for b in sliced(batches):
             held.append(_pairs(b, groups)[3])
             size += len(held[-1])
             if size > HELD:
@@ -164,7 +171,7 @@ def pair_relation(groups: int, frequent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = frequent.value
-        for b in batches:
+        for b in sliced(batches):
             names, ends, places, found = _pairs(b, groups)
             at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
             hit = np.flatnonzero(keys[at] == found)
@@ -179,7 +186,7 @@ def pair_rows(groups: int):
     """Every pair as a row (block, place, key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             names, ends, places, keys = _pairs(b, groups)
             block = np.repeat(np.array(names, np.int64), np.diff(ends, prepend=0))
             yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(places), pa.array(keys)], ["block", "place", "key"])
