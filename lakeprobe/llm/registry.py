@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeprobe.llm import bpe, collocations, exact_dedup, jaccard_join, langid, mixing, repeats, sharding, suffix_tree_lm, toxicity, winnowing
+from lakeprobe.llm import bpe, collocations, exact_dedup, jaccard_join, langid, minmax_dedup, mixing, repeats, sharding, suffix_tree_lm, toxicity, winnowing
 from lakeprobe.llm.common import documents, table
 
 QUERIES = {
@@ -17,5 +17,6 @@ QUERIES = {
     "op9_exact_dedup": lambda spark, d: exact_dedup.query(spark, documents(spark, d)),
     "op10_sharding": lambda spark, d: sharding.query(spark, documents(spark, d)),
     "op12_collocations": lambda spark, d: collocations.query(spark, documents(spark, d)),
+    "op13_minmax_dedup": lambda spark, d: minmax_dedup.query(spark, documents(spark, d)),
 }
 ORACLES = {"op9_exact_dedup": exact_dedup.SQL, "op12_collocations": collocations.SQL}
