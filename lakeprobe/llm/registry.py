@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakeprobe.llm import bpe, collocations, exact_dedup, jaccard_join, langid, minmax_dedup, mixing, repeats, sharding, suffix_tree_lm, toxicity, winnowing
+from lakeprobe.llm import bpe, collocations, exact_dedup, fp_search, jaccard_join, langid, minmax_dedup, mixing, repeats, sharding, suffix_tree_lm, toxicity, winnowing
 from lakeprobe.llm.common import documents, table
 
 QUERIES = {
@@ -16,7 +16,8 @@ QUERIES = {
     "op8_toxicity": lambda spark, d: toxicity.query(spark, documents(spark, d), table(spark, d, "labels")),
     "op9_exact_dedup": lambda spark, d: exact_dedup.query(spark, documents(spark, d)),
     "op10_sharding": lambda spark, d: sharding.query(spark, documents(spark, d)),
+    "op11_fp_search": lambda spark, d: fp_search.query(spark, documents(spark, d), table(spark, d, "benchmark")),
     "op12_collocations": lambda spark, d: collocations.query(spark, documents(spark, d)),
     "op13_minmax_dedup": lambda spark, d: minmax_dedup.query(spark, documents(spark, d)),
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.SQL, "op12_collocations": collocations.SQL}
+ORACLES = {"op9_exact_dedup": exact_dedup.SQL, "op11_fp_search": fp_search.SQL, "op12_collocations": collocations.SQL}
