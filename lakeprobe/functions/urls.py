@@ -69,20 +69,27 @@ def secret_params(params: Column) -> Column:
     return F.filter(F.map_keys(params), lambda k: F.lower(k).rlike("|".join(SECRET_HINTS)))
 
 
+def _folded(segments: Column) -> Column:
+    """A path's segments without dot segments: `..` takes the one before away, at the root nothing; a dot segment at the end leaves a folder."""
+    last = F.element_at(segments, -1)
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s)))
+    return F.when(last.isin(".", ".."), F.array_append(kept, F.lit(""))).otherwise(kept)
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """An address as seen from a page: absolute ones as they are, others from the scheme, the root, the query or the page's folder; dot segments go."""
+    """An address as seen from a page: absolute ones as they are, others from the scheme, the root, the query or the page's folder, without dot segments, however many there are."""
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_extract(part(base, PATH), r"^(.*/)[^/]*$", 1)
     bare = F.regexp_replace(base, r"#.*$", "")
-    path = F.concat(F.when(folder == "", "/").otherwise(folder), href)
-    # each turn takes one "x/../" away; addresses rarely have more
-    for _ in range(4):
-        path = F.regexp_replace(path, r"/(?!\.\./)[^/?#]+/\.\./", "/")
-    path = F.regexp_replace(F.regexp_replace(path, r"/\./", "/"), r"^(/\.\.)+/", "/")
+    path, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    folder = F.split(F.regexp_replace(F.regexp_extract(part(base, PATH), r"^(.*/)[^/]*$", 1), "/$", ""), "/")
+    merged = F.concat(folder, F.split(path, "/"))
+    # empty segments in the middle of a merged path go; a path from the root keeps them
+    merged = F.filter(merged, lambda s, i: (s != "") | (i == 0) | (i == F.size(folder) + F.size(F.split(path, "/")) - 1))
+    joined = F.array_join(_folded(F.when(href.startswith("/"), F.split(path, "/")).otherwise(merged)), "/")
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), href))
-        .when(href.startswith("/"), F.concat(root, href)).when(href.startswith("?"), F.concat(F.regexp_replace(bare, r"\?.*$", ""), href))
-        .when(href.startswith("#"), F.concat(bare, href)).when(href == "", base).otherwise(F.concat(root, path))
+        .when(href.startswith("?"), F.concat(F.regexp_replace(bare, r"\?.*$", ""), href)).when(href.startswith("#"), F.concat(bare, href)).when(href == "", base)
+        .otherwise(F.concat(root, F.when(joined.startswith("/"), "").otherwise("/"), joined, rest))
     )
 
 

@@ -25,6 +25,7 @@ HEADERS = (
     {"Access-Control-Allow-Origin": "https://o.example", "Access-Control-Allow-Credentials": "true", "X-AspNet-Version": "4", "X-Generator": "g"},
     {"Access-Control-Allow-Origin": "https://o.example", "Access-Control-Allow-Credentials": "true", "Vary": "Accept, Origin", "X-Drupal-Cache": "HIT", "X-AspNetMvc-Version": "5"},
     {"Content-Security-Policy": "base-uri *", "Permissions-Policy": "x"},
+    {"server": "nginx/9.9", "Server": "quiet", "x-frame-options": "", "X-Frame-Options": "DENY", "Content-Security-Policy": "default-src *; img-src 'self'; Default-Src 'self'"},
 )
 COOKIES = (
     (), ("a=1; Secure; HttpOnly; SameSite=Lax",), ("a=1; SameSite=None", "b=2; HttpOnly"), ("__Host-s=1; Path=/app; Domain=x.example; HttpOnly",), ("__Secure-t=1; SameSite=Strict; HttpOnly", "__Host-u=1; Secure; Path=/; HttpOnly; SameSite=Lax"),
@@ -173,7 +174,7 @@ one AS (
   UNION ALL SELECT page_id, site, 'missing_csp', 'medium' FROM p WHERE csp = ''
   UNION ALL SELECT page_id, site, 'csp_unsafe_inline', 'medium' FROM p WHERE contains(csp, '''unsafe-inline''')
   UNION ALL SELECT page_id, site, 'csp_unsafe_eval', 'medium' FROM p WHERE contains(csp, '''unsafe-eval''')
-  UNION ALL SELECT page_id, site, 'csp_wildcard_source', 'medium' FROM p WHERE regexp_matches(csp, '(^|;) *({FETCH}) ([^;]* )?\\*( |;|$)')
+  UNION ALL SELECT page_id, site, 'csp_wildcard_source', 'medium' FROM p WHERE len(list_filter(string_split(csp, ';'), lambda x, i: regexp_matches(x, '^ *({FETCH}) (.* )?\\*( |$)') AND NOT list_contains(list_transform(string_split(csp, ';')[i + 1 :], lambda y: regexp_extract(y, '^ *([^ ]+)', 1)), regexp_extract(x, '^ *([^ ]+)', 1)))) > 0
   UNION ALL SELECT page_id, site, 'csp_insecure_scheme', 'medium' FROM p WHERE contains(csp, 'http://')
   UNION ALL SELECT page_id, site, 'cookie_no_secure', 'medium' FROM k WHERE https AND NOT secure
   UNION ALL SELECT page_id, site, 'cookie_no_httponly', 'low' FROM k WHERE NOT regexp_matches(line, '(?i); *httponly *(;|$)')

@@ -27,6 +27,17 @@ BARE = f"regexp_replace({HOST}, '^www\\.', '')"
 LINK = r"""(?i)<a\s[^>]*href="([^"]*)\""""
 
 
+#: Planted links with dot segments.
+DOTTED = ("/a/../b", "../../../../../../z", "x/./y/..", "/..", ".", "a//b/../c?q=/../x", "/a//b/./c#d/../e", "../../../../../../../../../over", "./", "..")
+
+
+def dotted(spark: SparkSession, d: str) -> DataFrame:
+    """The planted links as seen from a deep page of each page's site."""
+    base = F.concat(F.regexp_extract(U(), "^([A-Za-z]+://[^/?#]+)", 1), F.lit("/1/2/3/4/5/6/7/"), F.col("page_id").cast("string"))
+    rows = table(spark, d, "pages").select("page_id", base.alias("base"), F.explode(F.array(*map(F.lit, DOTTED))).alias("href"))
+    return rows.select("page_id", "href", urls.resolve(F.col("base"), F.col("href")).alias("target"))
+
+
 def links(spark: SparkSession, d: str) -> DataFrame:
     return pages(spark, d).select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("href"))
 
@@ -137,6 +148,7 @@ QUERIES = {
     "page_hosts": lambda s, d: pages(s, d).groupBy(urls.bare_host(U()).alias("host")).agg(F.count(F.lit(1)).alias("pages")),
     "url_normalize": lambda s, d: pages(s, d).select("page_id", urls.normalize(F.concat(F.upper(F.substring(U(), 1, 4)), F.expr("substring(url, 5)"))).alias("url")),
     "url_http_form": lambda s, d: pages(s, d).select("page_id", urls.http_form(F.concat(F.regexp_replace(U(), "#.*$", ""), F.lit("%20a b/é#x"))).alias("url")),
+    "url_dot_segments": dotted,
     "url_resolve": lambda s, d: links(s, d).select("page_id", "href", urls.resolve(U(), F.col("href")).alias("target")),
     "url_mask_keys": masked_keys,
     "api_candidates": lambda s, d: crawl.candidates(planted_pages(s, d)),
@@ -193,6 +205,11 @@ ORACLES = {
     "url_safety": "SELECT page_id, page_id % 5 > 1 AS safe FROM pages",
     "url_next_page": r"""SELECT page_id, regexp_extract(url, '^(.*[?&]page=)(\d+)(.*)$', 1) || (regexp_extract(url, '[?&]page=(\d+)', 1)::BIGINT + 1) || regexp_extract(url, '^(.*[?&]page=)(\d+)(.*)$', 3) AS next_url FROM pages WHERE regexp_matches(url, '[?&]page=\d+')""",
     "url_http_form": r"""SELECT page_id, replace(replace(regexp_replace(CASE WHEN regexp_matches(url, '^[a-z]+://[^/?#]+(#.*)?$') THEN regexp_replace(url, '#.*$', '') || '/' ELSE url END, '#.*$', ''), ' ', '%20'), 'é', '%C3%A9') || '%20a%20b/%C3%A9' AS url FROM pages""",
+    "url_dot_segments": f"""WITH h AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) AS root, unnest({list(DOTTED)}) AS href FROM pages),
+        p AS (SELECT *, regexp_extract(href, '^[^?#]*', 0) AS path, regexp_extract(href, '^[^?#]*(.*)$', 1) AS rest FROM h),
+        s AS (SELECT *, CASE WHEN path LIKE '/%' THEN string_split(path[2:], '/') ELSE list_concat(['1', '2', '3', '4', '5', '6', '7'], list_filter(string_split(path, '/'), lambda x, i: x <> '' OR i = len(string_split(path, '/')))) END AS parts FROM p),
+        f AS (SELECT *, list_reduce(list_concat([''], parts), lambda done, x: CASE x WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN '.' THEN done ELSE done || '/' || x END) AS folded FROM s)
+        SELECT page_id, href, root || folded || CASE WHEN parts[-1] IN ('.', '..') THEN '/' ELSE '' END || rest AS target FROM f""",
     "url_resolve": f"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{LINK}', 1)) AS href FROM pages), r AS (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) AS root, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*/)[^/?#]*', 1) AS folder FROM l)
         SELECT page_id, href, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN split_part(url, ':', 1) || ':' || href WHEN href LIKE '/%' THEN root || href WHEN href LIKE '#%' THEN regexp_replace(url, '#.*$', '') || href
           WHEN href LIKE '?%' THEN regexp_replace(url, '[?#].*$', '') || href WHEN href = '' THEN url ELSE root || CASE WHEN folder = '' THEN '/' ELSE folder END || href END AS target FROM r""",
