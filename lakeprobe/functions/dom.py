@@ -170,29 +170,6 @@ def extract(pages: DataFrame, container: str, fields: list[Field]) -> DataFrame:
 FULL_TEXT = 200
 
 
-def siblings(pages: DataFrame) -> DataFrame:
-    """Rows (page_id, parent, signature, size): every element's parent by number, what it looks like, and the length of its text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, html in zip(b["page_id"], b["html"], strict=True):
-                for parent, node in enumerate(tree(html or "").walk()):
-                    rows += [(i, parent, child.signature(), len(child.text())) for child in node.children]
-            yield pd.DataFrame(rows, columns=["page_id", "parent", "signature", "size"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, parent int, signature string, size int")
-
-
-def entities(pages: DataFrame, least: int = 3) -> DataFrame:
-    """Rows (page_id, signature, items, avg_text, score): groups of like siblings with text, of each look the best on a page. Many, long and even items score high."""
-    groups = siblings(pages).groupBy("page_id", "parent", "signature").agg(F.count(F.lit(1)).cast("int").alias("items"), F.avg("size").alias("avg"), F.stddev_pop("size").alias("spread"))
-    even = 1 / (1 + F.col("spread") / (F.col("avg") + 1))
-    scored = groups.filter((F.col("items") >= least) & (F.col("avg") > 0)).withColumn("score", F.col("items") * F.least("avg", F.lit(float(FULL_TEXT))) / FULL_TEXT * even)
-    best = scored.groupBy("page_id", "signature").agg(F.max(F.struct("score", "items", "avg")).alias("b"))
-    return best.select("page_id", "signature", "b.items", F.round("b.avg", 4).alias("avg_text"), F.round("b.score", 4).alias("score"))
-
-
 def sanitized(pages: DataFrame) -> DataFrame:
     """Pages without active elements, event attributes and script addresses."""
     html = F.coalesce("html", F.lit(""))

@@ -39,7 +39,6 @@ def stream_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "extract_schema": extracted,
-    "page_entities": lambda s, d: dom.entities(table(s, d, "pages")),
     "page_sanitize": lambda s, d: dom.sanitized(table(s, d, "pages")).select("page_id", F.length("html").alias("length"), F.regexp_like("html", F.lit("(?i)<script")).alias("active")),
     "file_inspect": inspected,
     "stream_collect_append": stream_links,
