@@ -50,7 +50,7 @@ from lakeprobe.llm.jaccard_join import Shingler, _grouped, _mix, _roots, common_
 #: Words of a shingle; hundredths of the union that an intersection needs; the bands.
 WORDS, PERCENT, PERMUTATIONS, ROWS = 5, 85, 60, 5
 #: Sets of a bucket that are compared by sketches; sets, and shingles, of a block that is compared in one task.
-LIMIT, BLOCK, BLOCK_SHINGLES = 512, 1024, 2_000_000
+LIMIT, BLOCK, BLOCK_SHINGLES = 512, 256, 2_000_000
 
 
 def bands(permutations: int = PERMUTATIONS, rows: int = ROWS) -> int:
@@ -156,10 +156,9 @@ def clusters(reps: DataFrame, percent: int, permutations: int, rows: int) -> Dat
     return components(edges.unionByName(shared.filter((F.col("n") > LIMIT) & (F.col("rep") != F.col("first"))).select(F.col("rep").alias("u"), F.col("first").alias("v"))), "clusters")
 
 
-def _labelled(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """rows with the smallest rep of their component in `comp`."""
-    comps = components(found.select("u", "v"), name)
-    return rows.join(comps.withColumnRenamed("root", "comp"), F.col("rep") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("comp", "rep"))
+def _rooted(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows with the root of `key` in `comp`: found has at most one edge (u, v) for each u, whose v is a root itself."""
+    return rows.join(found.withColumnRenamed("v", "root"), F.col(key) == F.col("u"), "left").withColumn("comp", F.coalesce("root", key)).drop("u", "root")
 
 
 def _blocks(members: DataFrame, keys: list[str], total: int) -> DataFrame:
@@ -206,10 +205,12 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     several = members.groupBy("cluster").agg(F.countDistinct("class", "block").alias("blocks"), F.count(F.lit(1)).alias("members")).filter("blocks > 1")
     if not several.isEmpty():
         several = written(several.select("cluster", "members"), "several")
-        large = written(_labelled(join_groups(members.drop("block", "blocks"), several, "cluster", "members", total).drop("members"), found, "parts"), "parts-members")
+        # a set is in one block, and a component's head again: the roots found there are the components so far
+        large = written(_rooted(join_groups(members.drop("block", "blocks"), several, "cluster", "members", total).drop("members"), found, "rep"), "parts")
         heads = _blocks(large.filter("rep = comp"), ["cluster"], total)
-        found = written(found.unionByName(_compared(texts, heads.select("rep", "cluster", "block"), ["cluster", "block"], percent, words, "links-heads")), "links-2")
-        large = written(_labelled(large.drop("comp"), found, "joined"), "joined-members")
+        joined = _compared(texts, heads.select("rep", "cluster", "block"), ["cluster", "block"], percent, words, "links-heads")
+        large = written(_rooted(large.withColumnRenamed("comp", "head"), joined, "head").drop("head"), "joined")
+        found = found.unionByName(joined)
         sizes = large.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("n"))
         largest = sizes.groupBy("cluster").agg(F.max(F.struct("n", "comp")).alias("largest"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
         largest = written(largest.select("cluster", F.col("largest.comp").alias("main"), "members"), "largest")
@@ -240,7 +241,8 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
             keys = ["cluster", "minor_class", "a", "other_class", "other"]
             rest = _compared(texts, dealt.unionByName(own).dropDuplicates(["rep", *keys]), keys, percent, words, "links-rest")
             found = found.unionByName(rest)
-    out = _labelled(reps.select("sig", "rep", "rep_id", "copies"), found, "components")
+    comps = components(found, "components")
+    out = reps.select("sig", "rep", "rep_id", "copies").join(comps, F.col("rep") == F.col("node"), "left").select("sig", "rep", "rep_id", "copies", F.coalesce("root", "rep").alias("comp"))
     return described.select("doc_id", "key", "sig", "size"), written(out, "groups")
 
 
