@@ -64,10 +64,15 @@ def largest_records(c: Column) -> Column:
     return F.pandas_udf(_largest, StringType())(c)
 
 
+def is_json(c: Column) -> Column:
+    """Whether a text is one JSON value and nothing else: the parser reads the first value of a text, so it must also be the only one of a list and the value of a member."""
+    alone = F.json_array_length(F.concat(F.lit("["), c, F.lit("]"))) == 1
+    return F.coalesce(alone & F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}"))).isNotNull(), F.lit(False))
+
+
 def shape(c: Column) -> Column:
     """object, array, scalar or invalid."""
-    v = F.try_parse_json(c)
-    return F.when(v.isNull(), "invalid").when(F.json_array_length(c).isNotNull(), "array").when(F.json_object_keys(c).isNotNull(), "object").otherwise("scalar")
+    return F.when(~is_json(c), "invalid").when(F.json_array_length(c).isNotNull(), "array").when(F.json_object_keys(c).isNotNull(), "object").otherwise("scalar")
 
 
 def value_kind(c: Column) -> Column:

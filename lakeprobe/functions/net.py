@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
+from lakeprobe.functions.json_ops import is_json
 from lakeprobe.functions import urls
 
 #: Blocks of IPv4 addresses that are not global, as first and last number, in the order they are told.
@@ -79,7 +80,7 @@ def input_kind(c: Column) -> Column:
     """curl, url, json, html or unknown: what somebody has pasted."""
     t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", ""))
     return (
-        F.when(t.rlike(r"^curl([ \t]|$)"), "curl").when(t.rlike(r"(?i)^https?://\S+$"), "url").when(t.rlike(r"^[\[{]") & F.try_parse_json(t).isNotNull(), "json")
+        F.when(t.rlike(r"^curl([ \t]|$)"), "curl").when(t.rlike(r"(?i)^https?://\S+$"), "url").when(t.rlike(r"^[\[{]") & is_json(t), "json")
         .when(t.rlike(r"(?i)<!doctype html|<html|<body|<div|<table|<ul|<a\s|<p[\s>]"), "html").otherwise("unknown")
     )
 
@@ -96,7 +97,7 @@ def source_kind(content_type: Column, body: Column) -> Column:
     sample = F.substring(F.coalesce(body, F.lit("")), 1, 4096)
     low, start = F.lower(F.regexp_replace(sample, r"^\s+", "")), F.regexp_replace(sample, r"^\s+", "")
     lines = F.slice(F.filter(F.split(sample, r"\r?\n"), lambda x: F.trim(x) != ""), 1, 5)
-    jsonl = (F.size(lines) >= 2) & F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
+    jsonl = (F.size(lines) >= 2) & F.forall(lines, is_json)
     even = lambda d: F.size(F.array_distinct(F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(d), F.lit("")))))) == 1
     csv = F.lit(False)
     for d in (",", ";", "\t"):

@@ -26,20 +26,36 @@ def relevance(query: str) -> Column:
 TOPIC, DESCRIBED = 4, 1
 
 
+def _substring(text: str, n: int):
+    return lambda i: F.substring(text, i, n)
+
+
+def contained(texts: DataFrame, text: str, words: DataFrame, word: str) -> DataFrame:
+    """Rows (text, word) of the distinct texts that contain a word as it stands: texts meet words by the words' first three characters, and are looked through then."""
+    words = words.select(F.col(word).alias("word")).filter("word <> ''").distinct().withColumn("key", F.substring("word", 1, 3))
+    texts = texts.select(F.col(text).alias("text")).filter("text <> ''").distinct()
+    lengths = (1, 2, 3) if not words.filter("length(word) < 3").isEmpty() else (3,)
+    starts = F.sequence(F.lit(1), F.length("text"))
+    grams = [F.transform(starts, _substring("text", n)) for n in lengths]
+    return texts.withColumn("key", F.explode(F.array_distinct(F.concat(*grams)))).join(words, "key").filter(F.contains("text", F.col("word"))).select("text", "word").distinct()
+
+
 def boost(records: DataFrame, query: str, stems: DataFrame) -> DataFrame:
     """records with `boost`: for every word of the query and every stem (stem, category) of which one begins with the other, TOPIC where the category is the record's, DESCRIBED where its description names one of the stem's categories.
 
-    The words of a query and the stems of the table are few: what matches is found first.
+    Whatever the number of stems and categories: pairs of word and stem are summed up by
+    category, and by the descriptions that name one, before records are joined.
     """
-    words = [w for w in re.findall(r"\w+", query.lower())]
-    pairs = stems.select(F.lower("stem").alias("stem"), F.lower("category").alias("topic")).distinct().withColumn("word", F.explode(F.lit(words).cast("array<string>")))
-    alike = pairs.filter(F.startswith("word", F.col("stem")) | F.startswith("stem", F.col("word"))).groupBy("word", "stem").agg(F.collect_set("topic").alias("topics"))
-    groups = [r["topics"] for r in alike.collect()]
-    if not groups:
-        return records.withColumn("boost", F.lit(0))
-    described = F.lower(F.coalesce("description", F.lit("")))
-    score = F.aggregate(F.lit(groups), F.lit(0), lambda n, t: n + F.when(F.array_contains(t, F.lower("category")), TOPIC).otherwise(0) + F.when(F.exists(t, lambda c: F.contains(described, c)), DESCRIBED).otherwise(0))
-    return records.withColumn("boost", score)
+    words = F.lit(sorted(re.findall(r"\w+", query.lower()))).cast("array<string>")
+    pairs = stems.select(F.lower("stem").alias("stem"), F.lower("category").alias("topic")).distinct().withColumn("word", F.explode(F.array_distinct(words)))
+    alike = pairs.filter(F.startswith("word", F.col("stem")) | F.startswith("stem", F.col("word"))).select("word", "stem", "topic")
+    of_category = alike.groupBy(F.col("topic").alias("own_topic")).agg(F.count(F.lit(1)).alias("own"))
+    described = records.select(F.lower("description").alias("text"))
+    named = contained(described, "text", alike, "topic").withColumnRenamed("word", "topic").join(alike, "topic")
+    of_text = named.select("text", "word", "stem").distinct().groupBy("text").agg(F.count(F.lit(1)).alias("told")).withColumnRenamed("text", "told_text")
+    out = records.join(of_category, F.lower("category") == F.col("own_topic"), "left").join(of_text, F.lower("description") == F.col("told_text"), "left")
+    score = TOPIC * F.coalesce("own", F.lit(0)) + DESCRIBED * F.coalesce("told", F.lit(0))
+    return out.withColumn("boost", score.cast("int")).drop("own_topic", "own", "told_text", "told")
 
 
 def filtered(records: DataFrame, category: str | None = None, no_key: bool | None = None, free_type: str | None = None, cors: bool | None = None, has_sdk: bool | None = None, commercial: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeprobe.functions import urls
+from lakeprobe.functions.json_ops import is_json
 from lakeprobe.operators import crawl, markup
 from lakeprobe.operators.markup import PAGE
 from lakeprobe.session import saved
@@ -158,7 +159,7 @@ def record_arrays(rows: DataFrame, keys: list[str], body: str) -> DataFrame:
     Values are opened level by level with variant_explode until nothing is left to open;
     each level is a projection of the one before.
     """
-    start = rows.select(*keys, F.try_parse_json(body).alias("v")).filter("v IS NOT NULL")
+    start = rows.filter(is_json(F.col(body))).select(*keys, F.try_parse_json(body).alias("v"))
     level = start.select(*keys, "v", F.array().cast("array<int>").alias("path"))
     kind = F.schema_of_variant("v")
     found = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeprobe.functions import json_ops
+from lakeprobe.functions import json_ops, summary
 from lakeprobe.operators import catalog, paging
 from lakeprobe.session import table
 
@@ -101,6 +101,33 @@ def source_union(spark: SparkSession, d: str) -> DataFrame:
     return catalog.merged([first, second]).select("id", "origin")
 
 
+def described_boost(spark: SparkSession, d: str) -> DataFrame:
+    """Records whose descriptions name categories, searched by stems of which there is one for every part: the words of the query begin some, or are begun by some."""
+    rows = records(spark, d).withColumn("description", F.concat(F.lit("Like "), F.when(F.col("id") % 3 == 0, F.col("category")).otherwise(F.col("name"))))
+    stems = rows.select(F.concat(F.substring(F.lower("category"), 1, 4), F.col("id").cast("string")).alias("stem"), "category").unionByName(rows.select(F.substring(F.lower("category"), 1, 3).alias("stem"), "category").distinct())
+    return catalog.boost(rows, "Promos econ1 stan", stems).select("id", "boost")
+
+
+def bodies(spark: SparkSession, d: str) -> DataFrame:
+    """Responses made of events: objects, lists, lines, broken and other texts, by turns."""
+    k, props = F.col("event_id"), F.col("props")
+    body = (
+        F.when(k % 7 == 0, F.concat(F.lit("["), props, F.lit(","), props, F.lit("]"))).when(k % 7 == 1, props).when(k % 7 == 2, F.concat(F.lit("{oops "), k.cast("string"))).when(k % 7 == 3, F.lit("[1, 2, 3]"))
+        .when(k % 7 == 4, F.concat(props, F.lit("\n"), props, F.lit("\n"), props)).when(k % 7 == 5, F.concat(F.lit("<html><p>"), k.cast("string"), F.lit("</p></html>"))).otherwise(F.concat(F.lit("text "), k.cast("string")))
+    )
+    status = F.when(k % 5 == 0, 404).when(k % 5 == 1, 301).when(k % 5 < 4, 200)
+    return events(spark, d).select("event_id", status.alias("status"), F.when(k % 3 > 0, "application/json; charset=utf-8").otherwise("text/plain").alias("content_type"), body.alias("body"))
+
+
+def probed(spark: SparkSession, d: str) -> DataFrame:
+    p = summary.probe(F.col("status"), F.col("content_type"), F.col("body"))
+    return bodies(spark, d).select("event_id", p.alias("p")).select("event_id", "p.ok", "p.json", "p.shape", "p.items", F.concat_ws(",", "p.keys").alias("keys"), "p.ready_for_dataset")
+
+
+def inspected(spark: SparkSession, d: str) -> DataFrame:
+    return summary.inputs(bodies(spark, d), "body").select("event_id", "kind", "source", "summary.valid", "summary.shape", "summary.items", F.concat_ws(",", "summary.keys").alias("keys"))
+
+
 CUST = "SELECT c_custkey AS k FROM customer"
 QUERIES = {
     "json_project": lambda s, d: json_ops.project(events(s, d).select("event_id", "props"), "props", ["k", "none"]).drop("props"),
@@ -113,11 +140,14 @@ QUERIES = {
     "catalog_stale": lambda s, d: records(s, d).select("id", catalog.is_stale(F.lit("2024-06-30").cast("date")).alias("stale")),
     "catalog_bridge": bridged,
     "catalog_topic_boost": boosted,
+    "catalog_described_boost": described_boost,
+    "probe_shapes": probed,
+    "input_summary": inspected,
     "synth_pagination_duplicates": paged("duplicates"), "synth_pagination_missing": paged("missing"), "synth_pagination_off_by_one": paged("off_by_one"), "synth_pagination_clean": paged(""),
     "paging_audit": paging_audit,
     "json_largest_records": nested,
     "json_stringify": cells_of_json,
-    "catalog_all_filters": lambda s, d: catalog.filtered(catalog_rows(s, d), no_key=False, free_type="free_tier", cors=True, has_sdk=True, commercial=True).select("id", "name"),
+    "catalog_all_filters": lambda s, d: catalog.filtered(catalog_rows(s, d), no_key=False, free_type="paid", cors=True, has_sdk=True, commercial=True).select("id", "name"),
     "catalog_status": lambda s, d: catalog_rows(s, d).select("id", catalog.effective_status(F.lit("2024-06-30").cast("date")).alias("status")),
     "catalog_sources": source_union,
     "catalog_explore": lambda s, d: catalog.of_topics(records(s, d), ["Promo Type1", "PROMO", "standard"]).groupBy("category").agg(F.count(F.lit(1)).alias("records")),
@@ -138,6 +168,17 @@ ORACLES = {
         r AS (SELECT p_partkey AS id, p_type AS category, 'brand ' || p_brand AS description FROM part),
         s AS (SELECT id, category, coalesce(sum(4 * list_contains(topics, lower(category))::INT + (len(list_filter(topics, lambda c: contains(lower(description), c))) > 0)::INT), 0)::INT AS boost FROM r LEFT JOIN m ON true GROUP BY ALL)
         SELECT category, boost, count(*) AS records FROM s GROUP BY ALL""",
+    "catalog_described_boost": """WITH r AS (SELECT p_partkey AS id, lower(p_type) AS category, lower('Like ' || CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name || ' ' || p_partkey END) AS text FROM part),
+        t AS (SELECT DISTINCT category[1:4] || id AS stem, category AS topic FROM r UNION SELECT DISTINCT category[1:3], category FROM r), w AS (SELECT unnest(['promos', 'econ1', 'stan']) AS word),
+        m AS (SELECT DISTINCT word, stem, topic FROM t JOIN w ON starts_with(word, stem) OR starts_with(stem, word)),
+        own AS (SELECT topic, count(*) AS n FROM m GROUP BY 1), told AS (SELECT text, count(DISTINCT word || '|' || stem) AS n FROM (SELECT DISTINCT text FROM r) JOIN m ON contains(text, topic) GROUP BY 1)
+        SELECT id, (4 * coalesce(own.n, 0) + coalesce(told.n, 0))::INT AS boost FROM r LEFT JOIN own ON topic = category LEFT JOIN told USING (text)""",
+    "probe_shapes": """SELECT event_id, coalesce(CASE WHEN event_id % 5 = 0 THEN false WHEN event_id % 5 < 4 THEN true END, false) AS ok, CASE WHEN event_id % 3 > 0 THEN event_id % 7 IN (0, 1, 3) END AS json,
+        CASE WHEN event_id % 3 > 0 THEN CASE event_id % 7 WHEN 0 THEN 'array' WHEN 1 THEN 'object' WHEN 3 THEN 'array' END END AS shape, CASE WHEN event_id % 3 > 0 THEN CASE event_id % 7 WHEN 0 THEN 2 WHEN 3 THEN 3 END END AS items,
+        CASE WHEN event_id % 3 > 0 AND event_id % 7 IN (0, 1) THEN array_to_string(json_keys(props), ',') ELSE '' END AS keys, event_id % 3 > 0 AND event_id % 7 = 0 AS ready_for_dataset FROM events""",
+    "input_summary": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'json' WHEN 1 THEN 'json' WHEN 3 THEN 'json' WHEN 5 THEN 'html' ELSE 'unknown' END AS kind, CASE event_id % 7 WHEN 0 THEN 'json' WHEN 1 THEN 'json' WHEN 2 THEN 'json' WHEN 3 THEN 'json' WHEN 4 THEN 'jsonl' WHEN 5 THEN 'html' ELSE 'text' END AS source,
+        CASE WHEN event_id % 7 < 5 THEN event_id % 7 <> 2 END AS valid, CASE event_id % 7 WHEN 1 THEN 'object' WHEN 2 THEN 'invalid' WHEN 0 THEN 'array' WHEN 3 THEN 'array' WHEN 4 THEN 'array' END AS shape, CASE event_id % 7 WHEN 0 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 3 END AS items,
+        CASE WHEN event_id % 7 IN (0, 1, 4) THEN array_to_string(json_keys(props), ',') ELSE '' END AS keys FROM events""",
     "paging_audit": """WITH c AS (SELECT c_custkey AS k FROM customer), e AS (SELECT max(k) AS top, count(*) AS n FROM c),
         d AS (SELECT count(*) FILTER (k % 25 = 24) AS d24, count(*) FILTER (k = 0) AS zero FROM c), p AS (SELECT 'duplicates' AS fault, k // 25 + 1 AS page, k FROM c UNION ALL SELECT 'duplicates', k // 25 + 2, k FROM c WHERE k % 25 = 24
           UNION ALL SELECT 'missing', k // 25 + 1, k FROM c WHERE k % 25 <> 24 UNION ALL SELECT 'off_by_one', (k - 1) // 25 + 1, k FROM c WHERE k >= 1),
@@ -147,7 +188,7 @@ ORACLES = {
         UNION ALL SELECT 'foreign', 0, fault FROM f UNION ALL SELECT 'short', short, fault FROM s""",
     "json_largest_records": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[{"id": ' || event_id || '}, {"id": 2}]' WHEN 1 THEN '[{"a": null}]' WHEN 3 THEN '[]' END AS records FROM events""",
     "json_stringify": """SELECT event_id, ['', '12', 'a b', '[1,2]', '{"k":"v"}', 'true', '1.5'][event_id % 7 + 1] AS cell FROM events""",
-    "catalog_all_filters": f"WITH {RECORDS} SELECT id, name FROM r WHERE auth <> 'none' AND free_type = 'free_tier' AND id % 2 = 0 AND id % 3 > 0 AND id % 4 = 0 AND id % 5 < 3",
+    "catalog_all_filters": f"WITH {RECORDS} SELECT id, name FROM r WHERE auth <> 'none' AND free_type = 'paid' AND id % 2 = 0 AND id % 3 > 0 AND id % 4 = 0 AND id % 5 < 3",
     "catalog_status": f"WITH {RECORDS} SELECT id, CASE WHEN id % 9 = 0 THEN 'availability_checked' WHEN id % 2 = 0 AND (docs_verified IS NULL OR DATE '2024-06-30' - docs_verified > 180) THEN 'stale' WHEN id % 2 = 0 THEN 'docs_verified' ELSE 'candidate' END AS status FROM r",
     "catalog_sources": f"WITH {RECORDS} SELECT id, CASE WHEN id % 2 = 0 THEN 'first' ELSE 'second' END AS origin FROM r WHERE id % 2 = 0 AND (auth = 'none' OR free_type = 'free_tier') OR id % 2 = 1 AND id % 3 = 0",
     "catalog_explore": "SELECT p_type AS category, count(*) AS records FROM part WHERE lower(p_type) IN ('promo type1', 'promo', 'standard') GROUP BY 1",

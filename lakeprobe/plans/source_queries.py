@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeprobe.functions import summary
 from lakeprobe.operators import markup, sources
 from lakeprobe.session import saved, table
 
@@ -76,7 +77,13 @@ def recommended(spark: SparkSession, d: str) -> DataFrame:
     return sources.recommended(*nodes(spark, d)).withColumn("fields", F.concat_ws(",", "fields"))
 
 
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    found = nodes(spark, d)[1]
+    return summary.page_counts(found, sources.entity_groups(found))
+
+
 QUERIES = {
+    "page_counts_by_tag": counted,
     "page_elements": lambda s, d: markup.elements(table(s, d, "pages")).drop("token"),
     "page_repeated_groups": repeated,
     "page_entities": entities,
@@ -179,6 +186,8 @@ j AS (SELECT page_id, 'json_ld' AS kind, unnest(range(page_id % 5)) AS record, '
   UNION ALL SELECT page_id, 'json_ld', 0, '{"@type":"Thing","sku":5}' FROM pages WHERE page_id % 3 = 1
   UNION ALL SELECT page_id, 'embedded_json', unnest(range(page_id % 7)) AS r, '{"itemId":' || (r + 1) || ',"tags":[{"t":1}]}' FROM pages WHERE page_id % 4 = 1 AND page_id % 20 <> 1)"""
 ORACLES = {
+    "page_counts_by_tag": f"""WITH {elements_sql(_PLANTED)}, {_ENTITY}, n AS (SELECT page_id, count(*) FILTER (tag = 'table') AS tables, count(*) FILTER (tag = 'a' AND token LIKE '% href="_%') AS links, count(*) FILTER (tag = 'img' AND token LIKE '% src="_%') AS images,
+        count(*) FILTER (regexp_matches(tag, '^h[1-6]$')) AS headings, count(*) FILTER (tag = 'form') AS forms FROM e GROUP BY 1) SELECT n.*, (SELECT count(*) FROM g WHERE g.page_id = n.page_id) AS groups FROM n""",
     "page_elements": f"WITH {elements_sql("coalesce(html, '')")} SELECT page_id, pre::INT AS pre, post::INT AS post, depth, tag, signature, text_len, parent::INT AS parent FROM e",
     "page_repeated_groups": f"WITH {elements_sql(_PLANTED)}, {_REPEATED} SELECT page_id, place::INT AS place, signature, members, round(avg_text, 4) AS avg_text, round(score, 4) AS score FROM g",
     "page_entities": f"WITH {elements_sql(_PLANTED)}, {_ITEMS} SELECT page_id, place::INT AS place, signature, container, items, fields, round(least(1.0, score / 20), 2) AS confidence FROM g JOIN found USING (page_id, place)",

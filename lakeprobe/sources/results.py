@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeprobe.functions.json_ops import is_json
+
 SCHEMA = "value string"
 
 
@@ -33,7 +35,7 @@ def _lines(spark: SparkSession, path: str, limit: int | None) -> DataFrame:
 def _record(lines: DataFrame) -> DataFrame:
     """Lines with their value as variant; null where a line is no JSON object."""
     v = F.try_parse_json("line")
-    return lines.select("line", F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("v"))
+    return lines.select("line", F.when(F.col("line").startswith("{") & is_json(F.col("line")), v).alias("v"))
 
 
 def _shaped(rows: DataFrame, schema: str | None) -> DataFrame:
