@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The texts that mean a missing cell (compared in lower case, after trimming).
@@ -64,6 +64,15 @@ def date(c: Column) -> Column:
     return F.when(looks_like_date(c), F.coalesce(iso, *parsed))
 
 
+def kinded(rows: DataFrame, value: str = "value") -> DataFrame:
+    """rows with number, moment and kind of a text column: each is told once, and dates only of what is neither a number nor a boolean."""
+    v = F.col(value)
+    rows = rows.withColumn("number", number(v))
+    rows = rows.withColumn("moment", F.when(F.col("number").isNull() & boolean(v).isNull(), date(v)))
+    told = F.when(F.col("number").isNotNull(), F.when(is_integer(v), "integer").otherwise("float")).when(boolean(v).isNotNull(), "boolean").when(F.col("moment").isNotNull(), "datetime").otherwise("string")
+    return rows.withColumn("kind", F.when(v.isNotNull(), told))
+
+
 def kind(c: Column) -> Column:
     """number, then boolean, then datetime, then string; numbers are integer or float."""
     return F.when(number(c).isNotNull(), F.when(is_integer(c), "integer").otherwise("float")).when(boolean(c).isNotNull(), "boolean").when(date(c).isNotNull(), "datetime").otherwise("string")

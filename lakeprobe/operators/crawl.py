@@ -34,6 +34,10 @@ def statuses(fetched: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed value: the pattern of an address that is written in a script, in quotes.
+QUOTED_ADDRESS = r"[\"'`](https?://[^\s\"'`]+|/[A-Za-z0-9_\-./]*)[\"'`]"
+
+
 def candidates(pages: DataFrame) -> DataFrame:
     """Rows (page_id, candidate, source, confidence): addresses of interfaces that pages (page_id, url, html) link to, name in scripts or declare, each once per page."""
     from lakeprobe.functions import urls
@@ -42,7 +46,7 @@ def candidates(pages: DataFrame) -> DataFrame:
     marked = lambda c, source: F.transform(c, lambda x: F.struct(x.alias("href"), F.lit(source).alias("source")))
     declared = F.transform(F.filter(every(r"(?is)<link\b[^>]*>", 0), lambda t: t.rlike(r"(?i)application/(json|[a-z.+-]*\+json)")), lambda t: F.regexp_extract(t, r"(?i)href\s*=\s*[\"']([^\"']+)", 1))
     scripts = F.array_join(every(r"(?is)<script\b[^>]*>(.*?)</script>", 1), "\n")
-    in_scripts = F.regexp_extract_all(scripts, F.lit("[\"'`](https?://[^\\s\"'`]+|/[A-Za-z0-9_\\-./]*)[\"'`]"), 1)
+    in_scripts = F.regexp_extract_all(scripts, F.lit(QUOTED_ADDRESS), 1)
     linked = every(r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)", 1)
     found = pages.withColumn("html", F.coalesce(html, F.lit(""))).select("page_id", "url", F.explode(F.concat(marked(declared, "link_alternate_json"), marked(linked, "html"), marked(in_scripts, "inline_script"))).alias("x"))
     full = found.select("page_id", urls.resolve(F.col("url"), F.col("x.href")).alias("candidate"), F.col("x.source").alias("source"))

@@ -290,8 +290,7 @@ def compare(values: DataFrame, schema: DataFrame) -> tuple[DataFrame, DataFrame]
         raise ValueError("the two tables have no column in common")
     counts = saved(counted(values), "counts")
     v = F.col("value")
-    valued = counts.filter("value IS NOT NULL").withColumn("kind", cells.kind(v)).withColumn("number", cells.number(v)).withColumn("moment", F.when(F.col("kind") == "datetime", cells.date(v)))
-    valued = saved(valued, "valued")
+    valued = saved(cells.kinded(counts.filter("value IS NOT NULL")), "valued")
     shared = schema.filter("in_ref AND in_cur").select("column")
     known = shared.join(profiles(valued), "column", "left").fillna(0, [f"{s}_{n}" for s in ("ref", "cur") for n in ("present", "distinct")])
     known = known.fillna("empty", [f"{s}_{n}" for s in ("ref", "cur") for n in ("base", "role")]).fillna(False, ["ref_mixed", "cur_mixed"])

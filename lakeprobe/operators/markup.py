@@ -30,7 +30,6 @@ SKIPPED = ("script", "style", "noscript", "template", "svg", "head")
 #: Quoted values of a tag at most: the pattern engine recurses for each.
 QUOTED = 500
 _ATTRIBUTES = rf"""[^'">]*+(?:(?:"[^"]*+"|'[^']*+')[^'">]*+){{0,{QUOTED}}}+"""
-TOKEN = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(SKIPPED)})\b{_ATTRIBUTES}>.*?(?:</\1\s*+>|\z)|</?[a-z]{_ATTRIBUTES}>|<[!?][^>]*+>|[^<]++|<"
 #: The character references that are read by name; the ampersand comes last.
 REFERENCES = {
     "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&laquo;": "«", "&raquo;": "»",
@@ -39,6 +38,11 @@ REFERENCES = {
 PAGE = "page_id"
 
 
+def _token(skipped: tuple[str, ...]) -> str:
+    """The pattern of a token: a comment, an element that is skipped with its content, a tag, a declaration, or text."""
+    return rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(skipped)})\b{_ATTRIBUTES}>.*?(?:</\1\s*+>|\z)|</?[a-z]{_ATTRIBUTES}>|<[!?][^>]*+>|[^<]++|<"
+
+
 def _let(value: Column, use) -> Column:
     """use(value), with the value computed once however often it is used."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -60,24 +64,45 @@ def _numbered(pattern: str, digits: int, *starts: str):
 
 def unescaped(text: Column) -> Column:
     """Text with its character references read: those by number, and the named ones of REFERENCES."""
-    named = lambda t: reduce(lambda done, x: F.replace(done, F.lit(x[0]), F.lit(x[1])), REFERENCES.items(), t)
+    pairs = F.lit([list(x) for x in REFERENCES.items()])
+    named = lambda t: F.aggregate(pairs, t, lambda done, x: F.replace(done, F.get(x, F.lit(0)), F.get(x, F.lit(1))))
     numbered = lambda t: _let(_numbered(r"&#([0-9]{1,7});", 10, "&#")(t), _numbered(r"&#[xX]([0-9A-Fa-f]{1,6});", 16, "&#x", "&#X"))
     return _let(text, lambda t: F.when(t.contains("&#"), named(numbered(t))).when(t.contains("&"), named(t)).otherwise(t))
 
 
+ATTRIBUTE = r"""[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?"""
+
+
+def _value(text: Column) -> Column:
+    """The value of `name=value`, without quotes and with its references read; empty where there is none."""
+    value = F.regexp_extract(text, r"(?s)^[^=]*=\s*(.*)$", 1)
+    return _let(value, lambda v: unescaped(F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)))
+
+
 def attribute(tag: Column, name: str) -> Column:
     """The value of an attribute of a tag, the first of equal names; empty where it has none."""
-    each = F.regexp_extract_all(tag, F.lit(r"""[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?"""), 0)
+    each = F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 0)
     own = F.get(F.filter(each, lambda a: F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)) == name), F.lit(0))
-    value = F.regexp_extract(F.coalesce(own, F.lit("")), r"(?s)^[^=]*=\s*(.*)$", 1)
-    return unescaped(F.when(value.rlike("^[\"']"), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value))
+    return _value(F.coalesce(own, F.lit("")))
+
+
+def attributes(tag: Column) -> Column:
+    """All attributes of a tag as a map from lower-case names, the first of equal names."""
+    each = F.slice(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 0), 2, 1 << 30)
+    named = F.transform(each, lambda a: F.struct(F.lower(F.regexp_extract(a, r"^[^\s=]+", 0)).alias("key"), _value(a).alias("value")))
+    once = lambda pairs: F.filter(pairs, lambda x, i: F.array_position(F.transform(pairs, lambda y: y["key"]), x["key"]) == i + 1)
+    return F.map_from_entries(_let(named, once))
+
+
+def tokens(pages: DataFrame, html_col: str = "html", skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
+    """Rows (page_id, pos, token, name): the tags, texts and skipped elements of pages (page_id, html); the name of texts is empty."""
+    rows = pages.select(PAGE, F.posexplode(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(_token(skipped)), 0)).alias("pos", "token"))
+    return rows.withColumn("name", F.lower(F.regexp_extract("token", r"^</?([A-Za-z][^\s/>]*)", 1))).filter(~F.col("token").rlike("^<[!?]"))
 
 
-def stream(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def stream(pages: DataFrame, html_col: str = "html", skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
     """Rows (page_id, pos, token, name, kind): the tags and texts of pages (page_id, html). kind is 1 for a start tag, -1 for an end tag, 0 for an element without content, null for text."""
-    rows = pages.select(PAGE, F.posexplode(F.regexp_extract_all(F.coalesce(html_col, F.lit("")), F.lit(TOKEN), 0)).alias("pos", "token"))
-    name = F.lower(F.regexp_extract("token", r"^</?([A-Za-z][^\s/>]*)", 1))
-    rows = rows.withColumn("name", name).filter(~F.col("token").rlike("^<[!?]") & ~F.col("name").isin(*SKIPPED))
+    rows = tokens(pages, html_col, skipped).filter(~F.col("name").isin(*skipped))
     leaf = F.col("name").isin(*VOID) | F.col("token").endswith("/>")
     return rows.withColumn("kind", F.when(F.col("name") == "", None).when(F.col("token").startswith("</"), F.when(F.col("name").isin(*VOID), None).otherwise(-1)).when(leaf, 0).otherwise(1))
 
@@ -88,12 +113,12 @@ def texts(rows: DataFrame) -> DataFrame:
     return rows.filter("name = ''").select(PAGE, "pos", text.alias("text")).filter("text <> ''")
 
 
-def elements(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def elements(pages: DataFrame, html_col: str = "html", skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
     """Rows (page_id, pre, post, depth, parent, tag, signature, token, text_len) of every element; depth is 1 and parent null at the top.
 
     One shuffle by page carries all windows.
     """
-    rows = stream(pages, html_col).repartition(PAGE)
+    rows = stream(pages, html_col, skipped).repartition(PAGE)
     text = F.trim(F.regexp_replace(unescaped(F.col("token")), r"[\s ]+", " "))
     rows = rows.withColumn("size", F.when(F.col("name") == "", F.length(text)).otherwise(0))
     here = Window.partitionBy(PAGE).orderBy("pos")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeprobe.session import partitions
+from lakeprobe.session import partitions, saved
 
 
 def buckets(df: DataFrame) -> int:
@@ -19,7 +19,7 @@ def running(rows: DataFrame, by: list[str], key: str, sums: list[str]) -> DataFr
     Rows are dealt to buckets between sketched quantiles of the key and summed up there;
     what stands in the buckets before is added (one small row for each bucket).
     """
-    n = buckets(rows)
+    n, rows = buckets(rows), saved(rows, "ordered")
     cuts = rows.groupBy(*by).agg(F.array_distinct(F.percentile_approx(key, F.lit([i / n for i in range(1, n)]), 20 * n)).alias("cuts"))
     placed = rows.join(F.broadcast(cuts), by).withColumn("bucket", F.size(F.filter("cuts", lambda e: e < F.col(key)))).drop("cuts")
     per = placed.groupBy(*by, "bucket").agg(*[F.sum(x).alias(f"in_{x}") for x in sums])

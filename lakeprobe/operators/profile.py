@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeprobe.functions import cells
 from lakeprobe.operators import ordering
+from lakeprobe.session import saved
 
 QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 KINDS = ("boolean", "integer", "float", "datetime", "string")
@@ -82,10 +83,32 @@ def features(values: DataFrame) -> DataFrame:
 
 
 def table(values: DataFrame) -> DataFrame:
-    """The whole profile of a table, a row per column: missing cells, kinds, role, lengths and, for numbers, moments and quantiles."""
-    numbers = values.select("column", cells.number(F.col("value")).alias("value"))
-    stats = numeric(numbers).withColumnRenamed("n", "numbers")
-    return presence(values).join(classify(features(values)).drop("present"), "column").join(stats, "column", "left")
+    """The whole profile of a table, a row per column: missing cells, kinds, role, lengths and, for numbers, moments and quantiles.
+
+    Cells are counted once by value, and everything else comes from the counts.
+    """
+    counts = saved(cells.kinded(counted(values)), "counts")
+    n, missing = F.col("n"), F.col("total") - F.col("present")
+    there = counts.groupBy("column").agg(F.sum("n").alias("total"), F.sum(F.when(F.col("value").isNotNull(), n).otherwise(0)).alias("present"))
+    there = there.select("column", "total", "present", missing.alias("missing"), F.round(missing / F.col("total"), 6).alias("missing_rate"))
+    told = features_of(counts.filter("value IS NOT NULL"))
+    told = there.select("column").join(told, "column", "left").fillna(0, ["present", "distinct", *KINDS]).fillna(False, ["zero_one"])
+    stats = numeric_of(counts.filter("number IS NOT NULL").groupBy("column", F.col("number").alias("value")).agg(F.sum("n").alias("n")))
+    return there.join(classify(told).drop("present"), "column").join(stats.withColumnRenamed("n", "numbers"), "column", "left")
+
+
+def numeric_of(counts: DataFrame) -> DataFrame:
+    """numeric() of numbers (column, value, n) that occur n times each: sums over distinct values, deviations around the mean."""
+    order, v, n = saved(ordering.running(counts, ["column"], "value", ["n"]), "ranked"), F.col("value"), F.col("n")
+    some = order.groupBy("column").agg(
+        F.sum(n).alias("of"), F.min("value").alias("min"), F.max("value").alias("max"), (F.sum(v * n) / F.sum(n)).alias("mean"),
+        F.sum(F.when(v == 0, n).otherwise(0)).alias("zeros"), F.sum(F.when(v < 0, n).otherwise(0)).alias("negatives"),
+        *[ordering.quantile(q, v, n, F.col("before_n"), F.col("all_n")).alias(name) for name, q in QUANTILES.items()],
+    ).withColumnRenamed("of", "n")
+    away = v - F.col("mean")
+    around = order.join(F.broadcast(some.select("column", "mean")), "column").groupBy("column").agg(F.sum(n).alias("of"), F.sum(away * away * n).alias("m2"), F.sum(away * away * away * n).alias("m3"))
+    std, skew = F.sqrt(F.col("m2") / F.nullif(F.col("of") - 1, F.lit(0))), F.sqrt("of") * F.col("m3") / F.nullif(F.pow("m2", F.lit(1.5)), F.lit(0.0))
+    return some.join(around.select("column", F.coalesce(std, F.lit(0.0)).alias("std"), F.coalesce(skew, F.lit(0.0)).alias("skew")), "column")
 
 
 def classify(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeprobe.functions import summary
-from lakeprobe.operators import markup, sources
+from lakeprobe.operators import assets, markup, sources
 from lakeprobe.session import saved, table
 
 #: Planted text; `i` counts from 1, both dialects read it.
@@ -77,12 +77,36 @@ def recommended(spark: SparkSession, d: str) -> DataFrame:
     return sources.recommended(*nodes(spark, d)).withColumn("fields", F.concat_ws(",", "fields"))
 
 
+#: Planted at the ends of pages, by number: declarations, forms, images.
+DECLARED = (
+    """'<link rel="canonical" href="/c/' || page_id || '"><link rel="Canonical x" href="/d"><link rel=alternate type="application/rss+xml" href="feed.xml" title="Feed"><link rel="alternate" type="application/activity+json" href="//o.example/j">'""",
+    """'<meta name="Description" content="d ' || page_id || '"><meta property="og:title" content="t"><meta name="x"><form action="/send" method="POST"><input name="q" type="search"><select name=s></select><textarea></textarea></form>'""",
+    """'<img src="../i.png" alt="an &amp; image"><img alt="none"><form><input></form><h2>Second <i>' || page_id || '</i></h2><h3> </h3><a href="http://other.example:80/x" rel="nofollow">out</a><a>none</a>'""",
+)
+
+
+def declaring(spark: SparkSession, d: str) -> DataFrame:
+    text = F.expr("CASE page_id % 3 " + " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(DECLARED)) + " END")
+    return table(spark, d, "pages").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), text).alias("html"))
+
+
+def shown(spark: SparkSession, d: str) -> DataFrame:
+    return assets.assets(declaring(spark, d)).select("page_id", "kind", F.when(F.col("kind") != "field", F.col("url")).alias("url"), "label", "extra")
+
+
+def inner_links(spark: SparkSession, d: str) -> DataFrame:
+    pages = declaring(spark, d)
+    return assets.internal(assets.assets(pages), pages).groupBy("page_id").agg(F.count_if("internal").alias("inside"), F.count_if(~F.col("internal")).alias("outside"))
+
+
 def counted(spark: SparkSession, d: str) -> DataFrame:
     found = nodes(spark, d)[1]
     return summary.page_counts(found, sources.entity_groups(found))
 
 
 QUERIES = {
+    "page_assets": shown,
+    "page_links_inside": inner_links,
     "page_counts_by_tag": counted,
     "page_elements": lambda s, d: markup.elements(table(s, d, "pages")).drop("token"),
     "page_repeated_groups": repeated,
@@ -185,7 +209,25 @@ _JSON = """
 j AS (SELECT page_id, 'json_ld' AS kind, unnest(range(page_id % 5)) AS record, '{"@id":"a' || (record + 1) || '","name":"n"}' AS json FROM pages WHERE page_id % 3 = 0
   UNION ALL SELECT page_id, 'json_ld', 0, '{"@type":"Thing","sku":5}' FROM pages WHERE page_id % 3 = 1
   UNION ALL SELECT page_id, 'embedded_json', unnest(range(page_id % 7)) AS r, '{"itemId":' || (r + 1) || ',"tags":[{"t":1}]}' FROM pages WHERE page_id % 4 = 1 AND page_id % 20 <> 1)"""
+_ORIGIN = "regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1)"
+_LINKED = r"""k AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2)) AS label FROM pages)"""
 ORACLES = {
+    "page_assets": rf"""WITH {_LINKED}
+        SELECT page_id, 'link' AS kind, {_ORIGIN} || replace(href, '&amp;', '&') AS url, trim(regexp_replace(replace(label, '&amp;', '&'), '\s+', ' ', 'g')) AS label, NULL::VARCHAR AS extra FROM k
+        UNION ALL SELECT page_id, 'link', 'http://other.example:80/x', 'out', 'nofollow' FROM pages WHERE page_id % 3 = 2
+        UNION ALL SELECT page_id, 'image', {_ORIGIN} || regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/[^/]*$', ''), '/[^/]*$', '') || '/i.png', 'an & image', NULL FROM pages WHERE page_id % 3 = 2
+        UNION ALL SELECT page_id, 'heading', NULL, substring({_plain("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}, 1, 300), 'h1' FROM pages
+        UNION ALL SELECT page_id, 'heading', NULL, 'Second ' || page_id, 'h2' FROM pages WHERE page_id % 3 = 2
+        UNION ALL SELECT page_id, 'title', NULL, substring({_plain("regexp_extract(html, '<title>(.*?)</title>', 1)")}, 1, 1000), NULL FROM pages
+        UNION ALL SELECT page_id, 'lang', NULL, regexp_extract(html, '<html lang="([^"]*)"', 1), NULL FROM pages
+        UNION ALL SELECT page_id, 'meta', NULL, 'd ' || page_id, 'description' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'meta', NULL, 't', 'og:title' FROM pages WHERE page_id % 3 = 1
+        UNION ALL SELECT page_id, 'canonical', {_ORIGIN} || '/d', NULL, NULL FROM pages WHERE page_id % 3 = 0
+        UNION ALL SELECT page_id, 'feed', {_ORIGIN} || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), '/[^/]*$', '') || '/feed.xml', 'Feed', 'application/rss+xml' FROM pages WHERE page_id % 3 = 0
+        UNION ALL SELECT page_id, 'alternate_json', split_part(url, ':', 1) || '://o.example/j', NULL, 'application/activity+json' FROM pages WHERE page_id % 3 = 0
+        UNION ALL SELECT page_id, 'form', {_ORIGIN} || '/send', NULL, 'post' FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'form', url, NULL, 'get' FROM pages WHERE page_id % 3 = 2
+        UNION ALL SELECT page_id, 'field', NULL, unnest(['q', 's', NULL]), unnest(['search', 'select', 'textarea']) FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'field', NULL, NULL, 'input' FROM pages WHERE page_id % 3 = 2
+        UNION ALL SELECT page_id, 'script', NULL, regexp_extract(html, '(?s)<script>(.*?)</script>', 1), NULL FROM pages""",
+    "page_links_inside": f"WITH {_LINKED} SELECT page_id, count(href) AS inside, any_value(CASE WHEN page_id % 3 = 2 THEN 1 ELSE 0 END)::BIGINT AS outside FROM pages LEFT JOIN k USING (page_id) GROUP BY 1 HAVING inside + outside > 0",
     "page_counts_by_tag": f"""WITH {elements_sql(_PLANTED)}, {_ENTITY}, n AS (SELECT page_id, count(*) FILTER (tag = 'table') AS tables, count(*) FILTER (tag = 'a' AND token LIKE '% href="_%') AS links, count(*) FILTER (tag = 'img' AND token LIKE '% src="_%') AS images,
         count(*) FILTER (regexp_matches(tag, '^h[1-6]$')) AS headings, count(*) FILTER (tag = 'form') AS forms FROM e GROUP BY 1) SELECT n.*, (SELECT count(*) FROM g WHERE g.page_id = n.page_id) AS groups FROM n""",
     "page_elements": f"WITH {elements_sql("coalesce(html, '')")} SELECT page_id, pre::INT AS pre, post::INT AS post, depth, tag, signature, text_len, parent::INT AS parent FROM e",

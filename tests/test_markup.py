@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from lakeprobe.operators import markup, sources
+from lakeprobe.operators import assets, markup, sources
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -37,6 +37,21 @@ def test_attributes(spark):
     tags = ["<a href=x>", "<a HREF = 'x y' b>", '<a title=" href=no" href="&amp;x">', "<a data-href=no>", "<a href>", "<a>"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "i int, t string").orderBy("i").select(markup.attribute(F.col("t"), "href")).collect()]
     assert got == ["x", "x y", "&x", "", "", ""]
+    every = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate([*tags, "<p a=1 A=2 b/>"])], "i int, t string").orderBy("i").select(markup.attributes(F.col("t"))).collect()]
+    assert every == [{"href": "x"}, {"href": "x y", "b": ""}, {"title": " href=no", "href": "&x"}, {"data-href": "no"}, {"href": ""}, {}, {"a": "1", "b": ""}]
+
+
+def test_assets_of_a_page(spark):
+    html = (
+        '<html lang=fr><head><title>A &amp; B</title><link rel=canonical href=/c><link rel="alternate" type="application/atom+xml" href=f title=T><style><a href=no>no</a></style></head><a href="y" rel=me>one <b>two</b></a><a>no</a>'
+        "<h2>head <a href='#x'>link</a></h2><form action=go method=POST><input type=text name=q required></form><input name=late><script src=s.js></script><script>var a = '<a href=no>'</script><script type=application/ld+json>{}</script><img src=i.png>"
+    )
+    rows = assets.assets(pages(spark, html, None, "text")).orderBy("pos").collect()
+    assert [(r["kind"], r["url"], r["label"], r["extra"]) for r in rows if r["kind"] != "field"] == [
+        ("lang", None, "fr", None), ("title", None, "A & B", None), ("canonical", "https://a.example/c", None, None), ("feed", "https://a.example/x/f", "T", "application/atom+xml"), ("link", "https://a.example/x/y", "one two", "me"),
+        ("heading", None, "head link", "h2"), ("link", "https://a.example/x/y#x", "link", None), ("form", "https://a.example/x/go", None, "post"), ("script", None, "var a = '<a href=no>'", None), ("image", "https://a.example/x/i.png", "", None),
+    ]
+    assert [(r["label"], r["extra"]) for r in rows if r["kind"] == "field"] == [("q", "text"), ("late", "input")]
 
 
 def test_long_and_deep_pages(spark):
