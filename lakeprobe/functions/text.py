@@ -54,6 +54,20 @@ def status(c: Column) -> Column:
     return F.when(worst("alert"), "alert").when(worst("warn"), "warn").when(worst("info"), "info").otherwise("ok")
 
 
+def characters(c: Column) -> Column:
+    """array<struct<pos, codepoint, kind, severity>> of the characters of a text that have a kind, by place from 0."""
+    some = F.lit("[" + "".join(KINDS.values()) + "]")
+    each = F.filter(F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda ch, i: F.struct(i.alias("pos"), ch.alias("ch"))), lambda x: F.regexp_like(x["ch"], some))
+
+    def told(x: Column) -> Column:
+        kind = F.coalesce(*(F.when(F.regexp_like(x["ch"], F.lit(only(k))), k) for k in KINDS))
+        code = F.conv(F.hex(F.encode(x["ch"], "UTF-32")), 16, 16)
+        return F.struct(x["pos"].alias("pos"), F.concat(F.lit("U+"), F.when(F.length(code) < 4, F.lpad(code, 4, "0")).otherwise(code)).alias("codepoint"), kind.alias("kind"))
+
+    graded = F.create_map(*(F.lit(x) for pair in SEVERITY.items() for x in pair))
+    return F.transform(F.transform(each, told), lambda x: F.struct(x["pos"].alias("pos"), x["codepoint"].alias("codepoint"), x["kind"].alias("kind"), graded[x["kind"]].alias("severity")))
+
+
 def second_kind(ch: Column) -> Column:
     """The second engine's kind of one character, or null."""
     out = F.lit(None).cast("string")

@@ -92,16 +92,29 @@ def problems(c: Column) -> Column:
     return F.when(F.trim(c) == "", F.array(F.lit("empty"))).otherwise(F.filter(F.array(*checks), lambda x: x.isNotNull()))
 
 
+def folded(name: str) -> Column:
+    """A name without its case: through upper case, so that letters with several lower forms, and those that become two, are alike."""
+    # lower(upper(x)) alone would be simplified to lower(x)
+    return F.lower(F.concat(F.upper(name), F.lit("")))
+
+
 def conflicts(plan: DataFrame) -> DataFrame:
     """Names that two rows or more end up with, whatever their case."""
-    groups = plan.groupBy(F.lower("new_name").alias("folded")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("new_name").alias("spellings"))
+    groups = plan.groupBy(folded("new_name").alias("folded")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("new_name").alias("spellings"))
     return groups.filter("rows >= 2").withColumn("case_only", F.col("spellings") > 1)
 
 
+def conflict_members(plan: DataFrame, key: str, name: str = "name") -> DataFrame:
+    """The rows of every conflict: key, folded name, old and new name, whether the spellings differ, and the new name of the member with the smallest key."""
+    shown = plan.groupBy(folded("new_name").alias("folded")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("new_name").alias("spellings"), F.min_by("new_name", key).alias("shown"))
+    found = plan.withColumn("folded", folded("new_name")).join(shown.filter("rows >= 2"), "folded")
+    return found.select(key, "folded", F.col(name).alias("old_name"), "new_name", (F.col("spellings") > 1).alias("case_only"), "shown")
+
+
 def checked(plan: DataFrame) -> DataFrame:
     """A plan's rows with the problems of their new names and whether another row ends up with the same name; valid without either."""
     clashing = conflicts(plan).select("folded", F.lit(True).alias("clash"))
-    rows = plan.withColumn("problems", problems(F.col("new_name"))).withColumn("folded", F.lower("new_name")).join(clashing, "folded", "left").drop("folded")
+    rows = plan.withColumn("problems", problems(F.col("new_name"))).withColumn("folded", folded("new_name")).join(clashing, "folded", "left").drop("folded")
     return rows.withColumn("clash", F.coalesce("clash", F.lit(False))).withColumn("valid", ~F.col("clash") & (F.size("problems") == 0))
 
 

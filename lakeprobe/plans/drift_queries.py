@@ -42,6 +42,7 @@ every AS (SELECT "column", unnest(range(len(e) + 1)) AS bin FROM edges),
 hits AS (SELECT "column", len(list_filter(e, lambda x: x < value)) AS bin, count(*) FILTER (side = 'reference') AS ref, count(*) FILTER (side = 'current') AS cur
   FROM numbers JOIN edges USING ("column") WHERE value IS NOT NULL GROUP BY ALL),
 bins AS (SELECT "column", bin, coalesce(ref, 0) AS ref, coalesce(cur, 0) AS cur FROM every LEFT JOIN hits USING ("column", bin))"""
+_STATUS, _OLD = "l_linestatus AS status", "CASE WHEN l_shipdate < TIMESTAMP '1996-01-01' AND l_orderkey % 3 = 0 THEN 'OLD' ELSE l_linestatus END AS status"
 CATS = LINES + """,
 texts AS (SELECT side, 'flag' AS "column", flag AS value FROM lines UNION ALL SELECT side, 'status', status FROM lines UNION ALL SELECT side, 'day', day FROM lines),
 counted AS (SELECT "column", value, count(*) FILTER (side = 'reference') AS ref, count(*) FILTER (side = 'current') AS cur FROM texts WHERE value IS NOT NULL GROUP BY ALL),
@@ -224,6 +225,13 @@ def new_categories(spark: SparkSession, d: str, change: str = "new") -> DataFram
     return drift.one_sided(raw_counts(spark, d)).filter(F.col("change") == change).select("column", F.col("value").alias("category"))
 
 
+def gone_categories(spark: SparkSession, d: str) -> DataFrame:
+    """Categories of the reference that are gone; a third of its line items has a status of its own."""
+    old = (F.col("side") == "reference") & (F.col("l_orderkey") % 3 == 0)
+    cells = lines(spark, d).withColumn("status", F.when(old, "OLD").otherwise(F.col("status"))).unpivot(["side"], ["flag", "status", "day"], "column", "value")
+    return drift.one_sided(drift.counted(cells.filter("value IS NOT NULL"))).filter("change = 'disappeared'").select("column", F.col("value").alias("category"))
+
+
 def share_shifts(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -328,7 +336,7 @@ QUERIES = {
     "drift_chi2_stat": lambda s, d: drift.chi_square(counts(s, d)).select("column", F.round("chi2", 3).alias("chi2"), "df"),
     "drift_chi2_pvalue": lambda s, d: drift.categorical_metrics(counts(s, d)).select("column", F.round("chi2_p", 6).alias("chi2_p"), F.coalesce(F.col("chi2_p") < 1e-12, F.lit(False)).alias("certain")),
     "drift_new_categories": new_categories,
-    "drift_gone_categories": lambda s, d: new_categories(s, d, "disappeared"),
+    "drift_gone_categories": gone_categories,
     "drift_other_bucket": lambda s, d: counts(s, d).select("column", "category", "ref", "cur"),
     "drift_top_share_shifts": share_shifts,
     "drift_missingness": missingness,
@@ -372,7 +380,7 @@ ORACLES = {
     "drift_tvd": f'WITH {CATS}{SHARES} SELECT "column", {_R("tvd")} FROM div',
     "drift_chi2_stat": f'WITH {CATS}{SHARES} SELECT "column", round(chi2, 3) AS chi2, df FROM chi',
     "drift_new_categories": f'WITH {CATS} SELECT "column", value AS category FROM counted WHERE cur > 0 AND ref = 0',
-    "drift_gone_categories": f'WITH {CATS} SELECT "column", value AS category FROM counted WHERE ref > 0 AND cur = 0',
+    "drift_gone_categories": f'WITH {CATS.replace(_STATUS, _OLD)} SELECT "column", value AS category FROM counted WHERE ref > 0 AND cur = 0',
     "drift_other_bucket": f'WITH {CATS} SELECT "column", category, ref, cur FROM bins',
     "drift_top_share_shifts": f"""WITH {CATS}{SHARES}, r AS (SELECT "column", category, round(q - p, 6) AS delta FROM shares),
         k AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY abs(delta) DESC, category)::INT AS rank FROM r)

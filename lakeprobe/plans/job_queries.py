@@ -37,7 +37,33 @@ def stream_hosts(spark: SparkSession, d: str) -> DataFrame:
     return jobs.accumulate(pages.select(urls.bare_host(F.col("url")).alias("host")), ["host"], "hosts").withColumnRenamed("n", "pages")
 
 
+#: Planted at the ends of pages: what a page must not keep.
+ACTIVE = (
+    """<IFRAME src="x">in</iframe ><p onclick="a()" class=k ONLOAD=b>t</p>""", """<object data=o></object><embed src=e><a href="javascript:alert(1)">j</a>""", """<noscript><p>n</p></noscript><template>t</template><base href="//b">""",
+    """<form action=f><input></form><img src=javascript:x onerror='y > z'>""", """<style>a</style><script async>b</script><form>left open""",
+)
+
+
+def active(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with active elements, sanitized; told by length and digest."""
+    pages = table(spark, d, "pages")
+    text = F.get(F.array(*map(F.lit, ACTIVE)), (F.col("page_id") % len(ACTIVE)).cast("int"))
+    clean = dom.sanitized(pages.select("page_id", F.concat(F.coalesce("html", F.lit("")), text).alias("html")))
+    return clean.select("page_id", F.length("html").alias("length"), F.md5("html").alias("digest"))
+
+
+_TAGS = ("script", "style", "iframe", "object", "embed", "noscript", "template", "base", "form")
+
+
+def _sanitized_sql(html: str) -> str:
+    whole = "|".join(rf"<{t}\b.*?</{t}\s*>" for t in _TAGS)
+    for pattern in (f"(?is){whole}", rf"(?is)<({'|'.join(_TAGS)})\b[^>]*>", r"""(?is)\s+on[a-z]+\s*=\s*("[^"]*"|''[^'']*''|[^\s>]+)""", r"""(?is)(href|src)\s*=\s*["'']?\s*javascript:[^"''\s>]*["'']?"""):
+        html = f"regexp_replace({html}, '{pattern}', '', 'g')"
+    return html
+
+
 QUERIES = {
+    "page_sanitize_active": active,
     "extract_schema": extracted,
     "page_sanitize": lambda s, d: dom.sanitized(table(s, d, "pages")).select("page_id", F.length("html").alias("length"), F.regexp_like("html", F.lit("(?i)<script")).alias("active")),
     "file_inspect": inspected,
@@ -45,6 +71,8 @@ QUERIES = {
     "stream_page_hosts": stream_hosts,
 }
 ORACLES = {
+    "page_sanitize_active": f"""WITH a AS (SELECT page_id, coalesce(html, '') || [{", ".join("'" + t.replace("'", "''") + "'" for t in ACTIVE)}][page_id % {len(ACTIVE)} + 1] AS html FROM pages), c AS (SELECT page_id, {_sanitized_sql("html")} AS html FROM a)
+        SELECT page_id, length(html)::INT AS length, md5(html) AS digest FROM c""",
     "page_sanitize": r"SELECT page_id, length(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'))::INT AS length, false AS active FROM pages",
     "extract_schema": r"""WITH n AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS h, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS t FROM pages),
         r AS (SELECT page_id, root, unnest(h) AS href, unnest(t) AS label, unnest(range(len(h))) AS nth FROM n)

@@ -112,6 +112,8 @@ QUERIES = {
     "rename_plan": lambda s, d: plan(s, d).select("id", "name", "new_name"),
     "rename_numbering": lambda s, d: rename.renamed(files(s, d), [rename.Rule("numbering", "_", start=-2, step=3, width=4)]).select("id", "new_name"),
     "rename_validate": lambda s, d: files(s, d).select("id", F.explode(rename.problems(F.col("name"))).alias("problem")),
+    "rename_conflict_members": lambda s, d: rename.conflict_members(files(s, d).withColumn("new_name", F.col("name")), "id"),
+    "unicode_characters": lambda s, d: planted(s, d).select("doc_id", F.explode(text.characters(F.col("text"))).alias("x")).select("doc_id", "x.*"),
     "rename_conflicts": lambda s, d: rename.conflicts(files(s, d).withColumnRenamed("name", "new_name")),
     "rename_checked": lambda s, d: rename.checked(plan(s, d)).select("id", "new_name", "problems", "clash", "valid"),
     "rename_summary": lambda s, d: rename.summary(plan(s, d)),
@@ -154,6 +156,11 @@ ORACLES = {
     "rename_plan": f"WITH {PLAN} SELECT * FROM plan",
     "rename_numbering": f"WITH {FILES} SELECT id, CASE WHEN i * 3 - 2 < 0 THEN '-' ELSE '' END || lpad(abs(i * 3 - 2)::VARCHAR, greatest(4, length(abs(i * 3 - 2)::VARCHAR))::INT, '0') || '_' || stem || ext AS new_name FROM parts",
     "rename_validate": f"WITH {FILES} SELECT id, unnest({SQL_PROBLEMS.format('name')}) AS problem FROM files",
+    "rename_conflict_members": f"""WITH {FILES}, g AS (SELECT lower(name) AS folded, count(DISTINCT name) > 1 AS case_only, min_by(name, id) AS shown FROM files GROUP BY 1 HAVING count(*) >= 2)
+        SELECT id, folded, name AS old_name, name AS new_name, case_only, shown FROM files JOIN g ON lower(name) = folded""",
+    "unicode_characters": f"""WITH {PLANTED}, c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, unnest(range(length(text))) AS pos FROM planted),
+        k AS (SELECT doc_id, pos, ch, CASE {" ".join(f"WHEN regexp_matches(ch, '{p}') THEN '{k}'" for k, p in SQL_KINDS.items())} END AS kind FROM c)
+        SELECT doc_id, pos::INT AS pos, printf('U+%04X', ord(ch)) AS codepoint, kind, CASE WHEN kind IN ('zero_width', 'bidi_control', 'replacement_char', 'control') THEN 'alert' WHEN kind = 'combining_mark' THEN 'info' ELSE 'warn' END AS severity FROM k WHERE kind IS NOT NULL""",
     "rename_conflicts": f"WITH {FILES} SELECT lower(name) AS folded, count(*) AS rows, count(DISTINCT name) AS spellings, count(DISTINCT name) > 1 AS case_only FROM files GROUP BY 1 HAVING count(*) >= 2",
     "rename_checked": f"""WITH {PLAN}, c AS (SELECT lower(new_name) AS folded FROM plan GROUP BY 1 HAVING count(*) >= 2), p AS (SELECT id, new_name, {SQL_PROBLEMS.format('new_name')} AS problems, lower(new_name) IN (SELECT folded FROM c) AS clash FROM plan)
         SELECT *, NOT clash AND len(problems) = 0 AS valid FROM p""",

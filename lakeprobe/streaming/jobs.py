@@ -8,7 +8,9 @@ that is repeated after a failure replaces itself).
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,11 +69,21 @@ def audit(pages: DataFrame, name: str = "audit") -> DataFrame:
 DONE, LIMIT, FAILED = "done", "limit", "failed"
 
 
-def steps(rows: DataFrame, name: str, max_steps: int | None = None, max_rows: int | None = None, cursor: str | None = None) -> tuple[str, DataFrame | None, str, int]:
-    """Run a collection job step by step (a micro-batch each) until all is read or a limit is met: (how it ended, the rows so far, the cursor to go on with, rows).
+class Ended(NamedTuple):
+    """How a job ended, the rows so far (None before the first), the cursor to go on with, rows of this run, and the message of a failure."""
 
-    A step that fails leaves the job FAILED, with what was collected before; the same
-    cursor tries that step again.
+    status: str
+    so_far: DataFrame | None
+    cursor: str
+    rows: int
+    error: str | None
+
+
+def steps(rows: DataFrame, name: str, max_steps: int | None = None, max_rows: int | None = None, cursor: str | None = None) -> Ended:
+    """Run a collection job step by step (a micro-batch each) until all is read or a limit is met.
+
+    A step that fails leaves the job FAILED, with its message and what was collected
+    before; the same cursor tries that step again.
     """
     spark = rows.sparkSession
     base = cursor or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -86,13 +98,16 @@ def steps(rows: DataFrame, name: str, max_steps: int | None = None, max_rows: in
         done["stop"] = (max_steps is not None and done["steps"] >= max_steps) or (max_rows is not None and done["rows"] >= max_rows)
 
     job = rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/cursor").trigger(availableNow=True).start()
+    ended, error = DONE, None
     try:
         job.awaitTermination()
-        ended = DONE
-    except Exception:  # the query's own error, whatever it is, ends the job and not the caller
-        ended = LIMIT if done["stop"] else FAILED
+    except StreamingQueryException as e:  # of a step: it ends the job and not the caller
+        ended = LIMIT if done["stop"] and "InterruptedError: limit" in str(e) else FAILED
+        error = str(e) if ended == FAILED else None
     try:
         so_far = spark.read.schema(rows.schema).parquet(f"{base}/rows")
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         so_far = None
-    return ended, so_far, base, done["rows"]
+    return Ended(ended, so_far, base, done["rows"], error)

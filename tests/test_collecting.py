@@ -185,3 +185,12 @@ def test_exports_of_nothing(spark, tmp_path):
     with pytest.raises(ValueError, match="unknown format"):
         exports.lines(none, ["a"], "xml")
     assert [tuple(r) for r in exports.assets(spark.createDataFrame([(1, "http://a", "b https://c", None)], "i int, x string, y string, z string"), "i").collect()] == [(1, "x", "http://a")]
+
+
+def test_failed_steps_tell_why(spark, tmp_path):
+    from lakeprobe.streaming import jobs
+
+    spark.range(10).coalesce(1).write.parquet(f"file://{tmp_path}/t.parquet")
+    rows = spark.readStream.schema("id long").parquet(f"file://{tmp_path}/t.parquet").select(F.when(F.col("id") == 7, F.raise_error(F.lit("page seven is broken"))).otherwise(F.lit("x")).cast("string").alias("x"))
+    got = jobs.steps(rows, "broken")
+    assert (got.status, got.rows) == (jobs.FAILED, 0) and "page seven is broken" in got.error

@@ -69,3 +69,18 @@ def test_boost_adds_up_over_many_stems(spark):
         plain[r["id"]] = n
     assert {r["id"]: r["boost"] for r in catalog.boost(records, "Weat sea", stems).collect()} == plain and plain[1] > plain[4] == 0
     assert {r["boost"] for r in catalog.boost(records, "", stems).collect()} == {0}
+
+
+def test_characters_and_folded_names(spark):
+    from lakeprobe.functions import text
+    from lakeprobe.operators import rename
+
+    got = spark.createDataFrame([("a\u200b\U0001F600\u202e\u0007e\u0301\U000f0000\ue000\u00ad\ufffd \n",), (None,), ("plain",)], "t string").select(text.characters(F.col("t")).alias("x")).collect()
+    assert [tuple(x) for x in got[0]["x"]] == [
+        (1, "U+200B", "zero_width", "alert"), (3, "U+202E", "bidi_control", "alert"), (4, "U+0007", "control", "alert"), (6, "U+0301", "combining_mark", "info"), (7, "U+F0000", "private_use", "warn"),
+        (8, "U+E000", "private_use", "warn"), (9, "U+00AD", "soft_hyphen", "warn"), (10, "U+FFFD", "replacement_char", "alert"),
+    ]
+    assert got[1]["x"] is None and got[2]["x"] == []
+    plan = spark.createDataFrame([(1, "a", "Straße"), (2, "b", "STRASSE"), (3, "c", "x"), (4, "d", "ΣΑΣ"), (5, "e", "σας"), (6, "f", "y"), (7, "g", "y")], "id int, name string, new_name string")
+    found = {r["id"]: (r["case_only"], r["shown"], r["old_name"]) for r in rename.conflict_members(plan, "id").collect()}
+    assert found == {1: (True, "Straße", "a"), 2: (True, "Straße", "b"), 4: (True, "ΣΑΣ", "d"), 5: (True, "ΣΑΣ", "e"), 6: (False, "y", "f"), 7: (False, "y", "g")}

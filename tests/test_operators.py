@@ -294,9 +294,9 @@ def test_jobs_stop_at_limits_and_go_on(spark, sf, tmp_path):
     for i in range(5):
         spark.range(i * 10, i * 10 + 10).coalesce(1).write.parquet(str(tmp_path / f"t.parquet/{i}"))
     rows = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "t.parquet/*"))
-    ended, so_far, cursor, n = jobs.steps(rows, "job", max_steps=2)
+    ended, so_far, cursor, n, error = jobs.steps(rows, "job", max_steps=2)
     assert ended == jobs.LIMIT and n == 20 and so_far.count() == 20
-    ended, so_far, _, _ = jobs.steps(rows, "job", cursor=cursor)
+    ended, so_far, _, _, error = jobs.steps(rows, "job", cursor=cursor)
     assert ended == jobs.DONE and sorted(r["id"] for r in so_far.collect()) == list(range(50))
 
 
