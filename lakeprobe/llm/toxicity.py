@@ -11,8 +11,9 @@ classes, and five transducers are composed into the one that runs over them:
 * reported speech: turns marks after a verb of saying into reported ones.
 What comes out for each insult or threat is the pattern it stands in (plain, targeted,
 negated or reported) and the clause's weight. A document's score is a logistic model of
-the strengths of its matched patterns. A word alone in its clause matches nothing, and
-neither a word outside of patterns nor a text's length adds anything.
+the strengths of its matched patterns and of how dense insults are in it: the same match
+weighs less in a long text. A word alone in its clause matches nothing, and a word
+outside of patterns adds nothing.
 
 The insult transducer's entries (words, and stems that many words begin with, with
 weights) are learned from the labels, by the log odds of documents with them, on at most
