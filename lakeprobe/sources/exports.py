@@ -8,8 +8,8 @@ many partitions made it. Nothing is gathered, and no writer needs to know of ano
 Defined results:
 * null cells are empty in CSV and null in JSON; cells with the separator, quotes or line
   breaks are quoted, quotes doubled; a lone empty cell is written as two quotes;
-* equal records are all written; records that are equal in the order given are put in order
-  of their text;
+* equal records are all written; records that are equal in the order given (or where none
+  is given) are put in order of their text;
 * a table without rows gives the head and foot alone; names of columns may clash with nothing.
 """
 
@@ -44,7 +44,7 @@ def lines(df: DataFrame, order: list[str], kind: str = "csv", bom: bool = False)
         line = F.concat_ws(sep, *(_cell(c, sep, len(cells) == 1) for c in cells))
     else:
         line = F.to_json(F.struct(*(c.alias(n) for c, n in zip(cells, df.columns, strict=True))), {"ignoreNullFields": "false"})
-    at = F.struct(*(F.col(names[df.columns.index(c)]).alias(f"k{i}") for i, c in enumerate(order)))
+    at = F.struct(*(F.col(names[df.columns.index(c)]).alias(f"k{i}") for i, c in enumerate(order))) if order else F.struct(F.lit(0).alias("k0"))
     # equal records are counted before they are sorted: a record repeated without end is no hot key
     made = rows.select(at.alias("at"), line.alias("line")).groupBy("at", "line").agg(F.count(F.lit(1)).alias("n"))
     made = made.select(F.lit(1).alias("section"), "at", "line", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import csv
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeprobe.functions import cells
+from lakeprobe.functions.json_ops import is_json
+from lakeprobe.session import shared_dir
+from lakeprobe.sources import exports
 
 #: Delimiters that are tried, encodings in the order they are tried, and keys under which a JSON object may hold its list of records.
 DELIMITERS = (",", ";", "\t", "|")
@@ -93,7 +97,10 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Dat
     lines = head(spark, path, encoding=encoding)
     if not lines:
         raise ValueError("the file is empty")
-    options = {"sep": sniff(lines), "encoding": read_as(encoding), "multiLine": True, "escape": '"'}
+    # only a quoted line break leaves a line with an odd number of quotes; without any, the file is read in parallel
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1
+    broken = not spark.read.text(path).filter(odd).isEmpty()
+    options = {"sep": sniff(lines), "encoding": read_as(encoding), "multiLine": broken, "escape": '"'}
     first = spark.read.options(**options).csv(path)
     header = first.select(*[decoded(F.col(c), encoding).alias(c) for c in first.columns]).first()
     names = dedupe([(v or "").lstrip("\ufeff") for v in header])
@@ -109,6 +116,30 @@ def _members(path: str, spark: SparkSession, order: list[str]) -> list[str]:
     return sorted(order, key=lambda c: (at[c] < 0, at[c], c))
 
 
+def listed_lines(spark: SparkSession, path: str) -> str | None:
+    """The path of JSON lines made of a JSON list that has one object on each line; None for lists that are written in another way.
+
+    Such a list is read in parallel: brackets stand at the first and the last line, and
+    one comma between any two objects.
+    """
+    t = F.trim(F.regexp_replace("value", "^\ufeff", ""))
+    rows = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), t.alias("t")).filter("t <> ''")
+    inner = F.trim(F.regexp_replace(F.regexp_replace("t", r"^\s*\[?\s*,?\s*", ""), r"\s*,?\s*\]?\s*$", ""))
+    rows = rows.withColumn("object", F.when(F.col("t").rlike(r"^[\[,{]") & F.col("t").rlike(r"[\],}]$") & inner.startswith("{"), inner))
+    lone = F.col("t").isin("[", "]", ",")
+    comma = F.col("t").rlike(r"^\[?\s*,").cast("int") + (F.col("t").rlike(r",\s*\]?$") & (F.col("t") != ",")).cast("int")
+    opens, closes = F.col("t").startswith("["), F.col("t").endswith("]")
+    got = rows.agg(
+        F.count_if(~lone & ~is_json(F.coalesce("object", F.lit("")))).alias("odd"), F.count("object").alias("objects"), F.sum(comma).alias("commas"), F.count_if(opens).alias("opens"), F.count_if(closes).alias("closes"),
+        (F.min(F.when(opens, F.col("at"))) == F.min("at")).alias("first"), (F.max(F.when(closes, F.col("at"))) == F.max("at")).alias("last"),
+    ).first()
+    if got["odd"] or not got["objects"] or got["commas"] != got["objects"] - 1 or (got["opens"], got["closes"]) != (1, 1) or not (got["first"] and got["last"]):
+        return None
+    made = f"{shared_dir(spark)}/json-lines-{uuid.uuid4().hex}"
+    rows.filter("object IS NOT NULL").select(F.col("object").alias("value")).write.text(made)
+    return made
+
+
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines, a JSON list, or an object that holds its records under a known key; keys as first seen, nested values stay JSON text.
 
@@ -118,6 +149,9 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     if not first:
         raise ValueError("the file is empty")
     start = first[0].lstrip("\ufeff").strip()
+    names = path
+    if start.startswith("[") and (made := listed_lines(spark, path)):
+        path, start = made, "{}"
     whole = start.startswith("[") or not start.endswith("}")
     if not whole:
         bad = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
@@ -135,7 +169,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     if held:
         df = df.select(F.explode(held).alias("r")).select("r.*")
     flat = {f.name: F.to_json(f"`{f.name}`").alias(f.name) if f.dataType.typeName() in ("struct", "array", "map") else F.col(f"`{f.name}`") for f in df.schema}
-    return normalized(df.select(*[flat[c] for c in _members(path, spark, df.columns)]))
+    return normalized(df.select(*[flat[c] for c in _members(names, spark, df.columns)]))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -162,16 +196,13 @@ def load_table(spark: SparkSession, path: str, max_rows: int | None = None, max_
 
 
 def write_table(df: DataFrame, path: str, kind: str = "csv", sep: str = ",", crlf: bool = False, bom: bool = False) -> None:
-    """csv, tsv, ndjson or json (a list in each file); bom marks csv and tsv files, whose headers begin with it."""
+    """csv, tsv, ndjson or json (one list, whose parts are put one after the other); bom marks csv and tsv files, whose headers begin with it."""
     if kind in ("csv", "tsv"):
         marked = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if bom else df
         marked.write.option("header", True).option("sep", "\t" if kind == "tsv" else sep).option("lineSep", "\r\n" if crlf else "\n").csv(path)
     elif kind == "ndjson":
         df.write.json(path)
     elif kind == "json":
-        # a file for each partition, each one list
-        row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("row")
-        lists = df.select(row, F.spark_partition_id().alias("part")).groupBy("part").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ",\n"), F.lit("]")).alias("value"))
-        lists.select("value").write.text(path)
+        exports.write(df, path, [], "json")
     else:
         raise ValueError(f"unknown format: {kind}")

@@ -194,3 +194,24 @@ def test_failed_steps_tell_why(spark, tmp_path):
     rows = spark.readStream.schema("id long").parquet(f"file://{tmp_path}/t.parquet").select(F.when(F.col("id") == 7, F.raise_error(F.lit("page seven is broken"))).otherwise(F.lit("x")).cast("string").alias("x"))
     got = jobs.steps(rows, "broken")
     assert (got.status, got.rows) == (jobs.FAILED, 0) and "page seven is broken" in got.error
+
+
+def test_lists_with_a_record_on_each_line_are_read_in_parallel(spark, tmp_path):
+    from lakeprobe.sources import tabular
+
+    def put(name, text):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+        return f"file://{tmp_path}/{name}"
+
+    good = ['[\n{"b": 1, "a": "x"},\n{"b": 2}\n]\n', '[{"b": 1, "a": "x"}\n,{"b": 2}]', '[ {"b": 1, "a": "x"},\n\n {"b": 2} ]', '﻿[{"b": 1, "a": "x"},\n{"b": 2}]']
+    for i, text in enumerate(good):
+        path = put(f"g{i}.json", text)
+        assert tabular.listed_lines(spark, path) and tabular.read_table(spark, path).columns == ["b", "a"]
+        assert sorted(tuple(r) for r in tabular.read_table(spark, path).collect()) == [("1", "x"), ("2", None)]
+    for i, text in enumerate(['[{"a": 1}\n{"a": 2}]', '[{"a": 1},\n{"a": 2},]', '[\n{\n"a": 1\n}\n]', "[1,\n2]", '[{"a": [\n{"b": 1},\n{"b": 2}\n]}]', "[]", '[{"a": 1}]]']):
+        assert tabular.listed_lines(spark, put(f"o{i}.json", text)) is None
+    nested = tabular.read_table(spark, put("n.json", '[{"a": [\n{"b": 1},\n{"b": 2}\n]}]')).collect()
+    assert len(nested) == 1
+    # quoted line breaks are still found
+    assert [tuple(r) for r in tabular.read_table(spark, put("q.csv", 'a,b\n1,"two\nlines"\n3,4\n')).collect()] == [("1", "two\nlines"), ("3", "4")]
+    assert sorted(tuple(r) for r in tabular.read_table(spark, put("p.csv", 'a,b\n1,"t,""x"""\n3\n')).collect()) == [("1", 't,"x"'), ("3", None)]
