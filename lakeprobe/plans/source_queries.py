@@ -123,8 +123,10 @@ _VOID = ", ".join(f"'{t}'" for t in markup.VOID)
 
 
 def _plain(text: str) -> str:
-    """Text of the table's pages: they have four character references."""
-    return rf"trim(regexp_replace(replace(replace(replace(replace({text}, '&copy;', '©'), '&middot;', '·'), '&euro;', '€'), '&amp;', '&'), '[\s ]+', ' ', 'g'))"
+    """Text with the character references that the table's pages have."""
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&euro;", "€"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{char}')"
+    return rf"trim(regexp_replace({text}, '[\s ]+', ' ', 'g'))"
 
 
 def _attribute(name: str) -> str:
