@@ -103,12 +103,12 @@ def test_clashing_names_are_carried_along(spark):
     from lakeprobe.llm import exact_dedup
 
     odd = frame(spark).selectExpr("*", "'x' AS __text", "'y' AS __n", "'z' AS __digest", "'k' AS __key", "'i' AS id", "'t' AS t", "1 AS doc", "2 AS c0")
-    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    none = spark.createDataFrame([], "doc_id long, label string")
     few = spark.createDataFrame([(1, 1), *((i, 0) for i in (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13))], "doc_id long, toxic int")
     for out in (mixing.mixed(odd, none), exact_dedup.dedup(odd), jaccard_join.first_of_each(odd), toxicity.accepted(odd, few)):
         assert out.columns == odd.columns
         assert {(r["__text"], r["__n"], r["__digest"], r["__key"], r["id"], r["t"], r["doc"], r["c0"]) for r in out.collect()} == {("x", "y", "z", "k", "i", "t", 1, 2)}
-    assert mixing.query(spark, empty(spark), none).collect() == []
+    assert mixing.query(spark, empty(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect() == []
 
 
 def test_language_of_documents_and_pages(spark):
