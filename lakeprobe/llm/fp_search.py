@@ -239,7 +239,7 @@ def searched(items, n_terms: int, k: int, postings: int = POSTINGS):
 
 
 def _block(vectors: DataFrame, names: list, terms: list[bytes], held: list[list[tuple[int, int]]], n_docs: int, n_terms: int, best: int, postings: int) -> DataFrame:
-    """Rows (item_id, key, score): every task's best documents for each item of a block."""
+    """Rows (item_id, rank, key, score): the best documents for each item of a block, from those of every task."""
     spark = vectors.sparkSession
     counted = {x["term"]: x["df"] for x in vectors.mapInArrow(tidied(document_frequency), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
     order = sorted(counted, key=lambda t: (-counted[t], terms[t - 1]))
@@ -252,7 +252,9 @@ def _block(vectors: DataFrame, names: list, terms: list[bytes], held: list[list[
     paths = written(paths, "paths")
     dealt = paths.repartitionByRange(partitions(spark), "path", "key").sortWithinPartitions("path", "key")
     found = dealt.mapInArrow(tidied(searched(spark.sparkContext.broadcast(items), len(order), best, postings)), "item long, key long, score long")
-    return written(found.join(F.broadcast(names), "item").select("item_id", "key", "score"), "found")
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc("key"))
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
+    return written(ranked.join(F.broadcast(names), "item").select("item_id", "rank", "key", "score"), "found")
 
 
 def search(docs: DataFrame, items: DataFrame, best: int = BEST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block: int = BLOCK, postings: int = POSTINGS) -> DataFrame:
@@ -278,9 +280,7 @@ def search(docs: DataFrame, items: DataFrame, best: int = BEST, id_col: str = "d
         names = spark.createDataFrame(list(enumerate(held)), f"item long, item_id {kind}")
         part = _block(vectors, names, terms, list(held.values()), of_all[0], of_all[1], best, postings)
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc("key"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= best)
-    return ranked.select("item_id", "rank", F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "score")
+    return found.select("item_id", "rank", F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "score")
 
 
 def query(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
