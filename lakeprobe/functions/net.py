@@ -156,6 +156,22 @@ def to_curl(method: Column, url: Column, headers: Column, body: Column) -> Colum
     return F.concat(F.lit("curl -X "), F.upper(method), F.lit(" "), quoted(urls.mask(url)), F.array_join(lines, ""), data)
 
 
+def _literal(c: Column) -> Column:
+    """A text as a JSON string, which is a Python string too."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", "$1")
+
+
+def to_python(method: Column, url: Column, headers: Column, body: Column) -> Column:
+    """A Python script for a request (headers: a map): secrets are read from the environment, under the names that a curl command has as placeholders."""
+    secret = F.map_filter(headers, lambda k, v: F.lower(k).isin(*urls.SECRET_HEADERS))
+    variable = lambda k: F.upper(F.regexp_replace(k, "[^A-Za-z0-9]+", "_"))
+    value = lambda e: F.when(F.map_contains_key(secret, e["key"]), F.concat(F.lit("os.environ["), _literal(variable(e["key"])), F.lit("]"))).otherwise(_literal(e["value"]))
+    items = F.transform(F.array_sort(F.map_entries(headers)), lambda e: F.concat(_literal(e["key"]), F.lit(": "), value(e)))
+    data = F.when(F.coalesce(body, F.lit("")) != "", F.concat(F.lit(", data="), _literal(body), F.lit(".encode()"))).otherwise("")
+    call = F.concat(F.lit("answer = requests.request("), _literal(F.upper(method)), F.lit(", "), _literal(urls.mask(url)), F.lit(", headers={"), F.array_join(items, ", "), F.lit("}"), data, F.lit(", timeout=15)"))
+    return F.concat_ws("\n", F.lit("import os"), F.lit(""), F.lit("import requests"), F.lit(""), call, F.lit("answer.raise_for_status()"), F.lit("print(answer.text)"), F.lit(""))
+
+
 def allowed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """pages (host, path) with `allowed`: the longest rule (host, prefix, allow) that the path begins with decides; without one it is allowed."""
     hit = pages.join(rules, "host").filter(F.startswith("path", F.col("prefix")))

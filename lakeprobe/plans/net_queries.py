@@ -67,6 +67,13 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", net.to_curl(F.when(k() % 2 == 0, "post").otherwise("get"), url, headers, F.when(k() % 2 == 0, "it's")).alias("command"))
 
 
+def scripts(spark: SparkSession, d: str) -> DataFrame:
+    """The same requests as Python scripts."""
+    headers = F.create_map(F.lit("Accept"), F.lit("a/b"), F.lit("X-Api-Key"), F.lit("secret"))
+    url = F.concat(F.regexp_extract("url", "^(https?://[^/?#]+)", 1), F.lit("/a?token=t&x="), k().cast("string"))
+    return table(spark, d, "pages").select("page_id", net.to_python(F.when(k() % 2 == 0, "post").otherwise("get"), url, headers, F.when(k() % 2 == 0, 'say "it"')).alias("script"))
+
+
 def favorites(spark: SparkSession, d: str) -> DataFrame:
     """Lists of part ids as text, with the ids that do not exist."""
     lists = table(spark, d, "customer").select(F.col("c_custkey").alias("list"), F.concat_ws(",", F.col("c_custkey") * 3, F.col("c_custkey") * 2 + 1, F.lit("9999999")).alias("ids"))
@@ -81,6 +88,7 @@ QUERIES = {
     "robots_parsed": parsed_robots,
     "ip_classify_all": addresses,
     "request_to_curl": requests,
+    "request_to_python": scripts,
     "crawl_status_histogram": statuses,
     "favorites_missing": favorites,
 }
@@ -97,6 +105,8 @@ ORACLES = {
     "ip_classify_all": "SELECT event_id, ['loopback', 'private', 'global', 'private', 'private', 'multicast', 'private', 'private', 'private', 'global', 'invalid'][event_id % 11 + 1] AS kind FROM events",
     "request_to_curl": """SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'curl -X POST ' ELSE 'curl -X GET ' END || chr(39) || regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/a?token=***&x=' || page_id || chr(39) || ' -H ' || chr(39) || 'Accept: a/b' || chr(39) || ' -H ' || chr(39) || 'X-Api-Key: $X_API_KEY' || chr(39) ||
           CASE WHEN page_id % 2 = 0 THEN ' --data-raw ' || chr(39) || 'it' || chr(39) || chr(92) || chr(39) || chr(39) || 's' || chr(39) ELSE '' END AS command FROM pages""",
+    "request_to_python": r"""SELECT page_id, 'import os' || chr(10) || chr(10) || 'import requests' || chr(10) || chr(10) || 'answer = requests.request(' || CASE WHEN page_id % 2 = 0 THEN '"POST", "' ELSE '"GET", "' END || regexp_extract(url, '^(https?://[^/?#]+)', 1) || '/a?token=***&x=' || page_id
+          || '", headers={"Accept": "a/b", "X-Api-Key": os.environ["X_API_KEY"]}' || CASE WHEN page_id % 2 = 0 THEN ', data="say \"it\"".encode()' ELSE '' END || ', timeout=15)' || chr(10) || 'answer.raise_for_status()' || chr(10) || 'print(answer.text)' || chr(10) AS script FROM pages""",
     "crawl_status_histogram": """WITH s AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 404 WHEN page_id % 7 = 0 THEN 301 WHEN page_id % 13 = 0 THEN 500 ELSE 200 END AS status FROM pages)
         SELECT status, count(*) AS pages, count(*) FILTER (status >= 400) AS broken, count(*) FILTER (page_id % 7 = 0) AS redirects, count(*) FILTER (page_id % 17 = 0) AS errors FROM s GROUP BY 1""",
     "favorites_missing": """WITH w AS (SELECT c_custkey AS list, unnest([c_custkey * 3, c_custkey * 2 + 1, 9999999]) AS id FROM customer) SELECT list, id FROM w WHERE id NOT IN (SELECT p_partkey FROM part)""",

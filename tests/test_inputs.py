@@ -84,3 +84,23 @@ def test_characters_and_folded_names(spark):
     plan = spark.createDataFrame([(1, "a", "Straße"), (2, "b", "STRASSE"), (3, "c", "x"), (4, "d", "ΣΑΣ"), (5, "e", "σας"), (6, "f", "y"), (7, "g", "y")], "id int, name string, new_name string")
     found = {r["id"]: (r["case_only"], r["shown"], r["old_name"]) for r in rename.conflict_members(plan, "id").collect()}
     assert found == {1: (True, "Straße", "a"), 2: (True, "Straße", "b"), 4: (True, "ΣΑΣ", "d"), 5: (True, "ΣΑΣ", "e"), 6: (False, "y", "f"), 7: (False, "y", "g")}
+
+
+def test_requests_become_scripts_that_run(spark, monkeypatch, capsys):
+    import sys
+    import types
+
+    from lakeprobe.functions import net
+
+    seen = []
+    answer = types.SimpleNamespace(raise_for_status=lambda: None, text="done")
+    monkeypatch.setitem(sys.modules, "requests", types.SimpleNamespace(request=lambda *a, **k: seen.append((a, k)) or answer))
+    monkeypatch.setenv("AUTHORIZATION", "Bearer x")
+    rows = [("post", "https://u:p@a.example/x?api_key=1&q=a'b", {"Authorization": "Bearer real", "X": 'quote " \\ and \n line é 😀'}, "body\t'\"\\"), ("get", "http://a.example", {}, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, m string, u string, h map<string,string>, b string").orderBy("i")
+    scripts = [r[0] for r in df.select(net.to_python(F.col("m"), F.col("u"), F.col("h"), F.col("b"))).collect()]
+    for script in scripts:
+        assert "real" not in script and "api_key=1" not in script
+        exec(compile(script, "script", "exec"), {})
+    assert seen[0] == (("POST", "https://***@a.example/x?api_key=***&q=a'b"), {"headers": {"Authorization": "Bearer x", "X": rows[0][2]["X"]}, "data": rows[0][3].encode(), "timeout": 15})
+    assert seen[1] == (("GET", "http://a.example"), {"headers": {}, "timeout": 15}) and capsys.readouterr().out == "done\ndone\n"
