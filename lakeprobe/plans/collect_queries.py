@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakeprobe.session import saved, shared_dir, table
+from lakeprobe.session import shared_dir, table
 from lakeprobe.sources import exports, results
 from lakeprobe.streaming import collecting, jobs, store
 
