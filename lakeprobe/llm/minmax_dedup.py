@@ -272,3 +272,26 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
 def query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Component and decision of every document."""
     return near_duplicates(docs)
+
+
+#: All pairs of documents with a shingle in common: for small tables.
+SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i : i + 4], ' '))) AS shingle FROM worded WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM shingles AS a JOIN shingles AS b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT x, y FROM common JOIN sizes AS s ON s.doc_id = x JOIN sizes AS t ON t.doc_id = y WHERE 100 * shared >= 85 * (s.n + t.n - shared)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM worded
+  UNION
+  SELECT doc_id, y FROM reached JOIN links ON x = other
+), components AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM components LEFT JOIN sizes USING (doc_id)
+"""

@@ -20,4 +20,4 @@ QUERIES = {
     "op12_collocations": lambda spark, d: collocations.query(spark, documents(spark, d)),
     "op13_minmax_dedup": lambda spark, d: minmax_dedup.query(spark, documents(spark, d)),
 }
-ORACLES = {"op9_exact_dedup": exact_dedup.SQL, "op11_fp_search": fp_search.SQL, "op12_collocations": collocations.SQL}
+ORACLES = {"op9_exact_dedup": exact_dedup.SQL, "op11_fp_search": fp_search.SQL, "op12_collocations": collocations.SQL, "op13_minmax_dedup": minmax_dedup.SQL}
