@@ -1,4 +1,5 @@
 import time
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -91,3 +92,17 @@ def test_a_sieve_lets_its_keys_pass_and_few_others(spark, monkeypatch, bits):
     known = m.Lookup(spark.createDataFrame([(k, 0.5) for k in set(keys.view(np.int64).tolist())], "key long, p double"), ["p"])
     got = {r["row"]: len(r["known"] or ()) for r in known.attach(docs, range(1, 3)).collect()}
     assert got == {1: 900, 2: 0}
+
+
+@pytest.mark.parametrize("tokens", [30_000, 1_300_000])
+def test_evidence_counts_the_same_in_a_corpus_of_any_size(spark, tokens):
+    """Five occurrences make a context; before, six were needed beyond a million tokens, and one more for each doubling."""
+    rng = np.random.default_rng(7)
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(1000) if i not in ids)
+    filler = [" ".join(f"w{k}" for k in rng.integers(0, 3000, tokens // 50)) for _ in range(50)]
+    texts = [f"{t} alpha beta" if k < 5 else t for k, t in enumerate(filler)]
+    docs = spark.createDataFrame([*zip(ids, texts), (held, "alpha beta")], "doc_id long, text string")
+    got = m.score(docs).filter("held_out").first()
+    assert got["train_tokens"] > tokens * 0.99 and got["n_known"] == 3
+    assert got["score"] > got["base_score"] + 2
