@@ -13,7 +13,7 @@ PAGE = '<!DOCTYPE html>\n<html lang="en"><head><title>{0}</title><script>var a =
 CUT = ("all of it &amp; more", "cut &amp", "cut &am", "cut &", "&&amp;&amp&amp;", "&lt;b&gt &lt", "&copy &copy; &middot", "&ampx; &unknown; &amplt;", "&#x27 &#x27; &quot", "&amp;lt; &amp;amp")
 
 
-@pytest.mark.parametrize("name", ["page_headings", "page_parse"])
+@pytest.mark.parametrize("name", ["page_headings", "page_parse", "page_text"])
 def test_references_without_a_semicolon_are_text(spark, tmp_path, name):
     rows = [(i, f"https://a.example/{i}", PAGE.format(t)) for i, t in enumerate(CUT)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
