@@ -1,3 +1,4 @@
+import pathlib
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -6,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from lakeprobe.llm import common
 from lakeprobe.llm import suffix_tree_lm as m
 
 ODD = [
@@ -106,3 +108,45 @@ def test_evidence_counts_the_same_in_a_corpus_of_any_size(spark, tokens):
     got = m.score(docs).filter("held_out").first()
     assert got["train_tokens"] > tokens * 0.99 and got["n_known"] == 3
     assert got["score"] > got["base_score"] + 2
+
+
+@pytest.mark.parametrize("chunk", [6_000_000, 40, 1])
+def test_chunks_ask_for_each_sequence_once(spark, monkeypatch, chunk):
+    """Texts have most of their sequences in common; before, each text was joined with the table by its own."""
+    monkeypatch.setattr(m, "BOUND", 0)
+    monkeypatch.setattr(m, "CHUNK", chunk)
+    texts = [b"a b c d e"] * 30 + [b"", b"f g"] + [b"a b x"] * 3
+    words = pa.Table.from_batches(list(m.chunked(iter([batch(texts), batch([]), batch(texts)]))))
+    chunks = words.column("chunk").to_pylist()
+    assert chunks == sorted(chunks) and len(set(chunks)) == {6_000_000: 1, 40: 10}.get(chunk, len(chunks))
+    keys = {h for blob in words.column("words").to_pylist() for h in np.frombuffer(blob, np.int64).tolist()}
+    known = m.Lookup(spark.createDataFrame([(k, 0.5, float("nan")) for k in keys], "key long, own double, back double"), ["own", "back"])
+    docs = spark.createDataFrame([(c, bytes(x)) for c, x in zip(chunks, words.column("words").to_pylist(), strict=True)], "chunk long, words binary").repartition(1).sortWithinPartitions("chunk")
+    got = defaultdict(list)
+    for r in known.found(docs, lambda t: [t.endings(1)]).collect():
+        got[r["chunk"]] += np.frombuffer(r["key"], np.int64).tolist()
+        assert len(r["key"]) == len(r["own"]) == len(r["back"])
+    want = defaultdict(set)
+    for c, blob in zip(chunks, words.column("words").to_pylist(), strict=True):
+        want[c].update(np.frombuffer(blob, np.int64).tolist())
+    assert {c: sorted(k) for c, k in got.items()} == {c: sorted(k) for c, k in want.items() if k}
+
+
+def test_sequences_tell_their_endings():
+    rng = np.random.default_rng(7)
+    context, ending = rng.integers(0, 2**64, (2, 10_000), np.uint64)
+    assert (m.ending_of(m.joined(context, ending), context) == ending).all()
+
+
+@pytest.mark.parametrize("bound", [m.BOUND, 50])
+def test_shuffled_files_are_deleted_on_the_way(spark, monkeypatch, bound):
+    """Before, all that was shuffled stayed on disk until the driver collected its garbage."""
+    monkeypatch.setattr(m, "BOUND", bound)
+    left = lambda: {p: p.stat().st_size for p in pathlib.Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data") if p.exists()}
+    before = left()
+    scored = m.score(common.documents(spark, "/root/testdata/sf0.01"))
+    until = time.time() + 20
+    while (size := sum(n for p, n in left().items() if p not in before)) > 1_500_000 and time.time() < until:
+        time.sleep(0.5)
+    assert size < 1_500_000  # the table of documents has as many bytes
+    assert scored.count() == 1000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
